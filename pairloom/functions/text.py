@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pairloom import fixed_values as fv
 
@@ -16,7 +17,7 @@ WORD_TOKEN = rf"[{WORD}]{{2,}}"
 TECH_TOKEN = rf"[{WORD}][{WORD}+#.]*[{WORD}+#]|[{WORD}]"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 

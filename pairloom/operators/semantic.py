@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pairloom.functions import text as tx
 from pairloom.functions.numbers import dot, norm
@@ -111,7 +112,11 @@ def vector_pair_scores(pairs: DataFrame, left: DataFrame, right: DataFrame, left
     return joined.withColumn(score, dot(F.col("_l"), F.col("_r"))).drop("_l", "_r")
 
 
-@F.pandas_udf("array<struct<duty:int,evidence:int,similarity:double>>")
+MATCHES = T.ArrayType(T.StructType([T.StructField("duty", T.IntegerType()), T.StructField("evidence", T.IntegerType()),
+                                    T.StructField("similarity", T.DoubleType())]))
+
+
+@F.pandas_udf(MATCHES)
 def _best_matches(duties: pd.Series, evidence: pd.Series, dims: pd.Series) -> pd.Series:
     out = []
     for d, e, dim in zip(duties, evidence, dims):
