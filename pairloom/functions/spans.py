@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pairloom.functions.binding import let
+
 SPAN = "array<struct<start:int,end:int,text:string>>"
 
 
@@ -35,11 +37,10 @@ def part(text: Column, start: Column, end: Column) -> Column:
 
 def trimmed_span(text: Column, start: Column, end: Column) -> Column:
     """The span without surrounding whitespace, as (start, end, text)."""
-    raw = part(text, start, end)
-    lead = F.length(F.regexp_extract(raw, r"(?U)^\s*", 0))
-    body = F.regexp_replace(raw, r"(?U)^\s+|\s+$", "")
-    at = start + lead
-    return F.struct(at.cast("int").alias("start"), (at + F.length(body)).cast("int").alias("end"), body.alias("text"))
+    lead = lambda raw: F.length(F.regexp_extract(raw, r"(?U)^\s*", 0))
+    body = lambda raw: F.regexp_replace(raw, r"(?U)^\s+|\s+$", "")
+    return let(part(text, start, end), lambda raw: start + lead(raw), lambda raw, at: body(raw), lambda raw, at, kept: F.struct(
+        at.cast("int").alias("start"), (at + F.length(kept)).cast("int").alias("end"), kept.alias("text")))
 
 
 def last_started(spans: Column, at: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pairloom import fixed_values as fv
+from pairloom.functions.binding import let
 
 # Letters, digits and underscore of any script, written out so that every engine reads it the same way.
 WORD = r"\p{L}\p{N}_"
@@ -82,12 +83,12 @@ def tokens(text: Column, pattern: str = TECH_TOKEN) -> Column:
 
 def ngrams(words: Column, n: int) -> Column:
     """Space-joined runs of n neighbours; empty when there are fewer than n words."""
-    runs = F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.array_join(F.slice(words, i, n), " "))
-    return F.when(F.size(words) >= n, runs).otherwise(F.array().cast("array<string>"))
+    runs = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, n), " "))
+    return let(words, lambda w: F.when(F.size(w) >= n, runs(w)).otherwise(F.array().cast("array<string>")))
 
 
 def unigrams_and_bigrams(words: Column) -> Column:
-    return F.concat(words, ngrams(words, 2))
+    return let(words, lambda w: F.concat(w, ngrams(w, 2)))
 
 
 def word_count(text: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairloom import fixed_values as fv
+from pairloom.functions.binding import let
 from pairloom.functions.text import strip, unbulleted
 from pairloom.operators.profiles import section_slice
 from pairloom.operators.skills import tag_by_ngrams
@@ -37,11 +38,10 @@ def posting_requirements(docs: DataFrame, aliases: DataFrame, max_words: int = 4
     marked = everywhere.join(optional, [id, "skill"], "left").join(order, "skill")
     per = marked.groupBy(id).agg(F.sort_array(F.collect_list(F.struct(  # one posting's skills: at most the taxonomy
         "position", "skill", "category", F.col("_opt").isNotNull().alias("optional")))).alias("_s"))
-    all_optional = F.forall("_s", lambda s: s["optional"])
-    promoted = F.ceil(F.size("_s") * F.lit(0.7))
-    judged = F.transform("_s", lambda s, i: F.struct(
+    promoted = F.when(F.forall("_s", lambda s: s["optional"]), F.ceil(F.size("_s") * F.lit(0.7)))
+    judged = let(promoted, lambda promoted: F.transform("_s", lambda s, i: F.struct(
         s["skill"].alias("skill"), s["category"].alias("category"),
-        F.when(F.when(all_optional, i >= promoted).otherwise(s["optional"]), "preferred").otherwise("required").alias("status")))
+        F.when(F.coalesce(i >= promoted, s["optional"]), "preferred").otherwise("required").alias("status"))))
     return per.select(id, F.explode(judged).alias("s")).select(id, "s.*")
 
 
@@ -63,12 +63,12 @@ def duty_lines(text: Column) -> Column:
     """Up to eight lines of the duties section, else up to five long lines of the whole text."""
     shaped = lambda t, low, high: F.filter(F.transform(F.split(t, "\n"), unbulleted), lambda l: F.length(l).between(low, high))
     section = section_slice(text, DUTIES_HEADER, AFTER_DUTIES, 1000)
-    return F.when(section.isNotNull(), F.slice(shaped(section, 16, 249), 1, 8)).otherwise(F.slice(shaped(text, 26, 199), 1, 5))
+    return let(section, lambda s: F.when(s.isNotNull(), F.slice(shaped(s, 16, 249), 1, 8)).otherwise(F.slice(shaped(text, 26, 199), 1, 5)))
 
 
 def education_phrases(text: Column) -> Column:
     named = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(DEGREE_PHRASE), F.lit(0)), strip))
-    return F.when(F.size(named) > 0, named).otherwise(F.array(F.lit(DEFAULT_EDUCATION)))
+    return let(named, lambda named: F.when(F.size(named) > 0, named).otherwise(F.array(F.lit(DEFAULT_EDUCATION))))
 
 
 def parse_adverts(docs: DataFrame, requirements: DataFrame, id: str = "posting_id", text: str = "text", title: str | None = "title") -> DataFrame:

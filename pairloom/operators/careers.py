@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pairloom import fixed_values as fv
+from pairloom.functions.binding import let
 from pairloom.functions.spans import match_spans
 from pairloom.operators.sections import GLUE_BEFORE, cues, nearest_cue
 
@@ -29,14 +30,17 @@ def required_experience(pieces: Column, glued: bool = False) -> Column:
     The strictest minimum is the requirement; years not marked preferred count as required; three evidence sentences.
     """
     def read(p):
-        found = cues(p["text"], glued)
-        return F.transform(match_spans(p["text"], REQUIRED_YEARS), lambda m: F.struct(
+        return let(cues(p["text"], glued), lambda found: F.transform(match_spans(p["text"], REQUIRED_YEARS), lambda m: F.struct(
             number_value(F.regexp_extract(m["text"], REQUIRED_YEARS, 1)).alias("lo"),
             number_value(F.nullif(F.regexp_extract(m["text"], REQUIRED_YEARS, 2), F.lit(""))).alias("hi"),
-            (F.coalesce(nearest_cue(found, m["start"]), p["section"]) == "preferred").alias("is_preferred"), p["text"].alias("evidence")))
+            (F.coalesce(nearest_cue(found, m["start"]), p["section"]) == "preferred").alias("is_preferred"), p["text"].alias("evidence"))))
 
     relevant = F.filter(pieces, lambda p: p["text"].rlike("(?iU)experien"))
     years = F.filter(F.flatten(F.transform(relevant, read)), lambda y: (y["lo"] > 0) & (y["lo"] <= fv.MAX_REQUIRED_YEARS))
+    return let(years, _required_years)
+
+
+def _required_years(years: Column) -> Column:
     required, preferred = F.filter(years, lambda y: ~y["is_preferred"]), F.filter(years, lambda y: y["is_preferred"])
     strictest = F.array_max(F.transform(required, lambda y, i: F.struct(y["lo"].alias("lo"), (-i).alias("first"), y["hi"].alias("hi"))))
     return F.struct(strictest["lo"].alias("min_years"), strictest["hi"].alias("max_years"),
@@ -65,10 +69,11 @@ def interval_union(intervals: Column) -> Column:
             F.when(apart, x["start"]).otherwise(acc["start"]).alias("start"),
             F.when(apart, x["stop"]).otherwise(F.greatest(acc["stop"], x["stop"])).alias("stop"))
 
-    ordered = F.array_sort(intervals)
-    zero = F.struct(F.lit(0).alias("total"), F.element_at(ordered, 1)["start"].alias("start"), F.element_at(ordered, 1)["stop"].alias("stop"))
-    joined = F.aggregate(ordered, zero, step, lambda acc: acc["total"] + acc["stop"] - acc["start"])
-    return F.when(F.size(intervals) > 0, joined).otherwise(F.lit(0))
+    def joined(ordered):
+        zero = F.struct(F.lit(0).alias("total"), F.get(ordered, 0)["start"].alias("start"), F.get(ordered, 0)["stop"].alias("stop"))
+        return F.aggregate(ordered, zero, step, lambda acc: acc["total"] + acc["stop"] - acc["start"])
+
+    return let(F.array_sort(intervals), lambda ordered: F.when(F.size(ordered) > 0, joined(ordered)).otherwise(F.lit(0)))
 
 
 def candidate_experience(text: Column, blocks: Column) -> Column:
@@ -81,11 +86,17 @@ def candidate_experience(text: Column, blocks: Column) -> Column:
     ranges = F.flatten(F.transform(elsewhere, lambda b: F.zip_with(
         F.regexp_extract_all(b["text"], F.lit(DATE_RANGE), F.lit(1)), F.regexp_extract_all(b["text"], F.lit(DATE_RANGE), F.lit(2)),
         lambda a, z: F.struct(month_number(a).alias("start"), month_number(z).alias("stop"), z.rlike("(?U)^[a-zA-Z]+$").alias("is_open")))))
-    latest = F.array_max(F.flatten(F.transform(ranges, lambda r: F.array(r["start"], F.when(~r["is_open"], r["stop"])))))
-    closed = F.transform(ranges, lambda r: F.struct(r["start"].alias("start"), F.when(r["is_open"], latest).otherwise(r["stop"]).alias("stop")))
-    intervals = F.filter(closed, lambda r: F.coalesce((r["stop"] - r["start"]).between(0, fv.MAX_CAREER_YEARS * 12), F.lit(False)))
+    latest = lambda ranges: F.array_max(F.flatten(F.transform(ranges, lambda r: F.array(r["start"], F.when(~r["is_open"], r["stop"])))))
+    closed = lambda ranges, latest: F.transform(ranges, lambda r: F.struct(
+        r["start"].alias("start"), F.when(r["is_open"], latest).otherwise(r["stop"]).alias("stop")))
+    usable = lambda r: F.coalesce((r["stop"] - r["start"]).between(0, fv.MAX_CAREER_YEARS * 12), F.lit(False))
+    intervals = let(ranges, latest, lambda ranges, latest: F.filter(closed(ranges, latest), usable))
     stated = F.array_max(F.filter(F.transform(F.regexp_extract_all(text, F.lit(STATED_YEARS), F.lit(1)), lambda y: y.try_cast("int")),
                                   lambda y: y <= fv.MAX_CAREER_YEARS))
+    return let(intervals, lambda i: stated, _experience_record)
+
+
+def _experience_record(intervals: Column, stated: Column) -> Column:
     dated = F.size(intervals) > 0
     years = F.bround(interval_union(intervals) / F.lit(12.0), 2)
     return F.struct(F.when(dated, years).otherwise(stated.cast("double")).alias("total_years"),
@@ -109,18 +120,16 @@ def degree_name(level: Column) -> Column:
 def education_requirement(pieces: Column, glued: bool = False) -> Column:
     """(required_level, preferred_level): lowest level asked for, highest level preferred."""
     def read(p):
-        found = cues(p["text"], glued)
-
-        def of_level(level):
-            return F.transform(F.slice(match_spans(p["text"], degree_pattern(level)), 1, 1), lambda m: F.struct(
-                F.lit(level).alias("level"),
-                (F.coalesce(nearest_cue(found, m["start"]), p["section"]) == "preferred").alias("is_preferred")))
+        return let(cues(p["text"], glued), lambda found: F.flatten(F.array(*[of_level(level, p, found) for level in fv.DEGREE_PATTERNS])))
 
-        return F.flatten(F.array(*[of_level(level) for level in fv.DEGREE_PATTERNS]))
+    def of_level(level, p, found):
+        return F.transform(F.slice(match_spans(p["text"], degree_pattern(level)), 1, 1), lambda m: F.struct(
+            F.lit(level).alias("level"), (F.coalesce(nearest_cue(found, m["start"]), p["section"]) == "preferred").alias("is_preferred")))
 
     named = F.flatten(F.transform(pieces, read))
-    level = lambda want: F.transform(F.filter(named, lambda d: d["is_preferred"] if want else ~d["is_preferred"]), lambda d: d["level"])
-    return F.struct(F.array_min(level(False)).alias("required_level"), F.array_max(level(True)).alias("preferred_level"))
+    level = lambda named, want: F.transform(F.filter(named, lambda d: d["is_preferred"] if want else ~d["is_preferred"]), lambda d: d["level"])
+    return let(named, lambda n: F.struct(F.array_min(level(n, False)).alias("required_level"),
+                                         F.array_max(level(n, True)).alias("preferred_level")))
 
 
 def candidate_degree(text: Column) -> Column:
@@ -138,12 +147,12 @@ def duties(pieces: Column) -> Column:
     """(statements, from_section): sentences of the responsibilities section, else of everything but "other"."""
     own = statements(pieces, lambda s: s == "responsibilities")
     rest = statements(pieces, lambda s: s != "other")
-    return F.struct(F.slice(F.when(F.size(own) > 0, own).otherwise(rest), 1, fv.MAX_DUTIES).alias("statements"),
-                    (F.size(own) > 0).alias("from_section"))
+    return let(own, lambda own: F.struct(F.slice(F.when(F.size(own) > 0, own).otherwise(rest), 1, fv.MAX_DUTIES).alias("statements"),
+                                         (F.size(own) > 0).alias("from_section")))
 
 
 def evidence(pieces: Column) -> Column:
     """Sentences of the experience section, else of everything but education."""
     own = statements(pieces, lambda s: s == "experience")
     rest = statements(pieces, lambda s: s != "education")
-    return F.slice(F.when(F.size(own) > 0, own).otherwise(rest), 1, fv.MAX_EVIDENCE)
+    return let(own, lambda own: F.slice(F.when(F.size(own) > 0, own).otherwise(rest), 1, fv.MAX_EVIDENCE))

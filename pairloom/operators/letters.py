@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairloom import fixed_values as fv
+from pairloom.functions.binding import let
 from pairloom.functions.text import strip, word_count
 
 # The letter texts by tone; {company}, {role}, {skills}, {years}, {name}, {title}, {employer}, {achievement} are filled in.
@@ -68,7 +69,10 @@ def assign_keywords(bullets: Column, pool: Column) -> Column:
 
     bullets is one profile's array in page order, so the turn is the place in the filtered array.
     """
-    kept = F.filter(bullets, lambda b: F.length(b) >= 20)
+    return let(pool, lambda pool: _assign(F.filter(bullets, lambda b: F.length(b) >= 20), pool))
+
+
+def _assign(kept: Column, pool: Column) -> Column:
 
     def deal(b, i):
         keyword = F.coalesce(F.get(pool, F.pmod(i, F.greatest(F.size(pool), F.lit(1)))), F.lit("system scalability"))

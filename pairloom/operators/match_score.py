@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pairloom.functions.binding import let
 from pairloom.functions.numbers import clamp, half_up
 from pairloom.operators.lexical import bag_cosine
 
@@ -57,8 +58,8 @@ def skill_part(pairs: DataFrame, matches: DataFrame, left_id: str = "candidate_i
 def bonus_skills(offered: Column, required: Column, preferred: Column, n: int = 8) -> Column:
     """Skills of the candidate the posting does not name, first n."""
     low = lambda a: F.transform(a, lambda s: F.lower(s))
-    named = F.concat(low(required), low(preferred))
-    return F.slice(F.filter(offered, lambda s: ~F.array_contains(named, F.lower(s))), 1, n)
+    return let(F.concat(low(required), low(preferred)), lambda named: F.slice(
+        F.filter(offered, lambda s: ~F.array_contains(named, F.lower(s))), 1, n))
 
 
 def context_of(skill: Column, items: Column) -> Column:

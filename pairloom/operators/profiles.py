@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairloom import fixed_values as fv
+from pairloom.functions.binding import let
 from pairloom.functions.numbers import clamp, half_up
 from pairloom.functions.text import lines, strip, unbulleted, word_count
 
@@ -89,8 +90,10 @@ def projects(text: Column) -> Column:
 
 def education(text: Column) -> Column:
     """[(degree, institution, year, gpa)] per line naming a degree; else one general entry for a university line."""
-    section = section_slice(text, *EDUCATION)
+    return let(section_slice(text, *EDUCATION), _education)
 
+
+def _education(section: Column) -> Column:
     def entry(line):
         place = strip(F.regexp_replace(without_first(without_first(line, DEGREE), YEAR), r"[,|•]", " "))
         return F.struct(strip(F.regexp_extract(line, DEGREE, 0)).alias("degree"),
@@ -104,7 +107,7 @@ def education(text: Column) -> Column:
         F.lit("Bachelor of Science in Computer Science").alias("degree"), strip(general).alias("institution"),
         null.alias("year"), null.alias("gpa"))))
     empty = F.array().cast("array<struct<degree:string,institution:string,year:string,gpa:string>>")
-    return F.coalesce(F.when(F.size(named) > 0, named), fallback, empty)
+    return let(named, lambda named: F.coalesce(F.when(F.size(named) > 0, named), fallback, empty))
 
 
 def work_history(text: Column) -> Column:
@@ -113,12 +116,13 @@ def work_history(text: Column) -> Column:
     A dated line that is no bullet opens an item; bullets (and long plain lines) up to the next dated line belong to it.
     Without dated lines a section of more than 50 characters is one general item.
     """
-    section = section_slice(text, *EXPERIENCE)
-    rows = lines(section)
+    opens = lambda l: l.rlike(ITEM_DATE) & ~l.rlike(r"^[•\-*·]")
+    indexed = lambda rows: F.transform(rows, lambda l, i: F.struct(i.alias("i"), l.alias("l")))
+    return let(section_slice(text, *EXPERIENCE), lines, lambda section, rows: F.filter(indexed(rows), lambda x: opens(x["l"])), _work_history)
+
+
+def _work_history(section: Column, rows: Column, heads: Column) -> Column:
     bullet = lambda l: l.rlike(r"^[•\-*·]")
-    opens = lambda l: l.rlike(ITEM_DATE) & ~bullet(l)
-    indexed = F.transform(rows, lambda l, i: F.struct(i.alias("i"), l.alias("l")))
-    heads = F.filter(indexed, lambda x: opens(x["l"]))
     parts = lambda t, sep: F.filter(F.transform(F.split(t, sep), strip), lambda p: p != "")
     null = F.lit(None).cast("string")
 
@@ -154,7 +158,7 @@ def work_history(text: Column) -> Column:
         null.alias("start_date"), null.alias("end_date"), F.lit(None).cast("boolean").alias("is_current"), F.slice(plain, 1, 6).alias("bullets")))
     empty = F.array().cast("array<struct<title:string,company:string,location:string,start_date:string,end_date:string,"
                            "is_current:boolean,bullets:array<string>>>")
-    return F.coalesce(F.when(F.size(items) > 0, items), F.when(F.length(section) > 50, general), empty)
+    return let(items, lambda items: F.coalesce(F.when(F.size(items) > 0, items), F.when(F.length(section) > 50, general), empty))
 
 
 def years_estimate(text: Column, n_items: Column, as_of_year: int) -> Column:
@@ -168,7 +172,10 @@ def years_estimate(text: Column, n_items: Column, as_of_year: int) -> Column:
 
 def quality_checks(text: Column, n_skills: Column) -> Column:
     """Five pass/fail checks, the share passed in percent, keyword density, words and pages."""
-    low, words = F.lower(text), word_count(text)
+    return let(F.lower(text), lambda low: word_count(text), lambda low, words: _quality_checks(text, low, words, n_skills))
+
+
+def _quality_checks(text: Column, low: Column, words: Column, n_skills: Column) -> Column:
     has = lambda *options: low.rlike("|".join(options))
     verbs = F.size(F.filter(F.array(*map(F.lit, fv.ACTION_VERBS)), lambda v: F.contains(low, v)))
     quantities = F.regexp_count(text, F.lit(fv.QUANTITY))
@@ -188,9 +195,9 @@ def quality_checks(text: Column, n_skills: Column) -> Column:
 
 def skills_by_category(skills: Column) -> Column:
     """[(skill, category)] becomes {category: [skills]}."""
-    kinds = F.array_distinct(F.transform(skills, lambda s: s["category"]))
-    return F.map_from_arrays(kinds, F.transform(kinds, lambda k: F.transform(
-        F.filter(skills, lambda s: s["category"] == k), lambda s: s["skill"])))
+    kinds = lambda skills: F.array_distinct(F.transform(skills, lambda s: s["category"]))
+    return let(skills, kinds, lambda skills, kinds: F.map_from_arrays(kinds, F.transform(kinds, lambda k: F.transform(
+        F.filter(skills, lambda s: s["category"] == k), lambda s: s["skill"]))))
 
 
 def parse_profiles(docs: DataFrame, tagged: DataFrame, as_of_year: int, id: str = "candidate_id", text: str = "text") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pairloom import fixed_values as fv
+from pairloom.functions.binding import let
 from pairloom.functions.spans import SPAN, last_started, match_spans, part, trimmed_span
 
 BOUNDARY = r"(?U)(?<=[.!?;:])\s+|(?<=[a-z0-9)])(?=[A-Z][a-z])"
@@ -23,6 +24,10 @@ PIECE = "array<struct<start:int,end:int,text:string,section:string>>"
 
 def segments(text: Column) -> Column:
     """[(start, end, text)] of the non-empty segments, blanks trimmed, offsets exact."""
+    return let(text, _segments)
+
+
+def _segments(text: Column) -> Column:
     gaps = F.regexp_extract_all(text, F.lit(BOUNDARY), F.lit(0))
     pieces = F.split(text, BOUNDARY, -1)
     pairs = F.zip_with(pieces, gaps, lambda p, g: F.struct(F.length(p).alias("p"), F.coalesce(F.length(g), F.lit(0)).alias("g")))
@@ -59,8 +64,11 @@ def headings(text: Column, rules: dict[str, list[str]]) -> Column:
 
 def label_pieces(text: Column, spans: Column, heads: Column) -> Column:
     """[(start, end, text, section)]: segments cut at both ends of every heading; the last heading names the section."""
-    bounds = F.array_sort(F.array_distinct(F.flatten(F.transform(heads, lambda h: F.array(h["start"], h["end"])))))
+    bounds = lambda text, heads: F.array_sort(F.array_distinct(F.flatten(F.transform(heads, lambda h: F.array(h["start"], h["end"])))))
+    return let(text, lambda t: heads, bounds, lambda text, heads, bounds: _label_pieces(text, spans, heads, bounds))
+
 
+def _label_pieces(text: Column, spans: Column, heads: Column, bounds: Column) -> Column:
     def cut(s):
         inner = F.filter(bounds, lambda p: (p > s["start"]) & (p < s["end"]))
         starts, ends = F.concat(F.array(s["start"]), inner), F.concat(inner, F.array(s["end"]))
@@ -69,7 +77,7 @@ def label_pieces(text: Column, spans: Column, heads: Column) -> Column:
     pieces = F.filter(F.flatten(F.transform(spans, cut)), lambda p: p["end"] > p["start"])
 
     def name(p):
-        before = F.filter(heads, lambda h: h["start"] <= p["start"])
+        before = F.filter(heads, lambda h: h["start"] <= p["start"])  # names the section; headings are few
         section = F.coalesce(F.try_element_at(before, F.lit(-1))["section"], F.lit("intro"))
         return F.struct(p["start"].alias("start"), p["end"].alias("end"), p["text"].alias("text"), section.alias("section"))
 
@@ -87,8 +95,8 @@ def section_blocks(text: Column, pieces: Column) -> Column:
         return F.when(last["section"] == p["section"], merged).otherwise(added)
 
     blocks = F.aggregate(pieces, F.array().cast(PIECE), step)
-    return F.transform(blocks, lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"),
-                                                  part(text, b["start"], b["end"]).alias("text"), b["section"].alias("section")))
+    return let(text, lambda t: F.transform(blocks, lambda b: F.struct(
+        b["start"].alias("start"), b["end"].alias("end"), part(t, b["start"], b["end"]).alias("text"), b["section"].alias("section"))))
 
 
 def cue_patterns(glued: bool) -> dict[str, str]:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pairloom.functions import text as tx
+from pairloom.functions.binding import let
 from pairloom.functions.numbers import dot, norm
 
 Encoder = Callable[[DataFrame], DataFrame]
@@ -36,11 +37,9 @@ def chunk_windows(texts: DataFrame, max_tokens: int, strategy: str = "chunk_mean
     if strategy not in ("truncate", "chunk_mean"):
         raise ValueError("strategy must be truncate or chunk_mean")
     words = F.filter(F.split(F.col(text), r"(?U)\s+"), lambda w: w != "")
-    split = texts.select(id, words.alias("_w"))
-    count = F.greatest(F.ceil(F.size("_w") / F.lit(max_tokens)), F.lit(1)).cast("int")
-    last = F.lit(0) if strategy == "truncate" else count - 1
-    windows = F.transform(F.sequence(F.lit(0), last), lambda i: F.slice("_w", i * max_tokens + 1, max_tokens))
-    return split.select(id, F.posexplode(windows).alias("chunk", "_part")).select(
+    last = lambda w: F.lit(0) if strategy == "truncate" else F.greatest(F.ceil(F.size(w) / F.lit(max_tokens)), F.lit(1)).cast("int") - 1
+    windows = let(words, lambda w: F.transform(F.sequence(F.lit(0), last(w)), lambda i: F.slice(w, i * max_tokens + 1, max_tokens)))
+    return texts.select(id, F.posexplode(windows).alias("chunk", "_part")).select(
         id, "chunk", F.greatest(F.size("_part"), F.lit(1)).alias("n_tokens"), F.array_join("_part", " ").alias("text"))
 
 
@@ -54,14 +53,14 @@ def hashed_bag_encoder(dim: int = 256) -> Encoder:
         slots = F.transform(words, lambda w: F.pmod(F.conv(F.substring(F.md5(w), 31, 2), 16, 10).cast("int"), F.lit(dim)))
         hashed = chunks.select("text_id", "chunk", "n_tokens", slots.alias("_slots"))
         # One chunk's words are bounded by the window, so the counting stays inside the row.
-        sorted_slots = F.array_sort(F.concat("_slots", F.sequence(F.lit(0), F.lit(dim - 1))))
-        ends = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda d: F.array_position("_s", d))
-        positions = hashed.withColumn("_s", sorted_slots).withColumn("_at", F.concat(ends, F.array((F.size("_s") + 1).cast("long"))))
-        counts = F.transform(F.sequence(F.lit(1), F.lit(dim)), lambda d: (
-            F.element_at("_at", d + 1) - F.element_at("_at", d) - 1).cast("double"))
-        counted = positions.withColumn("_c", counts)
-        length = F.greatest(norm(F.col("_c")), F.lit(1e-300))
-        return counted.select("text_id", "chunk", "n_tokens", F.transform("_c", lambda x: (x / length).cast("float")).alias("vec"))
+        # Every slot is added once and the list sorted: where a slot's run starts tells how often the slots before it occur.
+        every = F.sequence(F.lit(0), F.lit(dim - 1))
+        ordered = F.array_sort(F.concat("_slots", every))
+        starts = lambda s: F.concat(F.transform(every, lambda d: F.array_position(s, d)), F.array((F.size(s) + 1).cast("long")))
+        counts = lambda s, at: F.transform(every, lambda d: (F.get(at, d + 1) - F.get(at, d) - 1).cast("double"))
+        length = lambda s, at, c: F.greatest(norm(c), F.lit(1e-300))
+        vec = let(ordered, starts, counts, length, lambda s, at, c, n: F.transform(c, lambda x: (x / n).cast("float")))
+        return hashed.select("text_id", "chunk", "n_tokens", vec.alias("vec"))
 
     return encode
 
@@ -73,10 +72,10 @@ def pool_chunks(chunks: DataFrame, id: str = "text_id") -> DataFrame:
     """
     gathered = chunks.groupBy(id).agg(F.sort_array(F.collect_list(F.struct("chunk", "n_tokens", "vec"))).alias("_c"))
     weighted = F.transform("_c", lambda c: F.transform(c["vec"], lambda x: x.cast("double") * c["n_tokens"]))
-    summed = F.aggregate(F.slice("_w", 2, F.greatest(F.size("_w") - 1, F.lit(0))), F.element_at("_w", 1),
-                         lambda s, v: F.zip_with(s, v, lambda x, y: x + y))
-    pooled = gathered.withColumn("_w", weighted).withColumn("_sum", summed).withColumn("_norm", norm(F.col("_sum")))
-    return pooled.select(id, F.transform("_sum", lambda x: (x / F.col("_norm")).cast("float")).alias("vec"))
+    summed = lambda w: F.aggregate(F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), F.get(w, 0),
+                                   lambda s, v: F.zip_with(s, v, lambda x, y: x + y))
+    vec = let(weighted, summed, lambda w, s: norm(s), lambda w, s, n: F.transform(s, lambda x: (x / n).cast("float")))
+    return gathered.select(id, vec.alias("vec"))
 
 
 def encode_texts(requests: DataFrame, encoder: Encoder, max_tokens: int = 510, strategy: str = "chunk_mean",

@@ -12,14 +12,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom import fixed_values as fv
-from pairloom.functions.text import ngrams
+from pairloom.functions.binding import let
 from pairloom.functions.spans import last_started, match_spans
+from pairloom.functions.text import ngrams
 from pairloom.operators.sections import cues, nearest_cue
 
 BEFORE = r"(?:(?<![A-Za-z0-9+#])|(?<=[a-z])(?=[A-Z]))"
 AFTER = r"(?:(?![A-Za-z0-9+#])|(?<=[a-z])(?=[A-Z]))"
 MAX_ALIASES = 10_000
-RESULT = "array<struct<skill:string,status:string,evidence:string,start:int>>"
 
 
 @dataclass(frozen=True)
@@ -72,9 +72,12 @@ def mentions(text: Column, taxonomy: Taxonomy) -> Column:
 
 def candidate_skills(found: Column, spans: Column) -> Column:
     """[(skill, evidence, start)]: each skill once, with the sentence of its first mention, in order of first mention."""
-    firsts = F.filter(found, lambda m, i: F.size(F.filter(F.slice(found, 1, i), lambda x: x["skill"] == m["skill"])) == 0)
-    return F.transform(firsts, lambda m: F.struct(m["skill"].alias("skill"), last_started(spans, m["start"])["text"].alias("evidence"),
-                                                  m["start"].alias("start")))
+    # Sorted by (skill, start), the first mention of a skill is the one whose neighbour before has another skill.
+    by_skill = F.array_sort(F.transform(found, lambda m: F.struct(m["skill"].alias("skill"), m["start"].alias("start"))))
+    firsts = let(by_skill, lambda ms: F.filter(ms, lambda m, i: (i == 0) | (F.get(ms, i - 1)["skill"] != m["skill"])))
+    ordered = F.array_sort(F.transform(firsts, lambda m: F.struct(m["start"].alias("start"), m["skill"].alias("skill"))))
+    return let(spans, lambda spans: F.transform(ordered, lambda m: F.struct(
+        m["skill"].alias("skill"), last_started(spans, m["start"])["text"].alias("evidence"), m["start"].alias("start"))))
 
 
 def posting_skills(found: Column, spans: Column, pieces: Column, glued: bool = False) -> Column:
@@ -83,18 +86,24 @@ def posting_skills(found: Column, spans: Column, pieces: Column, glued: bool = F
     A mention's status is the nearest requirement word of its sentence, else its section if that is required or preferred,
     else uncertain.
     """
+    return let(found, lambda f: spans, lambda f, s: pieces, lambda f, s, p: _posting_skills(f, s, p, glued))
+
+
+def _posting_skills(found: Column, spans: Column, pieces: Column, glued: bool) -> Column:
     strength = F.create_map(*[F.lit(x) for kv in fv.STATUS_STRENGTH.items() for x in kv])
 
-    def judge(m):
-        sentence = last_started(spans, m["start"])
+    def status_of(m, sentence):
         section = last_started(pieces, m["start"])["section"]
-        status = F.coalesce(nearest_cue(cues(sentence["text"], glued), m["start"] - sentence["start"]),
-                            F.when(section.isin("required", "preferred"), section), F.lit("uncertain"))
-        return F.struct(m["skill"].alias("skill"), (-F.element_at(strength, status)).alias("weakness"), m["start"].alias("start"),
-                        status.alias("status"), sentence["text"].alias("evidence"))
+        return F.coalesce(nearest_cue(cues(sentence["text"], glued), m["start"] - sentence["start"]),
+                          F.when(section.isin("required", "preferred"), section), F.lit("uncertain"))
+
+    def judge(m):
+        return let(last_started(spans, m["start"]), lambda s: status_of(m, s), lambda sentence, status: F.struct(
+            m["skill"].alias("skill"), (-F.element_at(strength, status)).alias("weakness"), m["start"].alias("start"),
+            status.alias("status"), sentence["text"].alias("evidence")))
 
-    judged = F.array_sort(F.transform(found, judge))
-    best = F.filter(judged, lambda m, i: (i == 0) | (F.get(judged, i - 1)["skill"] != m["skill"]))
+    best = let(F.array_sort(F.transform(found, judge)), lambda judged: F.filter(
+        judged, lambda m, i: (i == 0) | (F.get(judged, i - 1)["skill"] != m["skill"])))
     return F.transform(best, lambda m: F.struct(m["skill"].alias("skill"), m["status"].alias("status"),
                                                 m["evidence"].alias("evidence"), m["start"].alias("start")))
 
@@ -107,7 +116,7 @@ def tag_by_ngrams(docs: DataFrame, aliases: DataFrame, max_words: int = 4, id: s
     """
     split = lambda c: F.filter(F.split(F.lower(c), r"[^a-z0-9#+]+"), lambda w: w != "")
     words = docs.select(id, split(F.col(text)).alias("_w"))
-    grams = F.flatten(F.array(*[ngrams(F.col("_w"), n) for n in range(1, max_words + 1)]))
+    grams = let(F.col("_w"), lambda w: F.flatten(F.array(*[ngrams(w, n) for n in range(1, max_words + 1)])))
     terms = words.select(id, F.explode(F.array_distinct(grams)).alias("gram"))
     keys = aliases.select(F.array_join(split(F.col("alias")), " ").alias("gram"), "skill", "category").distinct()
     return terms.join(keys, "gram").select(id, "skill", "category").distinct()
