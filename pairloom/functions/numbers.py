@@ -12,7 +12,8 @@ def half_up(x: Column) -> Column:
 
 
 def clamp(x: Column, low, high) -> Column:
-    return F.least(F.greatest(x, F.lit(low)), F.lit(high))
+    """x held between low and high; NULL stays NULL."""
+    return F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(low)), F.lit(high)))
 
 
 def ratio(a: Column, b: Column) -> Column:

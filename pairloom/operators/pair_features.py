@@ -71,7 +71,8 @@ def scaler_bounds(features: DataFrame, by: Sequence[str] = (), components: Seque
 
 
 def scaled(x: Column, lo: Column, hi: Column) -> Column:
-    return F.least(F.greatest(F.try_divide(x - lo, hi - lo), F.lit(0.0)), F.lit(1.0))
+    """Min-max scaled and clipped; unknown stays unknown (least and greatest alone would skip the NULL)."""
+    return F.when(x.isNotNull(), F.least(F.greatest(F.try_divide(x - lo, hi - lo), F.lit(0.0)), F.lit(1.0)))
 
 
 def component_values(bounds: dict[str, tuple]) -> dict[str, Column]:
