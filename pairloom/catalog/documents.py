@@ -5,7 +5,6 @@ The texts are invented prose, so the taxonomy and the headings are made of its o
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pairloom import fixed_values as fv
@@ -13,7 +12,9 @@ from pairloom.catalog.inputs import table
 from pairloom.catalog.sqltext import normalize, q, sub
 from pairloom.functions import text as tx
 from pairloom.operators import adverts, careers, documents, profiles, sections, semantic, skills
+from pairloom.operators.ranking import first_per_group
 from pairloom.operators.skills import Taxonomy
+from pairloom.session import spread
 
 NAMES = {"the": "The", "and": "And", "tion": "Tion", "erin": "Erin", "thble": "Thble", "anea": "Anea", "thor": "Thor", "thnt": "Thnt"}
 TAXONOMY = Taxonomy({**NAMES, "thha": "Thnt"}, {"Of": "Of"}, {**{v: "word" for v in NAMES.values()}, "Of": "certification"})
@@ -26,8 +27,12 @@ ALIASES = [("the", "The", "short", 0), ("and", "And", "short", 1), ("in the", "I
            ("erin", "Erin", "part", 4), ("es be", "Es Be", "pair", 5)]
 
 
+def texts(spark, folder):
+    return spread(table(spark, folder, "documents"), "doc_id")
+
+
 def normal_documents(spark, folder):
-    return table(spark, folder, "documents").select("doc_id", tx.normalize(F.col("text")).alias("text"))
+    return texts(spark, folder).select("doc_id", tx.normalize(F.col("text")).alias("text"))
 
 
 def alias_table(spark):
@@ -73,7 +78,7 @@ def posting_skills(spark, folder):
 
 
 def parsed_candidates(spark, folder):
-    docs = table(spark, folder, "documents").select(F.col("doc_id").alias("candidate_id"), "text")
+    docs = texts(spark, folder).select(F.col("doc_id").alias("candidate_id"), "text")
     parsed = documents.parse_candidates(docs, TAXONOMY, headings=RESUME_HEADINGS)
     return parsed.select("candidate_id", F.size("skills").alias("n_skills"), "experience.total_years", "experience.source", "highest_level",
                          F.size("evidence").alias("n_evidence"), F.size("projects").alias("n_projects"),
@@ -97,17 +102,17 @@ def career_intervals(spark, folder):
 
 
 def contacts(spark, folder):
-    docs = table(spark, folder, "documents").select("doc_id", profiles.contact(F.col("text")).alias("c"))
+    docs = texts(spark, folder).select("doc_id", profiles.contact(F.col("text")).alias("c"))
     return docs.select("doc_id", "c.name", "c.email", "c.phone", "c.location")
 
 
 def quality_checks(spark, folder):
     checks = profiles.quality_checks(F.col("text"), F.lit(3))
-    return table(spark, folder, "documents").select("doc_id", checks.alias("c")).select("doc_id", "c.*")
+    return texts(spark, folder).select("doc_id", checks.alias("c")).select("doc_id", "c.*")
 
 
 def tagged_documents(spark, folder):
-    return skills.tag_by_ngrams(table(spark, folder, "documents"), alias_table(spark), 2)
+    return skills.tag_by_ngrams(texts(spark, folder), alias_table(spark), 2)
 
 
 def posting_requirements(spark, folder):
@@ -117,22 +122,22 @@ def posting_requirements(spark, folder):
 
 def advert_levels(spark, folder):
     level = adverts.seniority(F.col("text"))
-    return table(spark, folder, "documents").select("doc_id", level.alias("seniority"), adverts.min_years(F.col("text"), level).alias("min_years"))
+    return texts(spark, folder).select("doc_id", level.alias("seniority"), adverts.min_years(F.col("text"), level).alias("min_years"))
 
 
 def advert_duties(spark, folder):
-    rows = table(spark, folder, "documents").select("doc_id", F.posexplode(adverts.duty_lines(F.col("text"))).alias("seq", "duty"))
+    rows = texts(spark, folder).select("doc_id", F.posexplode(adverts.duty_lines(F.col("text"))).alias("seq", "duty"))
     return rows.withColumn("seq", F.col("seq").cast("long"))
 
 
 def education_phrases(spark, folder):
-    rows = table(spark, folder, "documents").select("doc_id", F.explode(adverts.education_phrases(F.col("text"))).alias("phrase"))
+    rows = texts(spark, folder).select("doc_id", F.explode(adverts.education_phrases(F.col("text"))).alias("phrase"))
     return rows
 
 
 def profile_records(spark, folder):
     """Full profile parse with its sizes."""
-    docs = table(spark, folder, "documents").select(F.col("doc_id").alias("candidate_id"), "text")
+    docs = texts(spark, folder).select(F.col("doc_id").alias("candidate_id"), "text")
     tagged = skills.tag_by_ngrams(docs, alias_table(spark), 2, "candidate_id")
     parsed = profiles.parse_profiles(docs, tagged, AS_OF_YEAR)
     return parsed.select("candidate_id", F.size("skills").alias("n_skills"), F.size("experience").alias("n_items"), F.size("education").alias("n_education"),
@@ -162,10 +167,9 @@ def encoding_stats(spark, folder):
 def label_alignment(spark, folder):
     """Vectors with one label are one posting's duties and one candidate's sentences; pairs are the labels that trade."""
     vectors = table(spark, folder, "embeddings").withColumnRenamed("embedding", "vec")
-    at = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
-    placed = vectors.withColumn("at", at)
-    duties = semantic.stack_vectors(placed, "label", "at", fv.MAX_DUTIES, 64).withColumnRenamed("label", "posting_id")
-    held = semantic.stack_vectors(placed, "label", "at", fv.MAX_EVIDENCE, 64).withColumnRenamed("label", "candidate_id")
+    firsts = lambda n: first_per_group(vectors, ["label"], [F.asc("vec_id")], n)
+    duties = semantic.stack_vectors(firsts(fv.MAX_DUTIES), "label", "position").withColumnRenamed("label", "posting_id")
+    held = semantic.stack_vectors(firsts(fv.MAX_EVIDENCE), "label", "position").withColumnRenamed("label", "candidate_id")
     lines = table(spark, folder, "lineitem").select("l_suppkey", "l_partkey")
     pairs = (lines.join(vectors.select(F.col("vec_id").alias("l_suppkey"), F.col("label").alias("posting_id")), "l_suppkey")
              .join(vectors.select(F.col("vec_id").alias("l_partkey"), F.col("label").alias("candidate_id")), "l_partkey")

@@ -128,10 +128,9 @@ def _best_matches(duties: pd.Series, evidence: pd.Series, dims: pd.Series) -> pd
     return pd.Series(out)
 
 
-def stack_vectors(sentences: DataFrame, id: str, position: str, limit: int, dim: int) -> DataFrame:
-    """(id, flat): a document's sentence vectors end to end, at most limit of them (the operator's own cap)."""
-    kept = sentences.where(F.col(position) < limit)
-    gathered = kept.groupBy(id).agg(F.sort_array(F.collect_list(F.struct(F.col(position).alias("p"), F.col("vec").alias("v")))).alias("_v"))
+def stack_vectors(sentences: DataFrame, id: str, position: str) -> DataFrame:
+    """(id, flat): a document's sentence vectors end to end; duties and evidence are capped where they are extracted."""
+    gathered = sentences.groupBy(id).agg(F.sort_array(F.collect_list(F.struct(F.col(position).alias("p"), F.col("vec").alias("v")))).alias("_v"))
     return gathered.select(id, F.flatten(F.transform("_v", lambda x: x["v"])).alias("flat"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,6 +23,25 @@ def local_session(name: str = "pairloom", cores: str | int = "*", shuffle_partit
     )
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder name in the shared checkpoint folder, or (local runs only) in the machine's temporary folder."""
+    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a shared folder")
+        folder = tempfile.mkdtemp(prefix="pairloom-")
+    return f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Costly per-row work on an input with fewer splits than cores: hash it over the cores first.
+
+    Large inputs have enough splits and are left as they are, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder the cluster names in spark.checkpoint.dir.
 

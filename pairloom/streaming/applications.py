@@ -29,10 +29,11 @@ def activity_counts(events: DataFrame, at: str = "ts", kind: str = "event_type",
 def activity_counts_stream(events: DataFrame, at: str = "ts", kind: str = "event_type", window: str = "1 day",
                            late: str = "1 hour") -> DataFrame:
     """Append mode: a day is emitted once the watermark has passed it; rows later than that are dropped."""
-    return activity_counts(events.withWatermark(at, late), at, kind, window)
+    timed = events.withColumn(at, F.col(at).cast("timestamp"))  # a watermark needs a time-zoned timestamp
+    return activity_counts(timed.withWatermark(at, late), at, kind, window)
 
 
-def write_state(stream: DataFrame, table_path: str, checkpoint: str, keys: list[str]) -> StreamingQuery:
+def write_state(stream: DataFrame, table_path: str, checkpoint: str) -> StreamingQuery:
     """Each micro-batch's changed rows are written under their batch number; readers take the highest per key.
 
     A batch that is run again after a failure overwrites its own folder, so nothing is counted twice.
