@@ -206,7 +206,7 @@ def compared_models(spark, folder):
 
 
 def error_table(spark, folder):
-    errors = er.with_examples(er.error_table(predictions(spark, folder)))
+    errors = er.with_examples(cut_lineage(er.error_table(cut_lineage(predictions(spark, folder)))))
     return _round(errors)
 
 

@@ -17,12 +17,18 @@ from pairloom.session import cut_lineage
 
 HOT_ROWS_CONF = "pairloom.hotGroupRows"
 HOT_ROWS = 2_000_000
+SMALL_ROW_BYTES = 32
 
 
 def hot_rows(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get(HOT_ROWS_CONF, str(HOT_ROWS)))
 
 
+def cannot_be_hot(df: DataFrame) -> bool:
+    """True where the optimizer's size estimate of the whole input is too small for any group to be large."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= hot_rows(df) * SMALL_ROW_BYTES
+
+
 def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
     """Rows of the largest group: a partial count, one number to the driver."""
     return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
@@ -37,7 +43,7 @@ def rank_in_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], t
     totals = totals or {}
     for name, value in totals.items():
         df = df.withColumn(name, value)
-    if largest_group(df, keys) <= hot_rows(df):
+    if cannot_be_hot(df) or largest_group(df, keys) <= hot_rows(df):
         window = Window.partitionBy(*keys).orderBy(*order)
         running = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
         return df.withColumns({rank: F.row_number().over(window).cast("long")} | {t: F.sum(t).over(running) for t in totals})

@@ -35,11 +35,11 @@ def part(text: Column, start: Column, end: Column) -> Column:
     return F.substring(text, start + 1, end - start)
 
 
-def trimmed_span(text: Column, start: Column, end: Column) -> Column:
-    """The span without surrounding whitespace, as (start, end, text)."""
+def trimmed_span(piece: Column, at: Column) -> Column:
+    """A piece of text that starts at a position, without surrounding whitespace, as (start, end, text)."""
     lead = lambda raw: F.length(F.regexp_extract(raw, r"(?U)^\s*", 0))
     body = lambda raw: F.regexp_replace(raw, r"(?U)^\s+|\s+$", "")
-    return let(part(text, start, end), lambda raw: start + lead(raw), lambda raw, at: body(raw), lambda raw, at, kept: F.struct(
+    return let(piece, lambda raw: at + lead(raw), lambda raw, at: body(raw), lambda raw, at, kept: F.struct(
         at.cast("int").alias("start"), (at + F.length(kept)).cast("int").alias("end"), kept.alias("text")))
 
 

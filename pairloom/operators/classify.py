@@ -40,6 +40,7 @@ def fit_thresholds(scored: DataFrame, by: Sequence[str] = (), score: str = "scor
     """
     by = list(by)
     keyed = scored.select(*by, score, label) if by else scored.select(score, label).withColumn("_all", F.lit(1))
+    keyed = cut_lineage(keyed)  # read several times: for the grid, its size check and the bins
     keys = by or ["_all"]
     grid = threshold_grid(keyed, keys, score)
     grid = cut_lineage(grid)

@@ -15,7 +15,7 @@ def label_document(docs: DataFrame, rules: dict[str, list[str]], text: str = "te
     """Add segments, heads and pieces of the text column."""
     out = docs.withColumn("segments", sections.segments(F.col(text)))
     out = out.withColumn("heads", sections.headings(F.col(text), rules))
-    return out.withColumn("pieces", sections.label_pieces(F.col(text), F.col("segments"), F.col("heads")))
+    return out.withColumn("pieces", sections.label_pieces(F.col("segments"), F.col("heads")))
 
 
 def parse_candidates(docs: DataFrame, taxonomy: Taxonomy, id: str = "candidate_id", text: str = "text",

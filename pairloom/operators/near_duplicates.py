@@ -31,7 +31,8 @@ MARGIN = 1e-9  # keeps rounding from losing a pair that sits exactly on a bound;
 
 def unigram_vectors(texts: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, term, df, weight) of sublinear TF-IDF, length 1, every term kept."""
-    terms = texts.select(doc, F.explode(tx.tokens(F.lower(text), tx.WORD_TOKEN)).alias("term"))
+    # Moving each text once by its id is cheaper than moving its terms: the counts below then need no shuffle.
+    terms = texts.repartition(doc).select(doc, F.explode(tx.tokens(F.lower(text), tx.WORD_TOKEN)).alias("term"))
     counts = terms.groupBy(doc, "term").agg(F.count("*").alias("tf"))
     df = counts.groupBy("term").agg(F.count("*").alias("df"))
     n = texts.agg(F.count("*").alias("n")).scalar()
@@ -68,7 +69,7 @@ def _bucket_pairs(members: DataFrame) -> DataFrame:
 def candidate_pairs(vectors: DataFrame, threshold: float, bucket_rows: int = BUCKET_ROWS) -> tuple[DataFrame, DataFrame]:
     """(pairs to verify, pairs already verified by a pivot, with their cosine)."""
     angle = acos(threshold)
-    members = prefixes(vectors, threshold)
+    members = cut_lineage(prefixes(vectors, threshold))  # read for the sizes and for both sides of the bucket join
     sizes = members.groupBy("term").agg(F.count("*").alias("n"))
     ordinary = sizes.where((F.col("n") > 1) & (F.col("n") <= bucket_rows)).select("term")
     crowded = sizes.where(F.col("n") > bucket_rows).select("term")

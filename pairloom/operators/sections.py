@@ -30,12 +30,11 @@ def segments(text: Column) -> Column:
 def _segments(text: Column) -> Column:
     gaps = F.regexp_extract_all(text, F.lit(BOUNDARY), F.lit(0))
     pieces = F.split(text, BOUNDARY, -1)
-    pairs = F.zip_with(pieces, gaps, lambda p, g: F.struct(F.length(p).alias("p"), F.coalesce(F.length(g), F.lit(0)).alias("g")))
+    pairs = F.zip_with(pieces, gaps, lambda p, g: F.struct(p.alias("p"), F.coalesce(F.length(g), F.lit(0)).alias("g")))
 
     def step(acc, x):
-        end = acc["at"] + x["p"]
-        return F.struct((end + x["g"]).cast("int").alias("at"),
-                        F.concat(acc["out"], F.array(trimmed_span(text, acc["at"], end))).alias("out"))
+        return F.struct((acc["at"] + F.length(x["p"]) + x["g"]).cast("int").alias("at"),
+                        F.concat(acc["out"], F.array(trimmed_span(x["p"], acc["at"]))).alias("out"))
 
     zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
     return F.filter(F.aggregate(pairs, zero, step, lambda acc: acc["out"]), lambda s: s["end"] > s["start"])
@@ -62,17 +61,17 @@ def headings(text: Column, rules: dict[str, list[str]]) -> Column:
     return F.aggregate(F.array_sort(found), zero, step, lambda acc: acc["out"])
 
 
-def label_pieces(text: Column, spans: Column, heads: Column) -> Column:
+def label_pieces(spans: Column, heads: Column) -> Column:
     """[(start, end, text, section)]: segments cut at both ends of every heading; the last heading names the section."""
-    bounds = lambda text, heads: F.array_sort(F.array_distinct(F.flatten(F.transform(heads, lambda h: F.array(h["start"], h["end"])))))
-    return let(text, lambda t: heads, bounds, lambda text, heads, bounds: _label_pieces(text, spans, heads, bounds))
+    bounds = lambda heads: F.array_sort(F.array_distinct(F.flatten(F.transform(heads, lambda h: F.array(h["start"], h["end"])))))
+    return let(heads, bounds, lambda heads, bounds: _label_pieces(spans, heads, bounds))
 
 
-def _label_pieces(text: Column, spans: Column, heads: Column, bounds: Column) -> Column:
+def _label_pieces(spans: Column, heads: Column, bounds: Column) -> Column:
     def cut(s):
         inner = F.filter(bounds, lambda p: (p > s["start"]) & (p < s["end"]))
         starts, ends = F.concat(F.array(s["start"]), inner), F.concat(inner, F.array(s["end"]))
-        return F.zip_with(starts, ends, lambda a, b: trimmed_span(text, a, b))
+        return F.zip_with(starts, ends, lambda a, b: trimmed_span(part(s["text"], a - s["start"], b - s["start"]), a))
 
     pieces = F.filter(F.flatten(F.transform(spans, cut)), lambda p: p["end"] > p["start"])
 
