@@ -87,6 +87,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, fractions: S
     """
     keys = list(keys)
     present = df.where(F.col(value).isNotNull()).select(*keys, value)
+    named = list(keys)
     if not keys:
         keys = ["_all"]
         present = present.withColumn("_all", F.lit(1))
@@ -105,4 +106,4 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, fractions: S
         F.min(value).alias("_a"), F.max(value).alias("_b"), F.first(F.col("_spot") - F.floor("_spot")).alias("_t"))
     a, b, t = F.col("_a"), F.col("_b"), F.col("_t")
     out = F.when(t >= 0.5, b - (b - a) * (1 - t)).otherwise(a + (b - a) * t)
-    return edge.select(*[k for k in keys if k != "_all"], "q_index", out.alias("quantile"))
+    return edge.select(*named, "q_index", out.alias("quantile"))
