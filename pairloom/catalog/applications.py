@@ -102,11 +102,10 @@ def intake_gates(spark, folder):
 
 def changed_applications(spark, folder):
     """Applications created from the orders, then one batch of changes: the events, whose user is an order number."""
-    made = encode_json(ap.create_applications(intake(spark, folder), F.col("o_orderdate")), ["timeline"]).drop("updated_at").withColumn(
-        "updated_at", F.col("o_orderdate"))
-    changes = stage_events(spark, folder).select("application_id", F.col("stage").alias("status"), "note", F.col("ts").alias("at"))
+    made = ap.create_applications(intake(spark, folder), F.col("o_orderdate"))
+    changes = stage_events(spark, folder).select("application_id", F.col("event_id").alias("change_id"), F.col("stage").alias("status"), F.col("ts").alias("at"))
     out = ap.change_status(made, changes)
-    return out.select("application_id", "status", "applied_date", F.size(F.from_json("timeline", "array<struct<date:string>>")).alias("n_entries"))
+    return out.select("application_id", "status", "applied_date", (F.size("timeline") + F.col("n_changes")).alias("n_entries"))
 
 
 def dashboard(spark, folder):
@@ -333,7 +332,7 @@ ORACLES = {
         select reasons = '' as is_valid, reasons, count(*) as n from g group by all""",
     "changed_applications": f"""with {INTAKE}, {STATE}, firsts as (select application_id, strftime(min(ts) filter (stage = 'applied'), '%Y-%m-%d') as d, count(*) as n from stage_events group by all)
         select i.application_id, coalesce(s.status, i.status, 'saved') as status,
-            coalesce(case when i.status = 'applied' then strftime(o_orderdate, '%Y-%m-%d') end, f.d) as applied_date, (1 + coalesce(f.n, 0))::int as n_entries
+            coalesce(case when i.status = 'applied' then strftime(o_orderdate, '%Y-%m-%d') end, f.d) as applied_date, 1 + coalesce(f.n, 0) as n_entries
         from intake i left join state s using (application_id) left join firsts f using (application_id)""",
     "dashboard": f"""with {mt.FEATURES}, {INTAKE}, a as (select user_id, case when match_score < 100 then 'rejected' when match_score < 200 then 'interviewing'
             else coalesce(status, 'screening') end as status from intake),

@@ -250,7 +250,7 @@ def posting_differences(spark, folder):
 
 
 def paired_differences(spark, folder):
-    return _round(posting_differences(spark, folder))
+    return _round(posting_differences(spark, folder)).withColumn("diff", F.col("diff") + F.lit(0.0))  # no negative zero
 
 
 def paired_bootstrap(spark, folder):
@@ -480,7 +480,7 @@ ORACLES = {
     "repetition_summary": f"with {REPEATED}, {SPREAD} select model, metric, {R6(['mean', 'std', 'min', 'max'])}, n_repetitions from summary",
     "paired_differences": f"""with {LONG}, {metrics_sql('by_model', 'model, posting_id', 'score')},
         long_diff as ({" union all ".join(f"select posting_id, '{m}' as metric, any_value({m}) filter (model = 'hybrid') - any_value({m}) filter (model = 'semantic') as diff from per_posting group by posting_id" for m in ('ndcg_10', 'ndcg_5', 'mrr', 'map'))})
-        select posting_id, metric, round(diff, 6) as diff from long_diff where diff is not null""",
+        select posting_id, metric, round(diff, 6) + 0.0::double as diff from long_diff where diff is not null""",
     "final_report": f"""with {REPEATED}, {SPREAD}, parts as (select *, {PART} as part from by_model),
         {metrics_sql('parts', 'part, model, posting_id', 'score').replace('placed', 'placed2').replace('stats', 'stats2').replace('per_posting', 'per_posting2')},
         two as (select part, model, {", ".join(f"avg({m}) as {m}" for m in fv.RANKING_METRICS)} from per_posting2 group by all)

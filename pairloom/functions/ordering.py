@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pairloom.functions.joins import join_small
 from pairloom.session import cut_lineage
 
 HOT_ROWS_CONF = "pairloom.hotGroupRows"
@@ -100,8 +101,8 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, fractions: S
     spots = spots.withColumn("_low", F.floor("_spot").cast("long") + 1)
     spots = spots.withColumn("_high", F.least(F.col("_low") + 1, F.col("_n"))).drop("_n")
     # A row can serve several fractions; the few spots per group are the small side of the join.
-    hits = ranked.join(spots.withColumn("_pos", F.explode(F.array_distinct(F.array("_low", "_high"))))
-                       .withColumnRenamed("_pos", "_rank"), [*keys, "_rank"])
+    spots = spots.withColumn("_rank", F.explode(F.array_distinct(F.array("_low", "_high"))))
+    hits = join_small(ranked, spots, [*keys, "_rank"])
     edge = hits.groupBy(*keys, "q_index").agg(
         F.min(value).alias("_a"), F.max(value).alias("_b"), F.first(F.col("_spot") - F.floor("_spot")).alias("_t"))
     a, b, t = F.col("_a"), F.col("_b"), F.col("_t")

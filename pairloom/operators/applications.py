@@ -50,25 +50,22 @@ def timeline(events: DataFrame, key: str = "application_id", at: str = "ts", tie
 
 
 def change_status(applications: DataFrame, changes: DataFrame) -> DataFrame:
-    """Apply one batch of changes (application_id, status, note, at), the latest per application winning the status.
+    """Apply a batch of changes (application_id, change_id, status, at): the latest wins the status, the first application
+    sets the applied date once.
 
-    Every change is appended to the JSON timeline in order; the applied date is set once.
+    Only aggregates of the changes meet the applications, however many there are of one application; the timeline is a
+    table of its own, to which timeline() of the changes is appended.
     """
-    entries = changes.select("application_id", F.struct(
-        "at", F.date_format("at", "yyyy-MM-dd").alias("date"), F.col("status").alias("stage"),
-        F.coalesce(F.nullif(F.col("note"), F.lit("")), F.concat(F.lit("Stage moved to "), F.col("status"))).alias("note")).alias("e"))
-    batch = entries.groupBy("application_id").agg(F.sort_array(F.collect_list("e")).alias("_new"))  # one application's changes of one batch
-    schema = "array<struct<date:string,stage:string,note:string>>"
-    old = F.coalesce(F.from_json("timeline", schema), F.array().cast(schema))
-    new = F.transform("_new", lambda e: F.struct(e["date"].alias("date"), e["stage"].alias("stage"), e["note"].alias("note")))
-    applied = F.get(F.filter("_new", lambda e: e["stage"] == "applied"), 0)["date"]
-    joined = applications.join(batch, "application_id", "left")
-    has = F.col("_new").isNotNull()
-    return joined.withColumns({
-        "timeline": F.when(has, F.to_json(F.concat(old, new))).otherwise(F.col("timeline")),
-        "applied_date": F.when(has, F.coalesce("applied_date", applied)).otherwise(F.col("applied_date")),
-        "status": F.when(has, F.element_at("_new", -1)["stage"]).otherwise(F.col("status")),
-        "updated_at": F.when(has, F.element_at("_new", -1)["at"]).otherwise(F.col("updated_at"))}).drop("_new")
+    state = application_state(changes, at="at", tie="change_id", stage="status")
+    return _with_state(applications, state)
+
+
+def _with_state(applications: DataFrame, state: DataFrame) -> DataFrame:
+    new = state.select("application_id", F.col("status").alias("_status"), F.date_format("applied_at", "yyyy-MM-dd").alias("_applied"),
+                       F.col("updated_at").alias("_at"), "n_changes")
+    return applications.join(new, "application_id", "left").withColumns({
+        "applied_date": F.coalesce("applied_date", "_applied"), "status": F.coalesce("_status", "status"),
+        "updated_at": F.coalesce("_at", "updated_at"), "n_changes": F.coalesce("n_changes", F.lit(0)).cast("long")}).drop("_status", "_applied", "_at")
 
 
 def status_counts(applications: DataFrame, status: str = "status", stages: Sequence[str] = fv.STATUSES) -> DataFrame:

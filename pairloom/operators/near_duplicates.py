@@ -9,14 +9,17 @@ that follow it is at least t.  Documents meet in the bucket of a shared prefix t
 * In a crowded bucket (many near copies of one text) a pivot is compared with every member.  Members within the threshold
   of the pivot are linked through it and are not compared with each other; angles add up, so a member and an outsider can
   reach the threshold only if their angles to the pivot differ by at most the threshold angle, which leaves few to verify.
-  The outsiders form the bucket of the next round.
+  The outsiders form the bucket of the next round, as long as rounds link a fair share of the bucket.
+* A crowded bucket of unlike texts is split by a second shared term: two vectors that reach t and whose weights of the
+  bucket's term multiply to less than t - s also share a term among each one's longer prefix, kept while the norm that
+  remains is at least s.  The few members with a large weight of the bucket's term are compared with the whole bucket.
 
 Connected components are found by alternating large-star and small-star steps, a logarithmic number of rounds.
 """
 
 from __future__ import annotations
 
-from math import acos, pi
+from math import acos, sqrt
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,6 +29,8 @@ from pairloom.functions import text as tx
 from pairloom.session import cut_lineage
 
 BUCKET_ROWS = 200
+FAIR_SHARE = 0.05  # a pivot round must link this share of a bucket, or the bucket is split by a second term
+SECOND_NORM = 0.5  # s above
 MARGIN = 1e-9  # keeps rounding from losing a pair that sits exactly on a bound; every pair is verified afterwards
 
 
@@ -42,10 +47,10 @@ def unigram_vectors(texts: DataFrame, doc: str = "doc_id", text: str = "text") -
 
 
 def prefixes(vectors: DataFrame, threshold: float, doc: str = "doc_id") -> DataFrame:
-    """The rows of each vector that can be needed to find a partner."""
+    """The rows of each vector that can be needed to find a partner, with the norm from each row on."""
     rest = Window.partitionBy(doc).orderBy(F.asc("df"), F.asc("term")).rowsBetween(Window.currentRow, Window.unboundedFollowing)
     remaining = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(rest))
-    return vectors.withColumn("remaining", remaining).where(F.col("remaining") >= threshold - MARGIN).select(doc, "term")
+    return vectors.withColumn("remaining", remaining).where(F.col("remaining") >= threshold - MARGIN).select(doc, "term", "weight")
 
 
 def cosines(candidates: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -60,10 +65,21 @@ def _ordered(x, y):
     return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
 
 
-def _bucket_pairs(members: DataFrame) -> DataFrame:
-    """All pairs inside buckets of at most BUCKET_ROWS members."""
+def _bucket_pairs(members: DataFrame, keys: tuple[str, ...] = ("term",)) -> DataFrame:
+    """All pairs inside small buckets."""
+    members = members.select(*keys, "doc_id")
     other = members.withColumnRenamed("doc_id", "b")
-    return members.withColumnRenamed("doc_id", "a").join(other, "term").where(F.col("a") < F.col("b")).select("a", "b").distinct()
+    return members.withColumnRenamed("doc_id", "a").join(other, list(keys)).where(F.col("a") < F.col("b")).select("a", "b").distinct()
+
+
+def _pairs_by_second_term(members: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of crowded buckets (term, doc_id, weight) that also share a term of the longer prefix."""
+    large = F.col("weight") >= sqrt(threshold - SECOND_NORM) - MARGIN
+    longer = prefixes(vectors, SECOND_NORM).select("doc_id", F.col("term").alias("second"))
+    split = members.where(~large).join(longer, "doc_id").where(F.col("term") != F.col("second"))
+    heavy = members.where(large).select("term", F.col("doc_id").alias("h"))
+    against = heavy.join(members, "term").where(F.col("h") != F.col("doc_id")).select(*_ordered(F.col("h"), F.col("doc_id")))
+    return _bucket_pairs(split, ("term", "second")).unionByName(against)
 
 
 def candidate_pairs(vectors: DataFrame, threshold: float, bucket_rows: int = BUCKET_ROWS) -> tuple[DataFrame, DataFrame]:
@@ -83,7 +99,7 @@ def candidate_pairs(vectors: DataFrame, threshold: float, bucket_rows: int = BUC
         seen = cut_lineage(cosines(pivots, vectors))
         placed = toward.withColumns(dict(zip(["a", "b"], _ordered(F.col("doc_id"), F.col("pivot"))))).join(
             seen, ["a", "b"], "left").select(
-            "term", "pivot", "doc_id",
+            "term", "pivot", "doc_id", "weight",
             F.acos(F.least(F.coalesce("cosine", F.lit(0.0)), F.lit(1.0))).alias("angle"),
             (F.coalesce("cosine", F.lit(0.0)) >= threshold).alias("linked"))
         placed = cut_lineage(placed)
@@ -97,11 +113,13 @@ def candidate_pairs(vectors: DataFrame, threshold: float, bucket_rows: int = BUC
         across = near.join(inside.select("term", F.col("doc_id").alias("m"), F.col("angle").alias("ma"),
                                          band(F.col("angle")).alias("band")), ["term", "band"])
         across = across.where(F.col("oa") - F.col("ma") <= angle + MARGIN).select(*_ordered(F.col("o"), F.col("m")))
-        rest_sizes = outside.groupBy("term").agg(F.count("*").alias("n"))
-        rest = outside.select("term", "doc_id")
-        few = rest.join(rest_sizes.where((F.col("n") > 1) & (F.col("n") <= bucket_rows)).select("term"), "term")
-        pairs = pairs.unionByName(across).unionByName(_bucket_pairs(few))
-        current = cut_lineage(rest.join(rest_sizes.where(F.col("n") > bucket_rows).select("term"), "term"))
+        left = F.count_if(~F.col("linked"))
+        sizes = placed.groupBy("term").agg(left.alias("n"), (F.count_if("linked") >= FAIR_SHARE * F.count("*")).alias("goes_on"))
+        rest = outside.select("term", "doc_id", "weight").join(sizes.where("n > 1"), "term")
+        many = F.col("n") > bucket_rows
+        pairs = pairs.unionByName(across).unionByName(_bucket_pairs(rest.where(~many))).unionByName(
+            _pairs_by_second_term(rest.where(many & ~F.col("goes_on")).select("term", "doc_id", "weight"), vectors, threshold))
+        current = cut_lineage(rest.where(many & F.col("goes_on")).select("term", "doc_id", "weight"))
     return pairs.distinct(), links
 
 

@@ -135,7 +135,7 @@ def narrative() -> tuple[Column, Column]:
     covered = F.col("required_skill_coverage") >= 0.75
     listed = lambda c: F.array_join(c, ", ")
     match, c = F.col("experience_match"), F.col("components")
-    years, wanted = F.format_string("%.1f", F.col("candidate_experience_years")), F.format_string("%.0f", F.bround("required_experience_years", 0))
+    years, wanted = F.format_string("%.1f", F.bround("candidate_experience_years", 1)), F.format_string("%.0f", F.bround("required_experience_years", 0))
     similar = lambda field, what, strong: F.when(
         (c[field] >= 0.66) if strong else (c[field] < 0.33),
         F.lit(f"{'Strong' if strong else 'Weak'} similarity between the {what} and the job"))

@@ -99,6 +99,20 @@ def test_groups_match_brute_force(spark, bucket_rows):
     assert got == brute_groups(texts)
 
 
+def test_unlike_texts_in_one_crowded_bucket(spark):
+    """Texts that share two rare terms and little else: no pivot links a fair share, so the bucket is split again."""
+    rng = random.Random(7)
+    texts = []
+    for i in range(60):
+        own = [f"u{i}x{k}" for k in range(rng.choice([0, 1, 6]))] + rng.sample([f"c{k}" for k in range(30)], 6)
+        texts.append(" ".join(["rare", "odd", *own]))
+    texts += [texts[0] + " zz", texts[5] + " yy c1", "rare", "rare rare odd"]
+    texts += [f"filler{i} plain{i % 9} words{i % 4}" for i in range(80)]
+    texts = list(dict.fromkeys(texts))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"]: r["group_id"] for r in nd.near_duplicate_groups(df, threshold=0.7, bucket_rows=3).collect()} == brute_groups(texts, 0.7)
+
+
 def test_long_chain_of_components(spark):
     nodes = spark.createDataFrame([(i,) for i in range(60)], "doc_id long")
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 39)] + [(50, 55), (55, 52)], "a long, b long")
@@ -143,7 +157,8 @@ def test_splits(spark):
     report = sp.leakage_report(pairs)
     assert report.where("leaks").count() == 0
     sp.require_no_leakage(report)
-    leaky = pairs.limit(50).unionByName(pairs.limit(50).withColumn("split", F.lit("test")))
+    train = pairs.where("split = 'train'")
+    leaky = train.unionByName(train.withColumn("split", F.lit("test")))
     with pytest.raises(ValueError, match="shared"):
         sp.require_no_leakage(sp.leakage_report(leaky))
 

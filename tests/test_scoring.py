@@ -170,10 +170,12 @@ def test_verdicts_and_comparison(spark):
 def test_application_life(spark):
     intake = spark.createDataFrame([(1, 7, "Acme", "Analyst", None, None, None)],
                                    "application_id int, user_id int, company string, position string, location string, status string, notes string")
-    made = ap.create_applications(intake, F.lit("2024-05-01").cast("timestamp")).withColumn("timeline", F.to_json("timeline"))
+    made = ap.create_applications(intake, F.lit("2024-05-01").cast("timestamp"))
     assert made.first()["status"] == "saved" and made.first()["applied_date"] is None and made.first()["location"] == "Remote"
-    changes = spark.createDataFrame([(1, "applied", "", "2024-05-02"), (1, "screening", "call", "2024-05-03")],
-                                    "application_id int, status string, note string, at string").withColumn("at", F.col("at").cast("timestamp"))
+    changes = spark.createDataFrame([(1, 5, "applied", "", "2024-05-02"), (1, 6, "screening", "call", "2024-05-03")],
+                                    "application_id int, change_id int, status string, note string, at string").withColumn("at", F.col("at").cast("timestamp"))
     out = ap.change_status(made, changes).first()
-    assert (out["status"], out["applied_date"]) == ("screening", "2024-05-02")
-    assert out["timeline"].count('"stage"') == 3 and "Stage moved to applied" in out["timeline"] and '"call"' in out["timeline"]
+    assert (out["status"], out["applied_date"], out["n_changes"], len(out["timeline"])) == ("screening", "2024-05-02", 2, 1)
+    entries = ap.timeline(changes, at="at", tie="change_id", stage="status").orderBy("seq").collect()
+    assert [(e["seq"], e["date"], e["stage"], e["note"]) for e in entries] == [
+        (1, "2024-05-02", "applied", "Stage moved to applied"), (2, "2024-05-03", "screening", "call")]
