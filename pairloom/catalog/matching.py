@@ -244,6 +244,22 @@ def repetition_matrix(spark, folder):
     return _round(rp.repetition_matrix(per, ex.repeated_selection(pairs), list(MODELS), "ndcg_10"))
 
 
+def repeated_ablation(spark, folder):
+    """Mean and deviation of each ablation stage over the repetitions' test rows."""
+    stages = pf.ablation_configurations("B_semantic_heavy")
+    rows = repeated_pairs(spark, folder).where("split = 'test'")
+    scored = pf.configuration_scores(rows, stages, BOUNDS, ["repetition", *ex.PAIR]).withColumn("score", F.round("score", 6))
+    by = ["repetition", "config_index", "configuration"]
+    per = rk.ranking_summary(rk.posting_metrics(scored, "score", by), by).withColumnsRenamed({"configuration": "stage", "config_index": "stage_index"})
+    return _round(rp.stage_summary(per, ["ndcg_10", "mrr"]), 5)
+
+
+def headline(spark, folder):
+    """Selected cells by model."""
+    long = rs.repetition_summary(repeated_models(spark, folder), fv.RANKING_METRICS).select("model", "metric", F.col("mean").alias("value"))
+    return _round(rp.headline(long, ["semantic", "hybrid"], ["ndcg_10", "mrr"]))
+
+
 def posting_differences(spark, folder):
     per = rk.posting_metrics(model_scores(spark, folder), "score", ["model"])
     return rs.paired_differences(per, "semantic", "hybrid", ["ndcg_10", "ndcg_5", "mrr", "map"])
@@ -299,7 +315,7 @@ QUERIES = {f.__name__: f for f in [
     semantic_pairs, skill_coverage, pair_features, scaler_bounds, weighted_scores, weight_comparison, selected_weights, weight_selection,
     ablation, explained_pairs, explanation_audit, evaluation_protocol, model_comparison, model_deltas, compared_models, error_table,
     error_summary, repeated_evaluation, repetition_summary, repeated_selection, repetition_matrix, paired_differences, paired_bootstrap,
-    difference_table, final_report, best_models, objectives, stage_verdicts]}
+    difference_table, repeated_ablation, headline, final_report, best_models, objectives, stage_verdicts]}
 
 TRADE = """lines as (select o_custkey as posting_id, l_suppkey as candidate_id, p_brand as skill, l_quantity,
         case l_returnflag when 'A' then 0 when 'N' then 1 else 2 end as label_id
@@ -345,10 +361,10 @@ FEATURE_COLUMNS = ["required_skill_coverage", "preferred_skill_coverage", "weigh
 EXACT = ["required_skill_count", "preferred_skill_count", "uncertain_skill_count", "missing_required_skill_count", "missing_preferred_skill_count"]
 
 
-def combine_sql(weights: dict[str, float]) -> str:
+def combine_sql(weights: dict[str, float], bounds: dict[str, tuple] | None = None) -> str:
     values = {}
     for name in weights:
-        lo, hi = BOUNDS.get(name, (0, 0))
+        lo, hi = (bounds or BOUNDS).get(name, (0, 0))
         value = f"least(greatest(({name} - ({lo}::double)) / ({hi}::double - ({lo}::double)), 0), 1)" if name in BOUNDS else name
         if name in BOUNDS:
             value = f"case when {name} is not null then {value} end"
@@ -357,7 +373,8 @@ def combine_sql(weights: dict[str, float]) -> str:
         values[name] = f"({value})"
     top = " + ".join(f"coalesce({w}::double * {values[n]}, 0)" for n, w in weights.items())
     bottom = " + ".join(f"case when {values[n]} is not null then {w}::double else 0 end" for n, w in weights.items())
-    return f"round(coalesce(({top}) / nullif({bottom}, 0), 0), 6)"
+    score = f"coalesce(({top}) / nullif({bottom}, 0), 0)"
+    return score if bounds else f"round({score}, 6)"
 
 
 def configs_sql(configurations: dict) -> str:
@@ -438,7 +455,64 @@ ERRORS = f"""{PREDS}, eligible as (select posting_id, count(*) as n_candidates,
         n_required = 0 or no_exp as tag_insufficient_requirement_or_candidate_evidence
         from failing e join preds w on w.posting_id = e.posting_id and w.candidate_id = f.w join gaps g on g.posting_id = e.posting_id where f is not null)"""
 
+CATEGORY = "case predicted when 0 then 'Weak match' when 1 then 'Potential match' else 'Strong match' end"
+USED = "concat_ws(',', " + ", ".join(
+    f"case when {fv.COUNT_OF_COVERAGE[n]} > 0 then '{n}' end" if n in fv.COUNT_OF_COVERAGE else f"case when {n} is not null then '{n}' end" for n in WEIGHTS) + ")"
+SCALED_SQL = {n: f"least(greatest(({n} + 0.25::double) / 0.5::double, 0), 1)" for n in BOUNDS}
+YEARS_SQL = "printf('%.1f', round_even(candidate_experience_years, 1))"
+WANTED_SQL = "printf('%.0f', round_even(required_experience_years, 0))"
+FOUND_SQL = "mr || ' of ' || required_skill_count || ' required skills found'"
+
+
+COLUMN_BOUNDS = {"semantic_similarity": ("lo_s", "hi_s"), "responsibility_similarity": ("lo_r", "hi_r")}
+REFITTED = f"""{PREDS}, {FOLDED.split('repeated_long')[0].rstrip().rstrip(',')},
+    held as (select p.*, s.repetition from preds p join spread s using (candidate_id) where s.split = 'validation'),
+    limits as (select repetition, quantile_cont(semantic_similarity, 0.01) as lo_s, quantile_cont(semantic_similarity, 0.99) as hi_s,
+        quantile_cont(responsibility_similarity, 0.01) as lo_r, quantile_cont(responsibility_similarity, 0.99) as hi_r from held group by all),
+    bounded as (select * from held join limits using (repetition)),
+    rescored as ({" union all ".join(f"select repetition, '{n}' as configuration, {i} as config_index, posting_id, candidate_id, label_id, {combine_sql(dict(zip(fv.COMPONENTS, w)), COLUMN_BOUNDS)} as score from bounded" for i, (n, w) in enumerate(fv.WEIGHTINGS.items()))}),
+    {metrics_sql('rescored', 'repetition, config_index, configuration, posting_id', 'score').replace('placed', 'placed3').replace('stats', 'stats3').replace('per_posting', 'per_posting3')},
+    per_config as (select repetition, configuration, config_index, avg(ndcg_10) as ndcg_10 from per_posting3 group by all),
+    selected as (select * from per_config qualify row_number() over (partition by repetition order by ndcg_10 desc, config_index) = 1)"""
+
+
+def similar_sql(strong: bool) -> str:
+    word, test = ("Strong", ">= 0.66") if strong else ("Weak", "< 0.33")
+    return ", ".join(f"case when {n} is not null and {SCALED_SQL[n]} {test} then '{word} similarity between the {w} and the job' end"
+                     for n, w in (("semantic_similarity", "overall profile"), ("responsibility_similarity", "past duties")))
+
+
 ORACLES = {
+    "explained_pairs": f"""with {FEATURES} select posting_id, candidate_id, {combine_sql(WEIGHTS)} as overall_score, {USED} as used,
+        concat_ws(' | ', case when required_skill_count > 0 and required_skill_coverage >= 0.75 then {FOUND_SQL} || ': ' || replace(matched_required_skills, ',', ', ') end,
+            case when matched_preferred_skills <> '' then 'Preferred skills found: ' || replace(matched_preferred_skills, ',', ', ') end,
+            case when experience_match >= 1 then 'Meets the experience requirement (' || {YEARS_SQL} || ' vs ' || {WANTED_SQL} || ' years)' end, {similar_sql(True)}) as strengths,
+        concat_ws(' | ', case when required_skill_count = 0 then 'No required skills were detected in the job description, so skill coverage was not scored'
+                when required_skill_coverage < 0.75 then {FOUND_SQL} || '; missing: ' || replace(missing_required_skills, ',', ', ') end,
+            case when experience_match < 1 then 'Estimated experience ' || {YEARS_SQL} || ' years is below the ' || {WANTED_SQL} || ' years requested' end, {similar_sql(False)}) as gaps
+        from features""",
+    "compared_models": f"""with {LONG}, {thresholds_sql('by_model', 'model')}, ref as (select model, score, count(*) as w from by_model where label_id = 2 group by all),
+        cum as (select model, score, sum(w) over (partition by model order by score) as upto from ref), total as (select model, sum(w) as t from ref group by all),
+        placed as (select b.*, round_even(100.0::double * coalesce(c.upto, 0) / t.t, 1) as pct from by_model b join total t using (model)
+            asof left join cum c on b.model = c.model and b.score > c.score),
+        named as (select p.*, (p.score >= f.t1)::int + (p.score >= f.t2)::int as predicted from placed p join fitted f on p.model = f.model)
+        select posting_id, candidate_id, string_agg(model || ':' || {CATEGORY} || ':' || printf('%.1f', pct), ',' order by pct desc, model) as ranking
+        from named group by all""",
+    "repeated_selection": f"with {REFITTED} select repetition, configuration, config_index, round(ndcg_10, 6) as ndcg_10 from selected",
+    "repetition_matrix": f"""with {REFITTED}, by_model as ({" union all ".join(f"select '{m}' as model, posting_id, candidate_id, label_id, {c} as score from preds" for m, c in MODELS.items())}),
+        test_rows as (select m.*, s.repetition from by_model m join spread s using (candidate_id) where s.split = 'test'),
+        {metrics_sql('test_rows', 'repetition, model, posting_id', 'score')},
+        cells as (select repetition, model, avg(ndcg_10) as v from per_posting group by all)
+        select repetition, {", ".join(f"round(any_value(v) filter (model = '{m}'), 6) as {m}" for m in MODELS)}, any_value(configuration) as configuration
+        from cells left join selected using (repetition) group by repetition""",
+    "headline": f"""with {REPEATED}, {SPREAD} select model, round(any_value(mean) filter (metric = 'ndcg_10'), 6) as ndcg_10,
+        round(any_value(mean) filter (metric = 'mrr'), 6) as mrr from summary where model in ('semantic', 'hybrid') group by model""",
+    "repeated_ablation": f"""with {PREDS}, {FOLDED.split('repeated_long')[0].rstrip().rstrip(',')}, configs as ({configs_sql(pf.ablation_configurations('B_semantic_heavy'))}),
+        test_rows as (select c.*, s.repetition from configs c join spread s using (candidate_id) where s.split = 'test'),
+        {metrics_sql('test_rows', 'repetition, config_index, configuration, posting_id', 'score')},
+        per as (select repetition, config_index, configuration, avg(ndcg_10) as ndcg_10, avg(mrr) as mrr from per_posting group by all)
+        select configuration as stage, config_index as stage_index, {", ".join(f"round(avg({m}), 5) as {m}_mean, round(stddev_samp({m}), 5) as {m}_std" for m in ('ndcg_10', 'mrr'))}
+        from per group by all""",
     "semantic_pairs": f"""with {TRADE} select p.posting_id, p.candidate_id, round({DOT.format(a='ev', b='pv')}, 6) as score from pairs p
         join embeddings ev on ev.vec_id = p.candidate_id join embeddings pv on pv.vec_id = p.posting_id""",
     "skill_coverage": f"with {TRADE} select * exclude (mr, mp, mu, required_skill_coverage, preferred_skill_coverage, weighted_skill_coverage, job_skill_coverage), "

@@ -27,6 +27,8 @@ def hot_rows(df: DataFrame) -> int:
 
 def cannot_be_hot(df: DataFrame) -> bool:
     """True where the optimizer's size estimate of the whole input is too small for any group to be large."""
+    if not hasattr(df, "_jdf"):
+        return False
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= hot_rows(df) * SMALL_ROW_BYTES
 
 
