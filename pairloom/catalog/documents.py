@@ -198,7 +198,6 @@ TOKENS = f"""{NORMAL}, toks as (select doc_id, unnest(regexp_extract_all({GLUED}
     alias(a, s) as (values {ALIAS_SQL}),
     hits as (select doc_id, s as skill from toks join alias on lower(tok) = a union all select doc_id, 'Of' from toks where tok = 'Of')"""
 NGRAM = ", ".join(f"('{a}', '{s}', '{c}')" for a, s, c, _ in ALIASES)
-LOW_WORDS = "list_filter(regexp_split_to_array(lower(text), '[^a-z0-9#+]+'), lambda x: x <> '')"
 BULLETLESS = r"trim(regexp_replace(l, '^[•\-*·]\s*', ''))"
 CONTACT_PHONE, CONTACT_EMAIL = q(fv.CONTACT_PHONE), q(fv.CONTACT_EMAIL)
 VERBS = " + ".join(f"contains(low, '{v}')::int" for v in fv.ACTION_VERBS)
@@ -226,12 +225,10 @@ ORACLES = {
             floor((contact_details::int + word_count_ok::int + headings_ok::int + action_verbs_ok::int + metrics_ok::int) / 5.0::double * 100 + 0.5)::int as score,
             least(floor(3 / greatest(words, 1) * 1000 + 0.5) / 10, 15.0::double) as keyword_density, words::int as n_words,
             greatest(1, ceil(words / 450.0::double))::int as n_pages from c""",
-    "tagged_documents": f"""with w as (select doc_id, {LOW_WORDS} as w from documents),
-        g as (select distinct doc_id, unnest(list_concat(w, [w[i] || ' ' || w[i + 1] for i in range(1, len(w))])) as gram from w),
-        alias(a, skill, category) as (values {NGRAM}) select distinct doc_id, skill, category from g join alias on gram = a""",
-    "posting_requirements": f"""with w as (select item_id as posting_id, {LOW_WORDS} as w from benchmark),
-        g as (select distinct posting_id, unnest(list_concat(w, [w[i] || ' ' || w[i + 1] for i in range(1, len(w))])) as gram from w),
-        alias(a, skill, category) as (values {NGRAM}) select distinct posting_id, skill, category, 'required' as status from g join alias on gram = a""",
+    "tagged_documents": f"""with alias(a, skill, category) as (values {NGRAM}) select distinct doc_id, skill, category from documents join alias
+        on regexp_matches(lower(text), '(^|[^a-z0-9#+])' || a || '([^a-z0-9#+]|$)')""",
+    "posting_requirements": f"""with alias(a, skill, category) as (values {NGRAM}) select distinct item_id as posting_id, skill, category, 'required' as status
+        from benchmark join alias on regexp_matches(lower(text), '(^|[^a-z0-9#+])' || a || '([^a-z0-9#+]|$)')""",
     "advert_levels": f"""with l as (select doc_id, text, case {LEVELS} else 'mid' end as seniority from documents)
         select doc_id, seniority, coalesce(try_cast(regexp_extract(text, {q(adverts.YEARS)}, 1) as int),
             case seniority when 'executive' then 3 when 'lead' then 7 when 'senior' then 5 when 'entry' then 1 else 3 end)::int as min_years from l""",

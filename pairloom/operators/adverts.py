@@ -11,6 +11,7 @@ from pairloom.functions.text import strip, unbulleted
 from pairloom.operators.profiles import section_slice
 from pairloom.operators.skills import tag_by_ngrams
 
+# Section headers, patterns and the default phrase.
 PREFERRED_HEADER = r"(?i)(?:preferred qualifications|nice to have|bonus points|preferred skills|plus if you have)\s*[:\n]"
 AFTER_PREFERRED = r"(?i)\n\s*(?:benefits|about us|what we offer|responsibilities|compensation)\s*[:\n]"
 DUTIES_HEADER = r"(?i)(?:responsibilities|what you will do|what you'll do|day to day|key duties|role overview)\s*[:\n]"

@@ -10,6 +10,7 @@ from pairloom.functions.binding import let
 from pairloom.functions.spans import match_spans
 from pairloom.operators.sections import GLUE_BEFORE, cues, nearest_cue
 
+# Patterns of years and dates.
 _NUMBER = r"(\d{1,2}(?:\.\d)?|" + "|".join(fv.NUMBER_WORDS) + ")"
 REQUIRED_YEARS = (rf"(?iU)(?<![\d.]){_NUMBER}\s*(?:\(\d{{1,2}}\)\s*)?\+?\s*(?:(?:-|–|—|to)\s*{_NUMBER}\s*\+?\s*)?"
                   r"(?:or more\s+|plus\s+)?(?:years?|yrs?)\b")

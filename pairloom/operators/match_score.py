@@ -11,6 +11,7 @@ from pairloom.functions.binding import let
 from pairloom.functions.numbers import clamp, half_up
 from pairloom.operators.lexical import bag_cosine
 
+# Weights of the five parts.
 PART_WEIGHTS = {"skills_score": 0.40, "experience_score": 0.25, "responsibilities_score": 0.20, "education_score": 0.10, "format_score": 0.05}
 
 

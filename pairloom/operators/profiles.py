@@ -13,6 +13,7 @@ from pairloom.functions.binding import let
 from pairloom.functions.numbers import clamp, half_up
 from pairloom.functions.text import lines, strip, unbulleted, word_count
 
+# Section headers as (start, end, length limit), line patterns and default texts.
 SUMMARY = (r"(?i)(?:summary|professional summary|about me|profile|executive summary)\s*[:\n]",
            r"(?i)\n\s*(?:experience|work experience|employment|education|skills|certifications|projects)\s*[:\n]", 500)
 EXPERIENCE = (r"(?i)(?:experience|work experience|employment history|professional experience)\s*[:\n]",

@@ -13,6 +13,7 @@ from pairloom import fixed_values as fv
 from pairloom.functions.binding import let
 from pairloom.functions.spans import SPAN, last_started, match_spans, part, trimmed_span
 
+# Where segments end, where a heading may stand, what bounds a word in glued text.
 BOUNDARY = r"(?U)(?<=[.!?;:])\s+|(?<=[a-z0-9)])(?=[A-Z][a-z])"
 BEFORE_HEADING = r"(?:(?<![A-Za-z])|(?<=[a-z]))(?=[A-Z])"
 AFTER_HEADING = r"(?=\s*(?:$|[:\-A-Z0-9(]))"

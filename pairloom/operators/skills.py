@@ -17,6 +17,7 @@ from pairloom.functions.spans import last_started, match_spans
 from pairloom.functions.text import ngrams
 from pairloom.operators.sections import cues, nearest_cue
 
+# What bounds a skill name in glued text.
 BEFORE = r"(?:(?<![A-Za-z0-9+#])|(?<=[a-z])(?=[A-Z]))"
 AFTER = r"(?:(?![A-Za-z0-9+#])|(?<=[a-z])(?=[A-Z]))"
 MAX_ALIASES = 10_000
@@ -112,11 +113,18 @@ def tag_by_ngrams(docs: DataFrame, aliases: DataFrame, max_words: int = 4, id: s
     """(id, skill, category) per document: word n-grams joined with an alias table of any size, one hit per skill.
 
     aliases: (alias, skill, category).  Words keep letters, digits, '#' and '+'; every other character separates, so an
-    alias is broken up the same way before the join.
+    alias is broken up the same way before the join.  An alias that has other characters (a blank, "node.js") is then
+    looked for literally in the few texts that hold its words.
     """
     split = lambda c: F.filter(F.split(F.lower(c), r"[^a-z0-9#+]+"), lambda w: w != "")
     words = docs.select(id, split(F.col(text)).alias("_w"))
     grams = let(F.col("_w"), lambda w: F.flatten(F.array(*[ngrams(w, n) for n in range(1, max_words + 1)])))
     terms = words.select(id, F.explode(F.array_distinct(grams)).alias("gram"))
-    keys = aliases.select(F.array_join(split(F.col("alias")), " ").alias("gram"), "skill", "category").distinct()
-    return terms.join(keys, "gram").select(id, "skill", "category").distinct()
+    low = F.lower("alias")
+    literal = F.concat(F.lit("(^|[^a-z0-9#+])"), F.regexp_replace(low, r"([^a-z0-9\s_])", r"\\$1"), F.lit("([^a-z0-9#+]|$)"))
+    keys = aliases.select(F.array_join(split(F.col("alias")), " ").alias("gram"), "skill", "category",
+                          low.rlike("[^a-z0-9#+]").alias("_check"), literal.alias("_literal")).distinct()
+    found = terms.join(keys, "gram")
+    texts = docs.select(id, F.lower(text).alias("_text"))
+    checked = found.where("_check").join(texts, id).where(F.rlike("_text", F.col("_literal")))
+    return found.where("not _check").select(id, "skill", "category").unionByName(checked.select(id, "skill", "category")).distinct()

@@ -99,9 +99,9 @@ def model_comparison(evaluated: DataFrame, first: str, models: Sequence[str]) ->
 def pairwise_deltas(evaluated: DataFrame, order: Sequence[str], metrics: Sequence[str] = tuple(RANKING)) -> DataFrame:
     """(comparison, deltas): every later model minus every earlier one; a handful of models."""
     position = F.array_position(F.array(*map(F.lit, order)), F.col("model"))
-    placed = evaluated.select("model", position.alias("p"), *metrics).where("p > 0")
+    placed = evaluated.select("model", position.alias("p"), F.lit(1).alias("k"), *metrics).where("p > 0")
     a, b = placed.alias("a"), placed.alias("b")
-    return a.join(b, F.col("a.p") < F.col("b.p")).select(
+    return a.join(b, (F.col("a.k") == F.col("b.k")) & (F.col("a.p") < F.col("b.p"))).select(
         F.concat(F.col("b.model"), F.lit(" - "), F.col("a.model")).alias("comparison"),
         *[F.bround(F.col(f"b.{m}") - F.col(f"a.{m}"), 6).alias(m) for m in metrics])
 

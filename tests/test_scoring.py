@@ -78,6 +78,11 @@ def test_profile(parsed):
     assert p["years"] == 11 and p["checks"]["contact_details"] and p["checks"]["headings_ok"] and p["checks"]["score"] >= 60
 
 
+def test_aliases_with_punctuation_match_literally(spark, aliases):
+    docs = spark.createDataFrame([(1, "uses node, js"), (2, "Uses Node.JS."), (3, "xnode.js"), (4, "node.js+ c"), (5, "go-to"), (6, "gone")], "doc_id int, text string")
+    assert {(r["doc_id"], r["skill"]) for r in skills.tag_by_ngrams(docs, aliases).collect()} == {(2, "Node.js"), (5, "Go")}
+
+
 def test_advert(parsed):
     a = parsed[1].first()
     assert set(a["required_skills"]) == {"TypeScript", "Node.js", "PostgreSQL", "AWS"} and set(a["preferred_skills"]) == {"Kubernetes", "Go"}
