@@ -17,7 +17,7 @@ from pairloom.functions.joins import join_small
 from pairloom.session import cut_lineage
 
 HOT_ROWS_CONF = "pairloom.hotGroupRows"
-HOT_ROWS = 2_000_000
+HOT_ROWS = 1_000_000
 SMALL_ROW_BYTES = 32
 
 
