@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pairloom.llm import chat, decontaminate, fingerprints, mixing
+from pairloom.llm import chat, decontaminate, fingerprints, mixing, near_copies
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
     "op4_chat_format": chat.op4_chat_format,
     "op6_mixing": mixing.op6_mixing,
+    "op7_near_copies": near_copies.op7_near_copies,
     "op10_decontamination": decontaminate.op10_decontamination,
 }
 ORACLES = {"op4_chat_format": chat.OP4_SQL, "op6_mixing": mixing.OP6_SQL, "op10_decontamination": decontaminate.OP10_SQL}
