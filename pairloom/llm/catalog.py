@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pairloom.llm import chat, decontaminate, fingerprints, mixing, near_copies
+from pairloom.llm import chat, decontaminate, fingerprints, mixing, near_copies, personal_data, toxicity
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
     "op4_chat_format": chat.op4_chat_format,
     "op6_mixing": mixing.op6_mixing,
     "op7_near_copies": near_copies.op7_near_copies,
+    "op8_personal_data": personal_data.op8_personal_data,
+    "op9_toxicity": toxicity.op9_toxicity,
     "op10_decontamination": decontaminate.op10_decontamination,
 }
 ORACLES = {"op4_chat_format": chat.OP4_SQL, "op6_mixing": mixing.OP6_SQL, "op10_decontamination": decontaminate.OP10_SQL}
