@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pairloom.llm import chat, decontaminate, fingerprints, mixing, near_copies, personal_data, toxicity
+from pairloom.llm import chat, decontaminate, fingerprints, mixing, near_copies, personal_data, quality, toxicity
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
+    "op2_quality": quality.op2_quality,
     "op4_chat_format": chat.op4_chat_format,
     "op6_mixing": mixing.op6_mixing,
     "op7_near_copies": near_copies.op7_near_copies,

@@ -76,6 +76,12 @@ def text_key(text: str = "text") -> Column:
     return F.substring(F.sha2(F.coalesce(F.col(text), F.lit("")), 256), 1, 32)
 
 
+def row_id() -> Column:
+    """The id under which a row of (doc_id, text) takes part: doc_id, or a negative id made from the text if that is null."""
+    made = F.lit(-1) - F.pmod(F.xxhash64(F.coalesce(F.col("text"), F.lit(""))), F.lit(1 << 62))
+    return F.coalesce(F.col("doc_id").cast("long"), made)
+
+
 def text_bytes(text) -> bytes:
     return b"" if text is None or text != text else text.encode("utf-8", "surrogatepass")
 

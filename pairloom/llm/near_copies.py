@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import U64, checkpointed, mix, shingle_hashes, table, text_bytes, text_key
+from pairloom.llm.common import U64, checkpointed, mix, row_id, shingle_hashes, table, text_bytes, text_key
 from pairloom.operators.near_duplicates import connected_components
 
 WORDS, SIMILARITY = 5, 0.8
@@ -40,12 +40,6 @@ LEAST_IDF = 0.7
 PIVOTS = (1, 16, None)
 
 
-def node() -> Column:
-    """The id under which a row takes part."""
-    made = F.lit(-1) - F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(1 << 62))
-    return F.coalesce(F.col("doc_id").cast("long"), made)
-
-
 @lru_cache(1)
 def _draws() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Multipliers of the sample functions; quantile tables of Gamma(2, 1) and of the logarithm of it."""
@@ -131,14 +125,14 @@ def signatures(docs: DataFrame, idf) -> DataFrame:
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "id": batch["id"], "text_key": batch["text_key"],
                                 "bands": bands, "marks": marks})
 
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), node().alias("id"), text_key().alias("text_key"), "text")
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_id().alias("id"), text_key().alias("text_key"), "text")
     return source.mapInPandas(sign, "doc_id long, id long, text_key string, bands array<long>, marks array<short>")
 
 
 def verified(docs: DataFrame, pairs: DataFrame, idf) -> DataFrame:
     """(a, b, similarity) of the pairs (a, b) that are similar enough.  Only texts that stand in a pair are fetched."""
     ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = checkpointed(docs.select(node().alias("id"), "text").join(ends, "id", "left_semi"))
+    texts = checkpointed(docs.select(row_id().alias("id"), "text").join(ends, "id", "left_semi"))
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, held = None, None
@@ -222,7 +216,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
 def first_of_each_class(docs: DataFrame) -> DataFrame:
     """The documents, with all their columns, of which no near copy has a smaller id; one row per id."""
     kept = near_copies(docs).where(F.col("id") == F.col("class_id")).select(F.col("id").alias("_kept_id")).distinct()
-    marked = docs.withColumn("_kept_id", node())
+    marked = docs.withColumn("_kept_id", row_id())
     return marked.join(kept, "_kept_id", "left_semi").dropDuplicates(["_kept_id"]).select(*docs.columns)
 
 
