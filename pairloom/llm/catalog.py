@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pairloom.llm import chat, decontaminate, fingerprints, mixing, near_copies, personal_data, quality, toxicity
+from pairloom.llm import chat, decontaminate, fingerprints, html_text, licenses, mixing, near_copies, personal_data, quality, toxicity
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
     "op2_quality": quality.op2_quality,
+    "op3_licenses": licenses.op3_licenses,
     "op4_chat_format": chat.op4_chat_format,
+    "op5_html_text": html_text.op5_html_text,
     "op6_mixing": mixing.op6_mixing,
     "op7_near_copies": near_copies.op7_near_copies,
     "op8_personal_data": personal_data.op8_personal_data,
