@@ -19,16 +19,17 @@ from pairloom.llm.common import table
 
 # The control strings of the template and of common chat formats, which may not stand in a text as they are.
 OPEN, BODY, CLOSE = "<s>", "[INST]", "</s>"
-CONTROL = r"([<\[])(\\*)(/?s>|/?INST\]|</?SYS>>|\|im_start\||\|im_end\|)"
-ESCAPED = r"([<\[])\\(\\*)(/?s>|/?INST\]|</?SYS>>|\|im_start\||\|im_end\|)"
+CONTROL = r"(<)(\\*)(/?s>|</?SYS>>|\|im_start\|>|\|im_end\|>)|(\[)(\\*)(/?INST\])"
+MARK = r"<s>|</s>|<</?SYS>>|<\|im_start\|>|<\|im_end\|>|\[/?INST\]"
+ESCAPED = r"(<)\\(\\*)(/?s>|</?SYS>>|\|im_start\|>|\|im_end\|>)|(\[)\\(\\*)(/?INST\])"
 
 
 def escaped(text: Column) -> Column:
-    return F.regexp_replace(text, CONTROL, r"$1\\$2$3")
+    return F.regexp_replace(text, CONTROL, r"$1$4\\$2$5$3$6")
 
 
 def unescaped(text: Column) -> Column:
-    return F.regexp_replace(text, ESCAPED, "$1$2$3")
+    return F.regexp_replace(text, ESCAPED, "$1$4$2$5$3$6")
 
 
 def rendered(role: Column, body: Column) -> Column:
@@ -54,7 +55,8 @@ def formatted_turns(turns: DataFrame) -> DataFrame:
     clean = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     plain = clean.withColumn("piece", rendered(F.col("role"), F.col("text")))
     source = F.array(F.struct("role", "text"))
-    conflict = ~(parsed(F.col("piece")) == source)
+    # Besides its own three marks a turn may hold no control string.
+    conflict = ~((parsed(F.col("piece")) == source) & (F.regexp_count("piece", F.lit(MARK)) == 3))
     return plain.select(
         "conv_id", "turn", "role", "text", conflict.alias("escapes"),
         F.when(conflict, rendered(escaped(F.col("role")), escaped(F.col("text")))).otherwise(F.col("piece")).alias("piece"),
@@ -100,22 +102,19 @@ def op4_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     return read_back(formatted_conversations(given.unionByName(added)))
 
 
-#: The source's own digests; formatted_chars adds the template (16 code points a turn) and one backslash per escaped control string.
+#: The source's own digests; formatted_chars adds the template (14 code points a turn) and one backslash per escaped control string.
 OP4_SQL = r"""
 with turns as (
     select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
     union all select -7, 0, 'user', '</s>[INST] ok [/INST]' union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
 marked as (
-    select *, '([<\[])(\\*)(/?s>|/?INST\]|</?SYS>>|\|im_start\||\|im_end\|)' as control,
-           '([<\[])\\(\\*)(/?s>|/?INST\]|</?SYS>>|\|im_start\||\|im_end\|)' as looks_escaped from turns),
+    select *, '(<)(\\*)(/?s>|</?SYS>>|\|im_start\|>|\|im_end\|>)|(\[)(\\*)(/?INST\])' as control from turns),
 sized as (
-    select *, length(role) + length(text) + 3 + 6 + 5 + case
-        when regexp_matches(role || ' ' || text, looks_escaped) or contains(text, '</s>' || chr(10)) or contains(role, '</s>' || chr(10))
-             or contains(role, '[INST]')
-        then len(regexp_extract_all(role, control)) + len(regexp_extract_all(text, control)) else 0 end as chars from marked)
+    select *, length(role) + length(text) + 3 + 6 + 5 + len(regexp_extract_all(role, control)) + len(regexp_extract_all(text, control)) as chars
+    from marked)
 select conv_id, count(*) as n_turns,
-       sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
        coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
-       sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+       sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '')) as loss_sha256,
        sum(chars)::bigint as formatted_chars, true as exact
 from sized group by conv_id"""

@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from pairloom.llm.common import checkpointed, row_id, table
 
 SIMILARITY = 0.6
+#: A text as similar as this as a whole is a licence file, and speaks for its directory.
+WHOLE = 0.9
 # The notices that licences ask for.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0",
@@ -116,7 +118,7 @@ def scanned(docs: DataFrame, templates: dict[str, str] = TEMPLATES, similarity:
     """(doc_id, path, license, score, origin, distance) for every row of (doc_id, path, text); origin is own, inherited or none."""
     units = checkpointed(matched_units(docs, templates, similarity))
     own = units.groupBy("id").agg(
-        F.min(F.struct((-F.col("score")).alias("minus"), "license")).alias("best"), F.max(F.col("unit") == 0).alias("whole")).select(
+        F.min(F.struct((-F.col("score")).alias("minus"), "license")).alias("best"), F.max((F.col("unit") == 0) & (F.col("score") >= WHOLE)).alias("whole")).select(
         "id", F.col("best.license").alias("own_license"), (-F.col("best.minus")).alias("own_score"), "whole")
     clean = F.regexp_replace(F.coalesce(F.col("path"), F.lit("")), "/+", "/")
     files = docs.select("doc_id", row_id().alias("id"), "path", F.regexp_replace(clean, "^/", "").alias("place")).withColumn("dir", folder(F.col("place")))

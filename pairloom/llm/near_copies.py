@@ -5,8 +5,8 @@ Shingles are runs of five words, weighted by their count in the text times an in
 weighted samples; texts that agree in a whole band of them meet in a bucket, and pairs are verified by the exact weighted Jaccard
 similarity of the whole texts.  Classes are connected components of the verified links.
 
-A bucket is never expanded into all pairs.  Its most central member is compared with all others; while the bucket still holds several
-classes, more members from outside its largest class are compared, at first a few and at last all.  Two members of one class need no
+A bucket is never expanded into all pairs.  Its PIVOTS most central members are compared with all others; where it still holds several
+classes after that, the members outside its largest class are compared with those of other classes.  Two members of one class need no
 comparison, and pairs whose samples agree too rarely to be similar (ESTIMATE) are not fetched.
 
 Defined results: null counts as the empty text; texts without words are near copies of equal texts only; rows that share a doc_id are
@@ -36,8 +36,8 @@ ESTIMATE = 0.62
 FEATURES = 1 << 18
 #: An idf is at least so much of an ordinary shingle's, so that a large group of copies doesn't lose its own shingles.
 LEAST_IDF = 0.7
-#: Members of each bucket that are compared with the others, round by round; None: all that are left.
-PIVOTS = (1, 16, None)
+#: Members of each bucket that are compared with all others at first.
+PIVOTS = 4
 
 
 @lru_cache(1)
@@ -109,24 +109,18 @@ def inverse_frequencies(docs: DataFrame) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, idf) -> DataFrame:
-    """(doc_id, id, text_key, bands, marks) for every row: one hash per band, and 16 bits of each sample; empty for texts without words."""
+    """(doc_id, id, text_key, bands) for every row: 16 bits of each of a band's ROWS samples, packed; empty for texts without words."""
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            bands, marks = [], []
+            bands = []
             for text in batch["text"]:
                 hashes, weights = weighted_shingles(text_bytes(text), idf.value)
-                drawn = samples(hashes, weights) if len(hashes) else np.zeros(0, U64)
-                rows = drawn.reshape(-1, ROWS)
-                folded = np.zeros(len(rows), U64)
-                for k in range(ROWS if len(rows) else 0):
-                    folded = mix(folded * U64(31) + rows[:, k])
-                bands.append(folded.view(np.int64))
-                marks.append((drawn & U64(0x7FFF)).astype(np.int16))
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "id": batch["id"], "text_key": batch["text_key"],
-                                "bands": bands, "marks": marks})
+                drawn = (samples(hashes, weights) & U64(0xFFFF)).astype(np.uint16) if len(hashes) else np.zeros(0, np.uint16)
+                bands.append(drawn.view(np.int64))
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "id": batch["id"], "text_key": batch["text_key"], "bands": bands})
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_id().alias("id"), text_key().alias("text_key"), "text")
-    return source.mapInPandas(sign, "doc_id long, id long, text_key string, bands array<long>, marks array<short>")
+    return source.mapInPandas(sign, "doc_id long, id long, text_key string, bands array<long>")
 
 
 def verified(docs: DataFrame, pairs: DataFrame, idf) -> DataFrame:
@@ -150,42 +144,50 @@ def verified(docs: DataFrame, pairs: DataFrame, idf) -> DataFrame:
 
 
 def _agreement(first: str, second: str) -> Column:
-    same = F.zip_with(first, second, lambda x, y: F.when(x == y, 1).otherwise(0))
+    """Share of samples on which two texts agree."""
+    lane = lambda x, k: F.when(F.shiftrightunsigned(x, 16 * k).bitwiseAND(0xFFFF) == 0, 1).otherwise(0)
+    same = F.zip_with(first, second, lambda x, y: sum(lane(x.bitwiseXOR(y), k) for k in range(ROWS)))
     return F.aggregate(same, F.lit(0), lambda total, x: total + x) / F.lit(SAMPLES)
 
 
-def near_copy_links(docs: DataFrame, texts: DataFrame, idf) -> tuple[DataFrame, DataFrame]:
-    """(links, classes) among the distinct texts (id, bands, marks): verified pairs, and (id, component)."""
+def _compared(members: DataFrame, chosen: DataFrame, among: Column) -> DataFrame:
+    """(a, b): members of the buckets with the chosen ones, each pair once, in the first band on which it agrees."""
+    agree = F.array_position(F.zip_with("bands", "p_bands", lambda x, y: x == y), True) == F.col("band") + 1
+    met = members.join(chosen, ["band", "value"]).where(among & agree & (_agreement("bands", "p_bands") >= ESTIMATE))
+    return checkpointed(met.select(F.col("id").alias("a"), F.col("p_id").alias("b")).distinct())
+
+
+def near_copy_links(docs: DataFrame, texts: DataFrame, idf) -> DataFrame:
+    """(a, b, similarity): verified links among the distinct texts (id, bands), enough of them to connect every class."""
     rows = texts.select("id", F.posexplode("bands").alias("band", "value"))
     sizes = rows.groupBy("band", "value").agg(F.count("*").alias("members")).where("members > 1")
-    met = rows.join(sizes, ["band", "value"])
-    central = met.groupBy("id").agg(F.sum("members").alias("weight"))
-    members = checkpointed(met.join(central, "id").join(texts, "id").select("id", "band", "value", "weight", "bands", "marks"))
-    spark = docs.sparkSession
-    links = spark.createDataFrame([], "a long, b long, similarity double")
-    parts = members.select("id").distinct().select("id", F.col("id").alias("component"))
-    tried = None
-    for pivots in PIVOTS:
-        placed = members.join(parts, "id")
-        # The class of most members in each bucket; a bucket of one class needs nothing more.
-        counted = placed.groupBy("band", "value", "component").agg(F.count("*").alias("n"))
-        top = counted.groupBy("band", "value").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("classes"))
-        open_ = checkpointed(placed.join(top.where("classes > 1").drop("classes"), ["band", "value"]))
-        rest = open_ if tried is None else open_.where(F.col("component") != F.col("main")).join(tried, ["band", "value", "id"], "left_anti")
-        if pivots:
-            order = W.partitionBy("band", "value").orderBy(F.col("weight").desc(), "id")
-            rest = rest.withColumn("place", F.row_number().over(order)).where(F.col("place") <= pivots).drop("place")
-        chosen = checkpointed(rest.select("band", "value", *[F.col(c).alias(f"p_{c}") for c in ("id", "component", "bands", "marks")]))
-        done = chosen.select("band", "value", F.col("p_id").alias("id"))
-        tried = done if tried is None else checkpointed(tried.unionByName(done))
-        agree = F.array_position(F.zip_with("bands", "p_bands", lambda x, y: x == y), True) == F.col("band") + 1
-        met = open_.join(chosen, ["band", "value"]).where(
-            (F.col("component") != F.col("p_component")) & agree & (_agreement("marks", "p_marks") >= ESTIMATE))
-        pairs = checkpointed(met.select(F.col("id").alias("a"), F.col("p_id").alias("b")).distinct())
-        links = checkpointed(links.unionByName(verified(docs, pairs, idf)))
-        parts = checkpointed(connected_components(parts.select(F.col("id").alias("doc_id")), links).select(
-            F.col("doc_id").alias("id"), "component"))
-    return links, parts
+    shared = rows.join(sizes, ["band", "value"]).groupBy("id").agg(
+        F.sum("members").alias("weight"), F.collect_list(F.struct("band", "value")).alias("buckets"))
+    members = checkpointed(shared.join(texts, "id").select("id", "weight", "bands", F.explode("buckets").alias("b")).select(
+        "id", "weight", "bands", "b.band", "b.value"))
+    order = W.partitionBy("band", "value").orderBy(F.col("weight").desc(), "id")
+    first = checkpointed(members.withColumn("place", F.row_number().over(order)).where(F.col("place") <= PIVOTS).select(
+        "band", "value", F.col("id").alias("p_id"), F.col("bands").alias("p_bands"), "place"))
+    # A pair of two pivots is compared once.
+    pairs = _compared(members, first, F.col("id") != F.col("p_id"))
+    once = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    links = checkpointed(verified(docs, once, idf))
+    # What is known of the classes so far: the smallest id two links away.  Texts with one label are connected for certain.
+    ways = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = ways.groupBy("a").agg(F.min(F.least("a", "b")).alias("m"))
+    label = checkpointed(near.join(near.select(F.col("a").alias("m"), F.col("m").alias("further")), "m", "left").select(
+        F.col("a").alias("id"), F.coalesce("further", "m").alias("label")))
+    labelled = checkpointed(members.join(label, "id", "left").withColumn("label", F.coalesce("label", "id")))
+    counted = labelled.groupBy("band", "value", "label").agg(F.count("*").alias("n"))
+    top = counted.groupBy("band", "value").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("classes"))
+    open_ = labelled.join(top.where("classes > 1").drop("classes"), ["band", "value"])
+    tried = first.select("band", "value", F.col("p_id").alias("id"))
+    rest = open_.where(F.col("label") != F.col("main")).join(tried, ["band", "value", "id"], "left_anti").select(
+        "band", "value", F.col("id").alias("p_id"), F.col("bands").alias("p_bands"), F.col("label").alias("p_label"), F.col("main").alias("p_main"))
+    # Of two outsiders the one with the larger id asks.
+    asks = (F.col("label") != F.col("p_label")) & ((F.col("label") == F.col("p_main")) | (F.col("id") < F.col("p_id")))
+    more = _compared(labelled, rest, asks).join(once, ["a", "b"], "left_anti")
+    return checkpointed(links.unionByName(verified(docs, more, idf)))
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
@@ -196,17 +198,17 @@ def near_copies(docs: DataFrame) -> DataFrame:
     idf = docs.sparkSession.sparkContext.broadcast(inverse_frequencies(docs))
     signed = checkpointed(signatures(docs, idf))
     texts = checkpointed(signed.groupBy("text_key").agg(
-        F.min("id").alias("owner"), F.any_value("bands").alias("bands"), F.any_value("marks").alias("marks")))
-    links, parts = near_copy_links(docs, texts.select(F.col("owner").alias("id"), "bands", "marks").where(F.size("bands") > 0), idf)
+        F.min("id").alias("owner"), F.any_value("bands").alias("bands")))
+    links = near_copy_links(docs, texts.select(F.col("owner").alias("id"), "bands").where(F.size("bands") > 0), idf)
     degree = links.select(F.col("a").alias("owner")).unionByName(links.select(F.col("b").alias("owner"))).groupBy("owner").agg(
         F.count("*").alias("n_links"))
     # Rows that share an id are one document: their texts are tied together.
     held = signed.select("id", "text_key").distinct().join(texts.select("text_key", "owner"), "text_key")
     ties = held.join(held.groupBy("id").agg(F.min("owner").alias("a")), "id").where(F.col("a") != F.col("owner")).select(
         "a", F.col("owner").alias("b"))
-    if not ties.isEmpty():
-        nodes = texts.select(F.col("owner").alias("doc_id"))
-        parts = connected_components(nodes, links.select("a", "b").unionByName(ties)).select(F.col("doc_id").alias("id"), "component")
+    tied = links.select("a", "b").unionByName(ties)
+    ends = tied.select(F.col("a").alias("doc_id")).unionByName(tied.select(F.col("b").alias("doc_id"))).distinct()
+    parts = connected_components(ends, tied).select(F.col("doc_id").alias("id"), "component")
     owned = texts.select("text_key", "owner").join(parts.select(F.col("id").alias("owner"), "component"), "owner", "left").join(
         degree, "owner", "left").select("text_key", F.coalesce("component", "owner").alias("class_id"),
                                         F.coalesce("n_links", F.lit(0)).alias("n_links"))

@@ -3,12 +3,13 @@
 Documents are dealt into blocks of about BLOCK_BYTES.  A block sends each of its distinct n-grams once, with its count in trusted text;
 counts are added up per n-gram, probabilities are computed in shards (an n-gram, its suffixes and their contexts share their two bytes
 before the last, so that a shard has all it needs but the bigrams, of which there are 65,536 at most), and joined back to the blocks
-that asked.  Each block then scores its documents whole.  A language's threshold is a quantile of its trusted documents' perplexities.
+that asked.  Each block then scores its documents whole.  A language's threshold is a quantile of the perplexities of its trusted
+documents that the model hasn't seen: of all trusted documents one in CALIBRATION, by hash, is kept out of the counts for that.
 
-Bytes are the symbols, so nothing is out of vocabulary.  All trusted text is counted, so the model grows with the input.
+Bytes are the symbols, so nothing is out of vocabulary.  All other trusted text is counted, so the model grows with the input.
 
 Defined results: null and empty texts have no perplexity and are not kept; a language without trusted documents (or null) takes the
-quantile over all of them; with no trusted document at all everything but empty texts is kept; a null doc_id is never trusted; rows that
+quantile over all of them; without calibrating documents everything but empty texts is kept; a null doc_id is never trusted; rows that
 share a doc_id are judged each by its own text (filtering documents keeps all rows of an id of which one is kept); extra columns stay.
 """
 
@@ -29,7 +30,9 @@ from pairloom.llm.common import checkpointed, row_id, table, text_bytes
 ORDER = 5
 BLOCK_BYTES = 32 << 20
 #: Of the trusted documents of a language, so many have a perplexity below its threshold; the threshold has some head-room above that.
-QUANTILE, HEADROOM, PRIOR_BYTES = 0.995, 1.1, 32
+QUANTILE, HEADROOM, PRIOR_BYTES, CALIBRATION = 0.995, 1.1, 32, 5
+#: With fewer calibrating documents a language takes the larger of its own threshold and that of all languages.
+FEW = 100
 _START, _END = b"\x02" * (ORDER - 1), b"\x03"
 _CHUNK = 4 << 20
 
@@ -197,15 +200,19 @@ def judged(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, headr
     A text of a few bytes says little: ``smoothed``, which is held against the threshold, is its perplexity together with PRIOR_BYTES
     bytes at the median of the language's trusted documents.
     """
-    rows = checkpointed(perplexities(docs, labels.where("quality = 1")))
+    good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn(
+        "unseen", F.pmod(F.xxhash64("doc_id"), F.lit(CALIBRATION)) == 0)
+    scored = perplexities(docs, good.where(~F.col("unseen")))
+    rows = checkpointed(scored.join(good.where("unseen").select(F.col("doc_id").alias("id"), "unseen"), "id", "left").withColumn(
+        "unseen", F.coalesce("unseen", F.lit(False))))
 
     def limits(value: str, name: str, rows: DataFrame, at: float) -> DataFrame:
-        """The rows with the quantile of the trusted documents of their language, or of all."""
-        good = rows.where(F.col("trusted") & F.col(value).isNotNull())
+        """The rows with the quantile of the calibrating documents of their language, or of all."""
+        known = rows.where(F.col("unseen") & F.col(value).isNotNull())
         found = F.percentile_approx(value, at, 10_000)
-        by_lang, overall = good.groupBy("lang").agg(found.alias("_own")), good.agg(found.alias("_all"))
+        by_lang, overall = known.groupBy("lang").agg(found.alias("_own"), F.count("*").alias("_n")), known.agg(found.alias("_all"))
         joined = rows.join(by_lang, rows["lang"].eqNullSafe(by_lang["lang"]), "left").drop(by_lang["lang"]).crossJoin(F.broadcast(overall))
-        return joined.withColumn(name, F.coalesce("_own", "_all")).drop("_own", "_all")
+        return joined.withColumn(name, F.when(F.col("_n") >= FEW, F.col("_own")).otherwise(F.greatest("_own", "_all"))).drop("_own", "_n", "_all")
 
     usual = limits("perplexity", "usual", rows, 0.5)
     n = F.col("n_bytes") + 1
