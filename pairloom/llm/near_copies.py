@@ -6,8 +6,9 @@ weighted samples; texts that agree in a whole band of them meet in a bucket, and
 similarity of the whole texts.  Classes are connected components of the verified links.
 
 A bucket is never expanded into all pairs.  Its PIVOTS most central members are compared with all others; where it still holds several
-classes after that, the members outside its largest class are compared with those of other classes.  Two members of one class need no
-comparison, and pairs whose samples agree too rarely to be similar (ESTIMATE) are not fetched.
+classes after that, its members meet in blocks of BLOCK rows, two blocks a task, where only pairs of different classes are compared, the
+most alike by their samples first, and only links that join two classes are returned.  Pairs whose samples agree too rarely to be similar
+(ESTIMATE) are not compared.
 
 Defined results: null counts as the empty text; texts without words are near copies of equal texts only; rows that share a doc_id are
 one document; a null doc_id takes part under a negative id made from its text; an empty table gives an empty table; extra columns stay
@@ -38,6 +39,8 @@ FEATURES = 1 << 18
 LEAST_IDF = 0.7
 #: Members of each bucket that are compared with all others at first.
 PIVOTS = 4
+#: Rows of a bucket that one task holds, twice.
+BLOCK = 512
 
 
 @lru_cache(1)
@@ -179,21 +182,59 @@ def near_copy_links(docs: DataFrame, texts: DataFrame, idf) -> DataFrame:
         F.col("a").alias("id"), F.coalesce("further", "m").alias("label")))
     labelled = checkpointed(members.join(label, "id", "left").withColumn("label", F.coalesce("label", "id")))
     counted = labelled.groupBy("band", "value", "label").agg(F.count("*").alias("n"))
-    top = counted.groupBy("band", "value").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("classes"))
-    open_ = labelled.join(top.where("classes > 1").drop("classes"), ["band", "value"])
-    tried = first.select("band", "value", F.col("p_id").alias("id"))
-    rest = open_.where(F.col("label") != F.col("main")).join(tried, ["band", "value", "id"], "left_anti").select(
-        "band", "value", F.col("id").alias("p_id"), F.col("bands").alias("p_bands"), F.col("label").alias("p_label"), F.col("main").alias("p_main"))
-    # Of two outsiders the one with the larger id asks.
-    asks = (F.col("label") != F.col("p_label")) & ((F.col("label") == F.col("p_main")) | (F.col("id") < F.col("p_id")))
-    more = _compared(labelled, rest, asks).join(once, ["a", "b"], "left_anti")
-    return checkpointed(links.unionByName(verified(docs, more, idf)))
+    open_ = counted.groupBy("band", "value").agg(F.sum("n").alias("rows"), F.count("*").alias("labels")).where("labels > 1")
+    held = checkpointed(labelled.join(open_.drop("labels"), ["band", "value"]).select("id", "label", "bands", "band", "value", "rows"))
+    return checkpointed(links.unionByName(_links_in_blocks(docs, held, idf)))
+
+
+def _links_in_blocks(docs: DataFrame, held: DataFrame, idf) -> DataFrame:
+    """(a, b, similarity): links that join labels inside the buckets (band, value) of (id, label, bands, rows)."""
+    texts = docs.select(row_id().alias("id"), "text").join(held.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
+    blocks = F.ceil(F.col("rows") / F.lit(BLOCK)).cast("int")
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    placed = held.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = placed.select("id", "label", "bands", "band", "value", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+
+    def link(rows: pd.DataFrame) -> pd.DataFrame:
+        ids, own = rows["id"].to_numpy(np.int64), rows["own"].to_numpy()
+        inside, band = rows["low"].iat[0] == rows["high"].iat[0], int(rows["band"].iat[0])
+        root = {x: x for x in rows["label"]}
+
+        def find(x):
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        labels, bands = rows["label"].to_numpy(np.int64), np.stack(rows["bands"].to_numpy())
+        marks = bands.view(np.uint16)
+        pairs = []
+        for i in range(len(ids) - 1):
+            later = np.arange(i + 1, len(ids))
+            later = later[(labels[later] != labels[i]) & (inside | (own[later] != own[i]))]
+            share = (marks[later] == marks[i]).mean(axis=1)
+            later, share = later[share >= ESTIMATE], share[share >= ESTIMATE]
+            # A pair is judged in the first band on which it agrees.
+            first = (bands[later] == bands[i]).argmax(axis=1) == band
+            pairs += [(-s, i, j) for s, j in zip(share[first], later[first], strict=True)]
+        texts, found = rows["text"].to_list(), []
+        of = lru_cache(None)(lambda k: weighted_shingles(text_bytes(texts[k]), idf.value))
+        for _, i, j in sorted(pairs):
+            if find(labels[i]) != find(labels[j]):
+                similarity = weighted_jaccard(of(i), of(j))
+                if similarity >= SIMILARITY:
+                    root[find(labels[i])] = find(labels[j])
+                    found.append((ids[i], ids[j], similarity))
+        return pd.DataFrame(found, columns=["a", "b", "similarity"])
+
+    return dealt.join(texts, "id").groupBy("band", "value", "low", "high").applyInPandas(link, "a long, b long, similarity double")
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
     """(doc_id, id, class_id, n_links) for every row of (doc_id, text).
 
-    class_id is the smallest id of the class; n_links counts the verified links of the row's text, other than to equal texts.
+    class_id is the smallest id of the class; n_links counts the links to other texts that were verified to
+    connect the class.
     """
     idf = docs.sparkSession.sparkContext.broadcast(inverse_frequencies(docs))
     signed = checkpointed(signatures(docs, idf))
