@@ -138,7 +138,7 @@ def cascade_delete(spark, folder):
 
 
 def broken_references(spark, folder):
-    """Events whose user is no customer."""
+    """Events without an embedding of their number."""
     return store.broken_references(table(spark, folder, "events"), table(spark, folder, "embeddings"), "event_id", "vec_id").groupBy(
         "event_type").agg(F.count("*").alias("n"))
 
@@ -156,7 +156,9 @@ def titled_matches(spark, folder):
 def match_parts(spark, folder):
     """Five scores and the overall score of every trading pair, with strengths, gaps and advice."""
     pairs = mt.trade_pairs(spark, folder)
-    demanded = mt.demanded_skills(spark, folder).where("status <> 'uncertain'")
+    # The taxonomy lists the brands from the last to the first.
+    demanded = mt.demanded_skills(spark, folder).where("status <> 'uncertain'").withColumn(
+        "position", -F.regexp_extract("skill", "[0-9]+", 0).cast("int"))
     synonyms = spark.createDataFrame([("Brand#1", "Brand#11"), ("Brand#2", "Brand#22"), ("Brand#2", "Brand#12")], "skill string, synonym string")
     out = ms.skill_part(pairs, ms.skill_matches(pairs, demanded, mt.offered_skills(spark, folder), synonyms))
     years = lambda c: F.floor(F.greatest(F.col(c), F.lit(0.0)) / 1000).cast("int")
@@ -187,8 +189,8 @@ def score_bands(spark, folder):
 
 
 def bonus_skills(spark, folder):
-    """Brands a supplier ships that the customer does not ask for, first eight."""
-    names = lambda df, id, name: df.groupBy(id).agg(F.array_sort(F.collect_set("skill")).alias(name))
+    """Brands a supplier ships that the customer does not ask for, the first eight of a taxonomy that runs from the last brand to the first."""
+    names = lambda df, id, name: df.groupBy(id).agg(F.sort_array(F.collect_set("skill"), asc=False).alias(name))
     offered = names(mt.offered_skills(spark, folder), "candidate_id", "offered")
     demanded = mt.demanded_skills(spark, folder)
     required = names(demanded.where("status = 'required'"), "posting_id", "required")
@@ -236,7 +238,7 @@ def letters(spark, folder):
 
 def _stream_events(spark, folder):
     schema = table(spark, folder, "events").schema
-    return sa.read_events(spark, folder, schema, glob="events.parquet")
+    return sa.read_events(spark, f"{folder}/events.parquet", schema)
 
 
 def application_state_stream(spark, folder):
@@ -276,7 +278,7 @@ MATCH = f"""{mt.TRADE}, syn(skill, synonym) as (values ('Brand#1', 'Brand#11'),
         or o.skill in (select synonym from syn where syn.skill = a.skill))) as m from pairs p join asked a using (posting_id)),
     sk as (select posting_id, candidate_id, count(*) filter (status = 'required') as nr, count(*) filter (status = 'preferred') as np,
         count(*) filter (status = 'required' and m) as mr, count(*) filter (status = 'preferred' and m) as mp,
-        coalesce(list(skill order by skill) filter (status = 'required' and not m), []) as missing from met group by all),
+        coalesce(list(skill order by regexp_extract(skill, '[0-9]+')::int desc) filter (status = 'required' and not m), []) as missing from met group by all),
     base as (select p.posting_id, p.candidate_id, p.quantity, coalesce(nr, 0) as nr, coalesce(np, 0) as np, coalesce(mr, 0) as mr, coalesce(mp, 0) as mp,
         coalesce(missing, []) as missing, floor(greatest(s_acctbal, 0) / 1000)::int as cy, floor(greatest(c_acctbal, 0) / 1000)::int as ry, s_nationkey % 6 * 20 as checks
         from pairs p left join sk using (posting_id, candidate_id) join supplier on s_suppkey = candidate_id join customer on c_custkey = posting_id),
@@ -365,7 +367,7 @@ ORACLES = {
             case when experience_status = 'under' then 'medium: Highlight High-Ownership & Accelerated Leadership' end) as advice from records""",
     "score_bands": f"""with {MATCH} select case when overall_score >= 80 then 'Exceptional Alignment' when overall_score >= 65 then 'Moderate Match'
         else 'Significant Skill Gaps' end as band, count(*) as n from records group by all""",
-    "bonus_skills": f"""with {mt.TRADE}, o as (select candidate_id, list(skill order by skill) as o from offered group by all),
+    "bonus_skills": f"""with {mt.TRADE}, o as (select candidate_id, list(skill order by skill desc) as o from offered group by all),
         d as (select posting_id, list(skill) filter (status <> 'uncertain') as d from demanded group by all)
         select posting_id, candidate_id, array_to_string(list_filter(o, lambda s: not list_contains(coalesce(d, []), s))[1:8], ',') as bonus
         from pairs join o using (candidate_id) join d using (posting_id)""",

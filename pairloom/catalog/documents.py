@@ -112,12 +112,12 @@ def quality_checks(spark, folder):
 
 
 def tagged_documents(spark, folder):
-    return skills.tag_by_ngrams(texts(spark, folder), alias_table(spark), 2)
+    return skills.tag_by_ngrams(texts(spark, folder), alias_table(spark)).drop("position")
 
 
 def posting_requirements(spark, folder):
     docs = table(spark, folder, "benchmark").select(F.col("item_id").alias("posting_id"), "text")
-    return adverts.posting_requirements(docs, alias_table(spark), 2)
+    return adverts.posting_requirements(docs, alias_table(spark)).drop("position")
 
 
 def advert_levels(spark, folder):
@@ -138,7 +138,7 @@ def education_phrases(spark, folder):
 def profile_records(spark, folder):
     """Full profile parse with its sizes."""
     docs = texts(spark, folder).select(F.col("doc_id").alias("candidate_id"), "text")
-    tagged = skills.tag_by_ngrams(docs, alias_table(spark), 2, "candidate_id")
+    tagged = skills.tag_by_ngrams(docs, alias_table(spark), "candidate_id")
     parsed = profiles.parse_profiles(docs, tagged, AS_OF_YEAR)
     return parsed.select("candidate_id", F.size("skills").alias("n_skills"), F.size("experience").alias("n_items"), F.size("education").alias("n_education"),
                          F.size("projects").alias("n_projects"), F.size("certifications").alias("n_certifications"), "years",
@@ -167,9 +167,8 @@ def encoding_stats(spark, folder):
 def label_alignment(spark, folder):
     """Vectors with one label are one posting's duties and one candidate's sentences; pairs are the labels that trade."""
     vectors = table(spark, folder, "embeddings").withColumnRenamed("embedding", "vec")
-    firsts = lambda n: first_per_group(vectors, ["label"], [F.asc("vec_id")], n)
-    duties = semantic.stack_vectors(firsts(fv.MAX_DUTIES), "label", "position").withColumnRenamed("label", "posting_id")
-    held = semantic.stack_vectors(firsts(fv.MAX_EVIDENCE), "label", "position").withColumnRenamed("label", "candidate_id")
+    stacked = semantic.stack_vectors(vectors, "label", "vec_id")
+    duties, held = stacked.withColumnRenamed("label", "posting_id"), stacked.withColumnRenamed("label", "candidate_id")
     lines = table(spark, folder, "lineitem").select("l_suppkey", "l_partkey")
     pairs = (lines.join(vectors.select(F.col("vec_id").alias("l_suppkey"), F.col("label").alias("posting_id")), "l_suppkey")
              .join(vectors.select(F.col("vec_id").alias("l_partkey"), F.col("label").alias("candidate_id")), "l_partkey")
@@ -257,7 +256,7 @@ ORACLES = {
     "label_alignment": """with p as (select vec_id, label, embedding::double[] as v, row_number() over (partition by label order by vec_id) - 1 as at from embeddings),
         pairs as (select distinct a.label as posting_id, b.label as candidate_id from lineitem join embeddings a on a.vec_id = l_suppkey join embeddings b on b.vec_id = l_partkey),
         sims as (select posting_id, candidate_id, d.at as duty, e.at as evidence, list_dot_product(d.v, e.v) as s from pairs
-            join p d on d.label = posting_id and d.at < 40 join p e on e.label = candidate_id and e.at < 150),
+            join p d on d.label = posting_id join p e on e.label = candidate_id),
         best as (select posting_id, candidate_id, duty, max(s) as s, arg_max(evidence, s) as evidence from sims group by all)
         select posting_id, candidate_id, round(avg(s), 6) as responsibility_similarity, arg_max(duty, (round(s, 12), -duty))::int as best_duty,
             arg_max(evidence, (round(s, 12), -duty))::int as best_evidence from best group by all""",

@@ -26,22 +26,21 @@ def preferred_text(text: Column) -> Column:
     return F.coalesce(F.concat(F.regexp_extract(text, PREFERRED_HEADER, 0), section_slice(text, PREFERRED_HEADER, AFTER_PREFERRED, None)), F.lit(""))
 
 
-def posting_requirements(docs: DataFrame, aliases: DataFrame, max_words: int = 4, id: str = "posting_id", text: str = "text") -> DataFrame:
-    """(id, skill, category, status): skills of the preferred section are preferred, all others required.
+def posting_requirements(docs: DataFrame, aliases: DataFrame, id: str = "posting_id", text: str = "text") -> DataFrame:
+    """(id, skill, category, position, status): skills of the preferred section are preferred, all others required.
 
     Where everything would be preferred, the first 70 % (rounded up, in taxonomy order) become required.
     aliases: (alias, skill, category, position).
     """
-    everywhere = tag_by_ngrams(docs, aliases, max_words, id, text)
+    everywhere = tag_by_ngrams(docs, aliases, id, text)
     section = docs.select(id, preferred_text(F.col(text)).alias("_p")).where(F.col("_p") != "")
-    optional = tag_by_ngrams(section, aliases, max_words, id, "_p").select(id, "skill").withColumn("_opt", F.lit(True))
-    order = aliases.groupBy("skill").agg(F.min("position").alias("position"))
-    marked = everywhere.join(optional, [id, "skill"], "left").join(order, "skill")
+    optional = tag_by_ngrams(section, aliases, id, "_p").select(id, "skill").withColumn("_opt", F.lit(True))
+    marked = everywhere.join(optional, [id, "skill"], "left")
     per = marked.groupBy(id).agg(F.sort_array(F.collect_list(F.struct(  # one posting's skills: at most the taxonomy
         "position", "skill", "category", F.col("_opt").isNotNull().alias("optional")))).alias("_s"))
     promoted = F.when(F.forall("_s", lambda s: s["optional"]), F.ceil(F.size("_s") * F.lit(0.7)))
     judged = let(promoted, lambda promoted: F.transform("_s", lambda s, i: F.struct(
-        s["skill"].alias("skill"), s["category"].alias("category"),
+        s["skill"].alias("skill"), s["category"].alias("category"), s["position"].alias("position"),
         F.when(F.coalesce(i >= promoted, s["optional"]), "preferred").otherwise("required").alias("status"))))
     return per.select(id, F.explode(judged).alias("s")).select(id, "s.*")
 
@@ -73,8 +72,8 @@ def education_phrases(text: Column) -> Column:
 
 
 def parse_adverts(docs: DataFrame, requirements: DataFrame, id: str = "posting_id", text: str = "text", title: str | None = "title") -> DataFrame:
-    """Full posting record per document; requirements come from posting_requirements."""
-    names = lambda status: F.array_sort(F.collect_set(F.when(F.col("status") == status, F.col("skill"))))
+    """Full posting record per document; requirements come from posting_requirements.  Skills are in taxonomy order."""
+    names = lambda status: F.transform(F.array_sort(F.collect_set(F.when(F.col("status") == status, F.struct("position", "skill")))), lambda s: s["skill"])
     asked = requirements.groupBy(id).agg(names("required").alias("required_skills"), names("preferred").alias("preferred_skills"))
     empty = F.array().cast("array<string>")
     out = docs.join(asked, id, "left").withColumns({c: F.coalesce(c, empty) for c in ("required_skills", "preferred_skills")})

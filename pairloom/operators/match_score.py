@@ -17,19 +17,21 @@ PART_WEIGHTS = {"skills_score": 0.40, "experience_score": 0.25, "responsibilitie
 
 def skill_matches(pairs: DataFrame, demanded: DataFrame, offered: DataFrame, synonyms: DataFrame | None = None,
                   left_id: str = "candidate_id", right_id: str = "posting_id") -> DataFrame:
-    """(pair, skill, status, is_match): a posting's skill is met by the skill itself or by any of its synonyms.
+    """(pair, skill, status, position, is_match): a posting's skill is met by the skill itself or by any of its synonyms.
 
+    demanded: (posting, skill, status, position); position is the place in the taxonomy, 0 where the table has none.
     synonyms: (skill, synonym).  Names are compared in lower case.
     """
-    asked = demanded.select(right_id, "skill", "status").withColumn("_name", F.lower("skill"))
+    place = F.col("position") if "position" in demanded.columns else F.lit(0)
+    asked = demanded.select(right_id, "skill", "status", place.alias("position")).withColumn("_name", F.lower("skill"))
     if synonyms is not None:
         other = synonyms.select(F.lower("skill").alias("_name"), F.lower("synonym").alias("_also"))
-        extra = asked.join(other, "_name").select(right_id, "skill", "status", F.col("_also").alias("_name"))
+        extra = asked.join(other, "_name").select(right_id, "skill", "status", "position", F.col("_also").alias("_name"))
         asked = asked.unionByName(extra)
     has = offered.select(left_id, F.lower("skill").alias("_name")).distinct().withColumn("_has", F.lit(1))
     long = pairs.select(left_id, right_id).join(asked, right_id).join(has, [left_id, "_name"], "left")
-    return long.groupBy(left_id, right_id, "skill", "status").agg(F.max(F.coalesce("_has", F.lit(0))).alias("_m")).select(
-        left_id, right_id, "skill", "status", (F.col("_m") == 1).alias("is_match"))
+    return long.groupBy(left_id, right_id, "skill", "status", "position").agg(F.max(F.coalesce("_has", F.lit(0))).alias("_m")).select(
+        left_id, right_id, "skill", "status", "position", (F.col("_m") == 1).alias("is_match"))
 
 
 def skills_score(required_met: Column, required: Column, preferred_met: Column, preferred: Column) -> Column:
@@ -39,9 +41,10 @@ def skills_score(required_met: Column, required: Column, preferred_met: Column,
 
 
 def skill_part(pairs: DataFrame, matches: DataFrame, left_id: str = "candidate_id", right_id: str = "posting_id") -> DataFrame:
-    """Add skills_score, n_matched and the lists of missing skills to the pairs."""
+    """Add skills_score, n_matched and the lists of missing skills, in taxonomy order, to the pairs."""
     is_, met = (lambda s: F.col("status") == s), F.col("is_match")
-    names = lambda want: F.sort_array(F.collect_set(F.when(want, F.col("skill"))))  # one posting's skills
+    # One posting's skills.
+    names = lambda want: F.transform(F.sort_array(F.collect_set(F.when(want, F.struct("position", "skill")))), lambda s: s["skill"])
     per = matches.groupBy(left_id, right_id).agg(
         *[F.count_if(is_(s)).alias(f"_n_{s}") for s in ("required", "preferred")],
         *[F.count_if(is_(s) & met).alias(f"_m_{s}") for s in ("required", "preferred")],
@@ -57,7 +60,7 @@ def skill_part(pairs: DataFrame, matches: DataFrame, left_id: str = "candidate_i
 
 
 def bonus_skills(offered: Column, required: Column, preferred: Column, n: int = 8) -> Column:
-    """Skills of the candidate the posting does not name, first n."""
+    """Skills of the candidate the posting does not name, first n in the order they are given in."""
     low = lambda a: F.transform(a, lambda s: F.lower(s))
     return let(F.concat(low(required), low(preferred)), lambda named: F.slice(
         F.filter(offered, lambda s: ~F.array_contains(named, F.lower(s))), 1, n))

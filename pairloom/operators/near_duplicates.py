@@ -4,21 +4,22 @@ The pairs are found without comparing all pairs.  With a document's terms in one
 whose dot product reaches t must share a term among each one's prefix: the terms kept while the norm of the term and all
 that follow it is at least t.  Documents meet in the bucket of a shared prefix term.
 
-* Equal texts, and texts with the same bag of words, are one vector and are linked without being compared.
-* A bucket of ordinary size is compared pair by pair.
-* In a crowded bucket (many near copies of one text) a pivot is compared with every member.  Members within the threshold
-  of the pivot are linked through it and are not compared with each other; angles add up, so a member and an outsider can
-  reach the threshold only if their angles to the pivot differ by at most the threshold angle, which leaves few to verify.
-  The outsiders form the bucket of the next round, as long as rounds link a fair share of the bucket.
-* A crowded bucket of unlike texts is split by a second shared term: two vectors that reach t and whose weights of the
-  bucket's term multiply to less than t - s also share a term among each one's longer prefix, kept while the norm that
-  remains is at least s.  The few members with a large weight of the bucket's term are compared with the whole bucket.
+Similar pairs (similar_edges) are all found: a bucket is split by a second shared term.  Two vectors that reach t and whose weights of the
+bucket's term multiply to less than t - s also share a term among each one's longer prefix, kept while the norm that remains is at least
+s.  The few members with a large weight of the bucket's term are compared with the whole bucket.
+
+Groups (near_duplicate_groups) need fewer pairs: equal texts, and texts with the same bag of words, are one vector and are linked without
+being compared, and in each bucket a pivot is compared with every member.  Members within the threshold of the pivot are linked through it
+and are not compared with each other; angles add up, so a member and an outsider can reach the threshold only if their angles to the pivot
+differ by at most the threshold angle, which leaves few to verify.  The outsiders form the bucket of the next round where the pivot linked
+at least half of the bucket (a logarithmic number of rounds), and are split by a second term elsewhere.  No rule depends on a bucket's size.
 
 Connected components are found by alternating large-star and small-star steps, a logarithmic number of rounds.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from math import acos, sqrt
 
 from pyspark.sql import DataFrame, Window
@@ -28,8 +29,7 @@ from pairloom import fixed_values as fv
 from pairloom.functions import text as tx
 from pairloom.session import cut_lineage
 
-BUCKET_ROWS = 200
-FAIR_SHARE = 0.05  # a pivot round must link this share of a bucket, or the bucket is split by a second term
+FAIR_SHARE = 0.5  # a pivot round must link this share of a bucket, or the bucket is split by a second term
 SECOND_NORM = 0.5  # s above
 MARGIN = 1e-9  # keeps rounding from losing a pair that sits exactly on a bound; every pair is verified afterwards
 
@@ -65,45 +65,41 @@ def _ordered(x, y):
     return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
 
 
-def _bucket_pairs(members: DataFrame, keys: tuple[str, ...] = ("term",)) -> DataFrame:
-    """All pairs inside small buckets."""
-    members = members.select(*keys, "doc_id")
+def _bucket_pairs(members: DataFrame) -> DataFrame:
+    """Pairs of a (term, second) bucket."""
+    members = members.select("term", "second", "doc_id")
     other = members.withColumnRenamed("doc_id", "b")
-    return members.withColumnRenamed("doc_id", "a").join(other, list(keys)).where(F.col("a") < F.col("b")).select("a", "b").distinct()
+    return members.withColumnRenamed("doc_id", "a").join(other, ["term", "second"]).where(F.col("a") < F.col("b")).select("a", "b").distinct()
 
 
-def _pairs_by_second_term(members: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of crowded buckets (term, doc_id, weight) that also share a term of the longer prefix."""
-    large = F.col("weight") >= sqrt(threshold - SECOND_NORM) - MARGIN
+def pairs_by_second_term(members: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of the buckets (term, doc_id, weight) that also share a term of the longer prefix."""
+    large = F.col("weight") >= sqrt(max(threshold - SECOND_NORM, 0.0)) - MARGIN
     longer = prefixes(vectors, SECOND_NORM).select("doc_id", F.col("term").alias("second"))
     split = members.where(~large).join(longer, "doc_id").where(F.col("term") != F.col("second"))
     heavy = members.where(large).select("term", F.col("doc_id").alias("h"))
     against = heavy.join(members, "term").where(F.col("h") != F.col("doc_id")).select(*_ordered(F.col("h"), F.col("doc_id")))
-    return _bucket_pairs(split, ("term", "second")).unionByName(against)
+    return _bucket_pairs(split).unionByName(against)
 
 
-def candidate_pairs(vectors: DataFrame, threshold: float, bucket_rows: int = BUCKET_ROWS) -> tuple[DataFrame, DataFrame]:
-    """(pairs to verify, pairs already verified by a pivot, with their cosine)."""
+def linking_pairs(vectors: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(pairs to verify, pairs already verified by a pivot, with their cosine): enough to connect every group."""
     angle = acos(threshold)
     members = cut_lineage(prefixes(vectors, threshold))  # read for the sizes and for both sides of the bucket join
-    sizes = members.groupBy("term").agg(F.count("*").alias("n"))
-    ordinary = sizes.where((F.col("n") > 1) & (F.col("n") <= bucket_rows)).select("term")
-    crowded = sizes.where(F.col("n") > bucket_rows).select("term")
-    pairs = _bucket_pairs(members.join(ordinary, "term"))
-    links = None
-    current = cut_lineage(members.join(crowded, "term"))
-    while not current.isEmpty():
+    shared = members.groupBy("term").agg(F.count("*").alias("n")).where("n > 1").select("term")
+    current = cut_lineage(members.join(shared, "term"))
+    links, pairs = [], []
+    while not links or not current.isEmpty():
         pivot = current.groupBy("term").agg(F.min_by("doc_id", F.xxhash64("doc_id", "term")).alias("pivot"))
         toward = current.join(pivot, "term").where(F.col("doc_id") != F.col("pivot"))
         pivots = toward.select(*_ordered(F.col("doc_id"), F.col("pivot"))).distinct()
         seen = cut_lineage(cosines(pivots, vectors))
-        placed = toward.withColumns(dict(zip(["a", "b"], _ordered(F.col("doc_id"), F.col("pivot"))))).join(
+        placed = cut_lineage(toward.withColumns(dict(zip(["a", "b"], _ordered(F.col("doc_id"), F.col("pivot"))))).join(
             seen, ["a", "b"], "left").select(
             "term", "pivot", "doc_id", "weight",
             F.acos(F.least(F.coalesce("cosine", F.lit(0.0)), F.lit(1.0))).alias("angle"),
-            (F.coalesce("cosine", F.lit(0.0)) >= threshold).alias("linked"))
-        placed = cut_lineage(placed)
-        links = seen if links is None else links.unionByName(seen)
+            (F.coalesce("cosine", F.lit(0.0)) >= threshold).alias("linked")))
+        links.append(seen)
         inside, outside = placed.where("linked"), placed.where(~F.col("linked"))
         # Band join: an outsider needs only members whose angle to the pivot is within one threshold angle of its own.
         band = lambda a: F.floor(a / F.lit(angle)).cast("int")
@@ -112,35 +108,32 @@ def candidate_pairs(vectors: DataFrame, threshold: float, bucket_rows: int = BUC
             F.explode(F.array(band(F.col("angle")) - 1, band(F.col("angle")))).alias("band"))
         across = near.join(inside.select("term", F.col("doc_id").alias("m"), F.col("angle").alias("ma"),
                                          band(F.col("angle")).alias("band")), ["term", "band"])
-        across = across.where(F.col("oa") - F.col("ma") <= angle + MARGIN).select(*_ordered(F.col("o"), F.col("m")))
-        left = F.count_if(~F.col("linked"))
-        sizes = placed.groupBy("term").agg(left.alias("n"), (F.count_if("linked") >= FAIR_SHARE * F.count("*")).alias("goes_on"))
-        rest = outside.select("term", "doc_id", "weight").join(sizes.where("n > 1"), "term")
-        many = F.col("n") > bucket_rows
-        pairs = pairs.unionByName(across).unionByName(_bucket_pairs(rest.where(~many))).unionByName(
-            _pairs_by_second_term(rest.where(many & ~F.col("goes_on")).select("term", "doc_id", "weight"), vectors, threshold))
-        current = cut_lineage(rest.where(many & F.col("goes_on")).select("term", "doc_id", "weight"))
-    return pairs.distinct(), links
+        pairs.append(across.where(F.col("oa") - F.col("ma") <= angle + MARGIN).select(*_ordered(F.col("o"), F.col("m"))))
+        state = placed.groupBy("term").agg(F.count_if(~F.col("linked")).alias("n"), (F.count_if("linked") >= FAIR_SHARE * F.count("*")).alias("goes_on"))
+        rest = outside.select("term", "doc_id", "weight").join(state.where("n > 1"), "term")
+        pairs.append(pairs_by_second_term(rest.where(~F.col("goes_on")).select("term", "doc_id", "weight"), vectors, threshold))
+        current = cut_lineage(rest.where("goes_on").select("term", "doc_id", "weight"))
+    return reduce(DataFrame.unionByName, pairs).distinct(), reduce(DataFrame.unionByName, links)
 
 
-def similar_edges(texts: DataFrame, threshold: float = fv.NEAR_DUP_COSINE, bucket_rows: int = BUCKET_ROWS,
-                  skip: DataFrame | None = None) -> DataFrame:
-    """(a, b, cosine) with cosine >= threshold between distinct texts (doc_id, text).
+def similar_edges(texts: DataFrame, threshold: float = fv.NEAR_DUP_COSINE) -> DataFrame:
+    """(a, b, cosine): every pair of distinct texts (doc_id, text) with cosine >= threshold."""
+    vectors = cut_lineage(unigram_vectors(texts))
+    members = cut_lineage(prefixes(vectors, threshold))
+    return cosines(pairs_by_second_term(members, vectors, threshold).distinct(), vectors).where(F.col("cosine") >= threshold)
 
-    Documents in skip (doc_id) count for the document frequencies but are not compared.
 
-    With a bucket_rows no bucket reaches, these are all such pairs.  In crowded buckets near copies are linked through
-    their pivot only; the connected components are the same.
+def linking_edges(texts: DataFrame, threshold: float = fv.NEAR_DUP_COSINE, skip: DataFrame | None = None) -> DataFrame:
+    """(a, b, cosine) with cosine >= threshold, enough of them to connect every group of similar texts.
+
+    Documents in skip (doc_id) count for the document frequencies but are not compared.
     """
     vectors = unigram_vectors(texts)
     if skip is not None:
         vectors = vectors.join(skip, "doc_id", "left_anti")
     vectors = cut_lineage(vectors)
-    pairs, links = candidate_pairs(vectors, threshold, bucket_rows)
-    edges = cosines(pairs, vectors)
-    if links is not None:
-        edges = edges.unionByName(links).dropDuplicates(["a", "b"])
-    return edges.where(F.col("cosine") >= threshold)
+    pairs, links = linking_pairs(vectors, threshold)
+    return cosines(pairs, vectors).unionByName(links).dropDuplicates(["a", "b"]).where(F.col("cosine") >= threshold)
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -174,7 +167,7 @@ def _fingerprint(edges: DataFrame) -> tuple:
     return row[0], row[1]
 
 
-def near_duplicate_groups(docs: DataFrame, threshold: float = fv.NEAR_DUP_COSINE, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def near_duplicate_groups(docs: DataFrame, threshold: float = fv.NEAR_DUP_COSINE) -> DataFrame:
     """(doc_id, group_id) for every document (doc_id, text); group_id is the smallest doc_id of the group."""
     keyed = docs.select("doc_id", F.sha2("text", 256).alias("_text"), "text")
     owners = keyed.groupBy("_text").agg(F.min("doc_id").alias("owner"), F.any_value("text").alias("text"))
@@ -185,7 +178,7 @@ def near_duplicate_groups(docs: DataFrame, threshold: float = fv.NEAR_DUP_COSINE
         "doc_id", F.sha2(F.array_join("_words", " "), 256).alias("bag"))
     lead = bags.groupBy("bag").agg(F.min("doc_id").alias("a"))
     same = cut_lineage(bags.join(lead, "bag").where(F.col("a") != F.col("doc_id")).select("a", F.col("doc_id").alias("b")))
-    edges = similar_edges(texts, threshold, bucket_rows, same.select(F.col("b").alias("doc_id")))
+    edges = linking_edges(texts, threshold, same.select(F.col("b").alias("doc_id")))
     components = connected_components(texts, edges.select("a", "b").unionByName(same))
     owned = keyed.select("doc_id", "_text").join(owners.select("_text", "owner"), "_text")
     return owned.join(components.withColumnRenamed("doc_id", "owner"), "owner").select(

@@ -202,9 +202,11 @@ def skills_by_category(skills: Column) -> Column:
 
 
 def parse_profiles(docs: DataFrame, tagged: DataFrame, as_of_year: int, id: str = "candidate_id", text: str = "text") -> DataFrame:
-    """Full profile per document; tagged (id, skill, category) comes from the taxonomy join."""
+    """Full profile per document; tagged (id, skill, category, position) comes from the taxonomy join."""
     t = F.col(text)
-    held = tagged.groupBy(id).agg(F.array_sort(F.collect_set(F.struct("skill", "category"))).alias("skills"))  # within the taxonomy
+    # One document's skills, at most the taxonomy, in its order.
+    held = tagged.groupBy(id).agg(F.transform(F.array_sort(F.collect_set(F.struct("position", "skill", "category"))), lambda s: F.struct(
+        s["skill"].alias("skill"), s["category"].alias("category"))).alias("skills"))
     out = docs.join(held, id, "left").withColumn(
         "skills", F.coalesce("skills", F.array().cast("array<struct<skill:string,category:string>>")))
     out = out.withColumns({"contact": contact(t), "summary": summary(t), "experience": work_history(t), "education": education(t),

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pairloom import fixed_values as fv
 from pairloom.functions.binding import let
-from pairloom.functions.spans import SPAN, last_started, match_spans, part, trimmed_span
+from pairloom.functions.spans import last_started, match_spans, part, running_starts, trimmed_span
 
 # Where segments end, where a heading may stand, what bounds a word in glued text.
 BOUNDARY = r"(?U)(?<=[.!?;:])\s+|(?<=[a-z0-9)])(?=[A-Z][a-z])"
@@ -20,7 +20,6 @@ AFTER_HEADING = r"(?=\s*(?:$|[:\-A-Z0-9(]))"
 GLUE_BEFORE = r"(?:(?<![A-Za-z])|(?<=[a-z])(?=[A-Z]))"
 GLUE_AFTER = r"(?:(?![A-Za-z])|(?<=[a-z])(?=[A-Z]))"
 HEAD = "array<struct<start:int,end:int,section:string>>"
-PIECE = "array<struct<start:int,end:int,text:string,section:string>>"
 
 
 def segments(text: Column) -> Column:
@@ -33,12 +32,9 @@ def _segments(text: Column) -> Column:
     pieces = F.split(text, BOUNDARY, -1)
     pairs = F.zip_with(pieces, gaps, lambda p, g: F.struct(p.alias("p"), F.coalesce(F.length(g), F.lit(0)).alias("g")))
 
-    def step(acc, x):
-        return F.struct((acc["at"] + F.length(x["p"]) + x["g"]).cast("int").alias("at"),
-                        F.concat(acc["out"], F.array(trimmed_span(x["p"], acc["at"]))).alias("out"))
-
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
-    return F.filter(F.aggregate(pairs, zero, step, lambda acc: acc["out"]), lambda s: s["end"] > s["start"])
+    lengths = lambda pairs: running_starts(F.transform(pairs, lambda x: F.length(x["p"]) + x["g"]))
+    placed = let(pairs, lambda pairs: F.zip_with(pairs, lengths(pairs), lambda x, at: trimmed_span(x["p"], at)))
+    return F.filter(placed, lambda s: s["end"] > s["start"])
 
 
 def heading_pattern(phrases: list[str]) -> str:
@@ -86,15 +82,12 @@ def _label_pieces(spans: Column, heads: Column, bounds: Column) -> Column:
 
 def section_blocks(text: Column, pieces: Column) -> Column:
     """[(start, end, text, section)]: neighbouring pieces of one section merged."""
-    def step(out, p):
-        last = F.try_element_at(out, F.lit(-1))
-        merged = F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.struct(
-            last["start"].alias("start"), p["end"].alias("end"), F.lit("").alias("text"), last["section"].alias("section"))))
-        added = F.concat(out, F.array(F.struct(p["start"].alias("start"), p["end"].alias("end"), F.lit("").alias("text"),
-                                               p["section"].alias("section"))))
-        return F.when(last["section"] == p["section"], merged).otherwise(added)
-
-    blocks = F.aggregate(pieces, F.array().cast(PIECE), step)
+    opens = lambda pieces: F.filter(F.transform(pieces, lambda p, i: F.struct(
+        i.alias("at"), p["start"].alias("start"), p["section"].alias("section"), F.coalesce(
+            F.get(pieces, i - 1)["section"] != p["section"], F.lit(True)).alias("opens"))), lambda p: p["opens"])
+    ended = lambda pieces, opens: F.transform(opens, lambda o, k: F.struct(
+        o["start"].alias("start"), F.get(pieces, F.coalesce(F.get(opens, k + 1)["at"], F.size(pieces)) - 1)["end"].alias("end"), o["section"].alias("section")))
+    blocks = let(pieces, opens, ended)
     return let(text, lambda t: F.transform(blocks, lambda b: F.struct(
         b["start"].alias("start"), b["end"].alias("end"), part(t, b["start"], b["end"]).alias("text"), b["section"].alias("section"))))
 

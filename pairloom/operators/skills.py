@@ -9,6 +9,7 @@ import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pairloom import fixed_values as fv
@@ -109,22 +110,26 @@ def _posting_skills(found: Column, spans: Column, pieces: Column, glued: bool) -
                                                 m["evidence"].alias("evidence"), m["start"].alias("start")))
 
 
-def tag_by_ngrams(docs: DataFrame, aliases: DataFrame, max_words: int = 4, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, skill, category) per document: word n-grams joined with an alias table of any size, one hit per skill.
+def tag_by_ngrams(docs: DataFrame, aliases: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, skill, category, position) per document: word n-grams joined with an alias table of any size, one hit per skill.
 
-    aliases: (alias, skill, category).  Words keep letters, digits, '#' and '+'; every other character separates, so an
+    aliases: (alias, skill, category, position); position is the place of the skill in the taxonomy, 0 where the table has none.  The
+    lengths of the n-grams are those of the aliases.  Words keep letters, digits, '#' and '+'; every other character separates, so an
     alias is broken up the same way before the join.  An alias that has other characters (a blank, "node.js") is then
     looked for literally in the few texts that hold its words.
     """
     split = lambda c: F.filter(F.split(F.lower(c), r"[^a-z0-9#+]+"), lambda w: w != "")
+    lengths = sorted(r[0] for r in aliases.select(F.size(split(F.col("alias")))).distinct().collect() if r[0])
     words = docs.select(id, split(F.col(text)).alias("_w"))
-    grams = let(F.col("_w"), lambda w: F.flatten(F.array(*[ngrams(w, n) for n in range(1, max_words + 1)])))
+    grams = let(F.col("_w"), lambda w: F.flatten(F.array(*[ngrams(w, n) for n in lengths or [1]])))
     terms = words.select(id, F.explode(F.array_distinct(grams)).alias("gram"))
     low = F.lower("alias")
     literal = F.concat(F.lit("(^|[^a-z0-9#+])"), F.regexp_replace(low, r"([^a-z0-9\s_])", r"\\$1"), F.lit("([^a-z0-9#+]|$)"))
-    keys = aliases.select(F.array_join(split(F.col("alias")), " ").alias("gram"), "skill", "category",
+    place = F.min("position" if "position" in aliases.columns else F.lit(0)).over(W.partitionBy("skill"))
+    keys = aliases.select(F.array_join(split(F.col("alias")), " ").alias("gram"), "skill", "category", place.alias("position"),
                           low.rlike("[^a-z0-9#+]").alias("_check"), literal.alias("_literal")).distinct()
     found = terms.join(keys, "gram")
     texts = docs.select(id, F.lower(text).alias("_text"))
     checked = found.where("_check").join(texts, id).where(F.rlike("_text", F.col("_literal")))
-    return found.where("not _check").select(id, "skill", "category").unionByName(checked.select(id, "skill", "category")).distinct()
+    columns = [id, "skill", "category", "position"]
+    return found.where("not _check").select(columns).unionByName(checked.select(columns)).distinct()

@@ -9,9 +9,10 @@ from pyspark.sql.streaming import StreamingQuery
 from pairloom.operators.applications import application_state
 
 
-def read_events(spark: SparkSession, folder: str, schema, files_per_batch: int = 1, glob: str | None = None) -> DataFrame:
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
-    return (reader.option("pathGlobFilter", glob) if glob else reader).parquet(folder)
+def read_events(spark: SparkSession, table: str, schema, files_per_batch: int = 1) -> DataFrame:
+    """The files of a table as they arrive, whether it is one file or a folder of many."""
+    # A stream takes a plain path for a folder; a pattern may match either.
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{table[:-1]}[{table[-1]}]")
 
 
 def application_state_stream(events: DataFrame, key: str = "application_id", at: str = "ts", tie: str = "event_id",

@@ -18,7 +18,7 @@ SPELLINGS = ["No Fit", "potential fit", " Good Fit "]
 
 
 def raw_rows():
-    return [(f"Resume {r} python engineer {7 * r} unique words alpha{r} beta{r}", f"Job {j} requires sql and python gamma{j}", SPELLINGS[(r + j) % 3])
+    return [(f"Ferry pilot number {r} crosses the sound {3 * r} times", f"Harbour {j} wants a calm hand at the wheel", SPELLINGS[(r + j) % 3])
             for r in range(5) for j in range(2)]
 
 
@@ -46,8 +46,8 @@ def test_original_split_leakage(spark):
 
 
 def test_near_copies_share_a_group(spark):
-    texts = ["Senior data engineer Python Spark AWS ten years ETL pipelines", "Senior data engineer Python Spark AWS ten years ETL pipelines.",
-             "Pastry chef baking bread cakes"]
+    texts = ["Harbour pilot with night crossings, fog signals and two winters of ice", "Harbour pilot; with night crossings, fog signals and two winters of ICE!",
+             "Keeps bees on the roof of a school"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     groups = {r["doc_id"]: r["group_id"] for r in nd.near_duplicate_groups(df).collect()}
     assert groups == {0: 0, 1: 0, 2: 2}
@@ -81,9 +81,8 @@ def brute_groups(texts, threshold=0.9):
     return {i: root(i) for i in range(len(texts))}
 
 
-@pytest.mark.parametrize("bucket_rows", [4, 1000])
-def test_groups_match_brute_force(spark, bucket_rows):
-    """Many near copies of two texts, chains of edits and unrelated texts, with and without crowded buckets."""
+def test_groups_match_brute_force(spark):
+    """Many near copies of two texts, chains of edits and unrelated texts."""
     rng = random.Random(11)
     words = [f"w{i:03d}" for i in range(400)]
     bases = [rng.sample(words, 40) for _ in range(12)]
@@ -95,7 +94,7 @@ def test_groups_match_brute_force(spark, bucket_rows):
         texts.append(" ".join(base))
     texts = list(dict.fromkeys(texts))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r["doc_id"]: r["group_id"] for r in nd.near_duplicate_groups(df, bucket_rows=bucket_rows).collect()}
+    got = {r["doc_id"]: r["group_id"] for r in nd.near_duplicate_groups(df).collect()}
     assert got == brute_groups(texts)
 
 
@@ -110,7 +109,20 @@ def test_unlike_texts_in_one_crowded_bucket(spark):
     texts += [f"filler{i} plain{i % 9} words{i % 4}" for i in range(80)]
     texts = list(dict.fromkeys(texts))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert {r["doc_id"]: r["group_id"] for r in nd.near_duplicate_groups(df, threshold=0.7, bucket_rows=3).collect()} == brute_groups(texts, 0.7)
+    assert {r["doc_id"]: r["group_id"] for r in nd.near_duplicate_groups(df, threshold=0.7).collect()} == brute_groups(texts, 0.7)
+
+
+def test_all_edges_of_a_large_bucket(spark):
+    """Hundreds of near copies of one text: every similar pair is found, and the groups are those of all pairs."""
+    rng = random.Random(23)
+    base = [f"m{i:03d}" for i in range(400)]
+    texts = [" ".join([*base, *rng.sample([f"e{k:04d}" for k in range(5000)], 1)]) for _ in range(260)]
+    texts = list(dict.fromkeys(texts)) + [f"other{i} thing{i % 7} word{i % 3}" for i in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    vs = vectors(texts)
+    want = {(j, i) for i in range(len(vs)) for j in range(i) if sum(x * vs[j].get(w, 0) for w, x in vs[i].items()) >= 0.9}
+    assert {(r["a"], r["b"]) for r in nd.similar_edges(df).collect()} == want and len(want) > 5_000
+    assert {r["doc_id"]: r["group_id"] for r in nd.near_duplicate_groups(df).collect()} == brute_groups(texts)
 
 
 def test_long_chain_of_components(spark):
@@ -120,22 +132,22 @@ def test_long_chain_of_components(spark):
     assert {got[i] for i in range(40)} == {0} and got[45] == 45 and got[52] == got[55] == 50
 
 
-CORPUS = ["Machine learning engineer with Python and PyTorch", "Data analyst with SQL, Python and Tableau", "Chef with bread and cake skills",
-          "Nurse with patient care skills", "C++ and C# engineer with Node.js"]
+CORPUS = ["Tide tables and fog.js with the night ferry", "Night ferry crew with knots, tide tables and rope", "Orchard hands with ladders",
+          "Beekeeper with smoke and rope", "G++ and A# charts with fog.js"]
 
 
 def test_lexical_scores(spark):
     docs = spark.createDataFrame([(str(i), t) for i, t in enumerate(CORPUS)], "doc_id string, text string")
     vocabulary = lx.fit_vocabulary(docs.unionByName(docs), min_df=1, max_df=1.0)
     terms = {r["term"] for r in vocabulary.collect()}
-    assert {"c++", "c#", "node.js", "python", "pytorch", "machine learning"} <= terms
+    assert {"g++", "a#", "fog.js", "rope", "tide tables", "night ferry"} <= terms
     weights = lx.transform(lx.term_counts(docs), vocabulary)
     left, right = weights.withColumnRenamed("doc_id", "candidate_id"), weights.withColumnRenamed("doc_id", "posting_id")
-    pairs = spark.createDataFrame([("0", "0"), ("0", "1"), ("0", "9")], "candidate_id string, posting_id string")
+    pairs = spark.createDataFrame([("1", "1"), ("1", "3"), ("1", "7")], "candidate_id string, posting_id string")
     score = {(r["candidate_id"], r["posting_id"]): r["score"] for r in lx.pair_scores(pairs, left, right).collect()}
-    assert score[("0", "0")] == pytest.approx(1) and 0 < score[("0", "1")] < 1 and score[("0", "9")] == 0
+    assert score[("1", "1")] == pytest.approx(1) and 0 < score[("1", "3")] < 1 and score[("1", "7")] == 0
     kept = {r["term"] for r in lx.fit_vocabulary(docs).collect()}
-    assert "python" in kept and "with" not in kept and "chef" not in kept
+    assert "rope" in kept and "with" not in kept and "orchard" not in kept
 
 
 def test_bag_cosine_defaults(spark):

@@ -79,3 +79,11 @@ def test_late_rows_are_dropped_and_state_is_order_free(spark, tmp_path):
     assert got == {1: ("applied", 3), 2: ("offer", 1)}
     counted = spark.read.parquet(str(tmp_path / "days")).collect()
     assert [(r["day"].day, r["n"]) for r in counted] == [(1, 1)]
+
+
+def test_streams_read_a_folder_of_many_files(spark, tmp_path):
+    from pairloom.catalog import applications as cat
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    events.repartition(5).write.parquet(f"{tmp_path}/events.parquet")
+    got = sorted(map(tuple, cat.application_state_stream(spark, str(tmp_path)).collect()), key=str)
+    assert got and got == sorted(map(tuple, cat.application_state_stream(spark, "/root/testdata/sf0.001").collect()), key=str)
