@@ -12,7 +12,6 @@ from pairloom.catalog.inputs import table
 from pairloom.catalog.sqltext import normalize, q, sub
 from pairloom.functions import text as tx
 from pairloom.operators import adverts, careers, documents, profiles, sections, semantic, skills
-from pairloom.operators.ranking import first_per_group
 from pairloom.operators.skills import Taxonomy
 from pairloom.session import spread
 

@@ -68,8 +68,6 @@ DEGREE_PATTERNS = {
 
 # Duty statements.
 MIN_DUTY_WORDS = 4
-MAX_DUTIES = 40
-MAX_EVIDENCE = 150
 
 # Pair score components, weightings and ablation stages.
 COMPONENTS = ["semantic_similarity", "required_skill_coverage", "preferred_skill_coverage", "experience_match",

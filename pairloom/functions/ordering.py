@@ -1,6 +1,6 @@
 """Exact ranks, running sums and quantiles inside groups of any size.
 
-A window over one group is one task.  Where the largest group is small that is the best plan, so it is used; where a
+A window over one group is one task.  Where the largest group, counted first, is small that is the best plan, so it is used; where a
 group is large (one posting holding a third of all rows), the rows are range-partitioned on (group, order) instead, so
 that the group spreads over many tasks, and ranks are put together from the position inside each slice and the sizes
 of the slices before it.
@@ -18,22 +18,14 @@ from pairloom.session import cut_lineage
 
 HOT_ROWS_CONF = "pairloom.hotGroupRows"
 HOT_ROWS = 1_000_000
-SMALL_ROW_BYTES = 32
 
 
 def hot_rows(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get(HOT_ROWS_CONF, str(HOT_ROWS)))
 
 
-def cannot_be_hot(df: DataFrame) -> bool:
-    """True where the optimizer's size estimate of the whole input is too small for any group to be large."""
-    if not hasattr(df, "_jdf"):
-        return False
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= hot_rows(df) * SMALL_ROW_BYTES
-
-
 def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Rows of the largest group: a partial count, one number to the driver."""
+    """Rows of the largest group, counted on the rows themselves: a partial count, one number to the driver."""
     return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
 
 
@@ -46,7 +38,7 @@ def rank_in_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], t
     totals = totals or {}
     for name, value in totals.items():
         df = df.withColumn(name, value)
-    if cannot_be_hot(df) or largest_group(df, keys) <= hot_rows(df):
+    if largest_group(df, keys) <= hot_rows(df):
         window = Window.partitionBy(*keys).orderBy(*order)
         running = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
         return df.withColumns({rank: F.row_number().over(window).cast("long")} | {t: F.sum(t).over(running) for t in totals})

@@ -144,16 +144,20 @@ def statements(pieces: Column, keep, min_words: int = fv.MIN_DUTY_WORDS) -> Colu
     return F.array_distinct(F.transform(chosen, lambda p: p["text"]))
 
 
-def duties(pieces: Column) -> Column:
-    """(statements, from_section): sentences of the responsibilities section, else of everything but "other"."""
+def _first(items: Column, limit: int | None) -> Column:
+    return items if limit is None else F.slice(items, 1, limit)
+
+
+def duties(pieces: Column, limit: int | None = None) -> Column:
+    """(statements, from_section): sentences of the responsibilities section, else of everything but "other"; all, or the first ``limit``."""
     own = statements(pieces, lambda s: s == "responsibilities")
     rest = statements(pieces, lambda s: s != "other")
-    return let(own, lambda own: F.struct(F.slice(F.when(F.size(own) > 0, own).otherwise(rest), 1, fv.MAX_DUTIES).alias("statements"),
+    return let(own, lambda own: F.struct(_first(F.when(F.size(own) > 0, own).otherwise(rest), limit).alias("statements"),
                                          (F.size(own) > 0).alias("from_section")))
 
 
-def evidence(pieces: Column) -> Column:
-    """Sentences of the experience section, else of everything but education."""
+def evidence(pieces: Column, limit: int | None = None) -> Column:
+    """Sentences of the experience section, else of everything but education; all, or the first ``limit``."""
     own = statements(pieces, lambda s: s == "experience")
     rest = statements(pieces, lambda s: s != "education")
-    return let(own, lambda own: F.slice(F.when(F.size(own) > 0, own).otherwise(rest), 1, fv.MAX_EVIDENCE))
+    return let(own, lambda own: _first(F.when(F.size(own) > 0, own).otherwise(rest), limit))

@@ -19,7 +19,7 @@ def label_document(docs: DataFrame, rules: dict[str, list[str]], text: str = "te
 
 
 def parse_candidates(docs: DataFrame, taxonomy: Taxonomy, id: str = "candidate_id", text: str = "text",
-                     headings: dict[str, list[str]] = fv.RESUME_HEADINGS) -> DataFrame:
+                     headings: dict[str, list[str]] = fv.RESUME_HEADINGS, limit: int | None = None) -> DataFrame:
     """(id, text, skills, experience, highest_level, evidence, education, projects, certifications)."""
     normal = docs.select(id, tx.normalize(F.col(text)).alias("text"))
     labelled = label_document(normal, headings).withColumn("mentions", skills.mentions(F.col("text"), taxonomy))
@@ -35,7 +35,7 @@ def parse_candidates(docs: DataFrame, taxonomy: Taxonomy, id: str = "candidate_i
                 s["skill"].alias("skill"), taxonomy.category_of(s["skill"]).alias("category"), s["evidence"].alias("evidence")))))
             .withColumn("experience", careers.candidate_experience(F.col("text"), F.col("blocks")))
             .withColumn("highest_level", careers.candidate_degree(F.col("text")))
-            .withColumn("evidence", careers.evidence(F.col("pieces")))
+            .withColumn("evidence", careers.evidence(F.col("pieces"), limit))
             .withColumn("education", degrees).withColumn("projects", of_kind("projects"))
             .withColumn("certifications", F.array_sort(F.array_union(certificates, of_kind("certifications"))))
             .select(id, "text", "skills", "experience", "highest_level", "evidence", "education", "projects", "certifications"))
@@ -49,7 +49,7 @@ def title_line(raw):
 
 
 def parse_postings(docs: DataFrame, taxonomy: Taxonomy, glued: bool = True, id: str = "posting_id", text: str = "text",
-                   headings: dict[str, list[str]] = fv.JOB_HEADINGS) -> DataFrame:
+                   headings: dict[str, list[str]] = fv.JOB_HEADINGS, limit: int | None = None) -> DataFrame:
     """(id, text, title, skills, experience, education, duties)."""
     normal = docs.select(id, title_line(F.when(F.col(text).rlike(r"(?U)\S"), F.col(text))).alias("title"), tx.normalize(F.col(text)).alias("text"))
     labelled = label_document(normal, headings).withColumn("mentions", skills.mentions(F.col("text"), taxonomy))
@@ -57,5 +57,5 @@ def parse_postings(docs: DataFrame, taxonomy: Taxonomy, glued: bool = True, id:
             .withColumn("skills", skills.posting_skills(F.col("mentions"), F.col("segments"), F.col("pieces"), glued))
             .withColumn("experience", careers.required_experience(F.col("pieces"), glued))
             .withColumn("education", careers.education_requirement(F.col("pieces"), glued))
-            .withColumn("duties", careers.duties(F.col("pieces")))
+            .withColumn("duties", careers.duties(F.col("pieces"), limit))
             .select(id, "text", "title", "skills", "experience", "education", "duties"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -61,8 +62,13 @@ def broken_references(child: DataFrame, parent: DataFrame, column: str, key: str
 
 
 def extend_embedding_cache(spark: SparkSession, path: str, requests: DataFrame, encoder: Encoder, max_tokens: int = 510,
-                           strategy: str = "chunk_mean", text: str = "text") -> DataFrame:
-    """Encode only the texts the stored table (text_id, vec) lacks, append them, return the whole table."""
+                           strategy: str = "chunk_mean", text: str = "text", encoder_name: str = "default") -> DataFrame:
+    """Encode only the texts the stored table (text_id, vec) lacks, append them, return the whole table.
+
+    Vectors of another encoder, length or strategy are kept apart: each combination has its own folder.
+    """
+    settings = hashlib.sha1(f"{encoder_name}|{max_tokens}|{strategy}".encode()).hexdigest()[:16]
+    path = f"{path.rstrip('/')}/{settings}"
     try:
         known = spark.read.parquet(path)
     except Exception as exc:

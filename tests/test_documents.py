@@ -208,6 +208,9 @@ def test_cache_encodes_only_new_texts(spark, tmp_path):
     store.extend_embedding_cache(spark, path, texts("spark jobs", "spark  jobs", "bread"), encoder)
     table = store.extend_embedding_cache(spark, path, texts("bread", "cake"), encoder)
     assert calls == [2, 1] and table.count() == 3
+    # Other settings have vectors of their own.
+    assert store.extend_embedding_cache(spark, path, texts("bread"), encoder, strategy="truncate").count() == 1
+    assert store.extend_embedding_cache(spark, path, texts("bread"), encoder, encoder_name="other").count() == 1 and calls == [2, 1, 1, 1]
     assert all(abs(sum(x * x for x in r["vec"]) - 1) < 1e-5 for r in table.collect())
 
 
