@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["ranking", "preparation", "lexical", "matching", "documents", "applications"]
+MODULES = ["ranking", "preparation", "lexical", "matching", "documents", "applications", "stored"]
 
 
 def _merged(attribute: str) -> dict:

@@ -140,8 +140,11 @@ def repetition_splits(spark, folder):
 
 
 def table_fingerprint(spark, folder):
-    """Row counts per line status; the hashes are Spark's own and are left out of the comparison."""
-    return fingerprint(table(spark, folder, "lineitem"), ["l_linestatus"]).select("l_linestatus", "n_rows")
+    """Row counts and order-free row hashes per line status."""
+    return fingerprint(table(spark, folder, "lineitem").select(*FINGERPRINTED, "l_linestatus"), ["l_linestatus"])
+
+
+FINGERPRINTED = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_quantity"]
 
 
 QUERIES = {f.__name__: f for f in [
@@ -240,5 +243,6 @@ ORACLES = {
         o as (select repetition, (((fold - 3 * repetition) % 20) + 20) % 20 as off from folds, r)
         select repetition, case when off < 3 then 'test' when off < 6 then 'validation' else 'train' end as split, count(*) as n_groups
         from o group by all"""),
-    "table_fingerprint": "select l_linestatus, count(*) as n_rows from lineitem group by all",
+    "table_fingerprint": f"""select l_linestatus, count(*) as n_rows, sum(('0x' || md5(concat_ws('|', {", ".join(f"{c}::varchar" for c in sorted(FINGERPRINTED))}))[1:15])::hugeint)::varchar
+        as sum_hash from lineitem group by all""",
 }
