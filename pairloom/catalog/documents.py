@@ -11,9 +11,10 @@ from pairloom import fixed_values as fv
 from pairloom.catalog.inputs import table
 from pairloom.catalog.sqltext import normalize, q, sub
 from pairloom.functions import text as tx
-from pairloom.operators import adverts, careers, documents, profiles, sections, semantic, skills
+from pairloom.operators import adverts, careers, documents, pair_features, profiles, sections, semantic, skills
 from pairloom.operators.skills import Taxonomy
-from pairloom.session import spread
+from pairloom.plans import hybrid
+from pairloom.session import cut_lineage, scratch_folder, spread
 
 NAMES = {"the": "The", "and": "And", "tion": "Tion", "erin": "Erin", "thble": "Thble", "anea": "Anea", "thor": "Thor", "thnt": "Thnt"}
 TAXONOMY = Taxonomy({**NAMES, "thha": "Thnt"}, {"Of": "Of"}, {**{v: "word" for v in NAMES.values()}, "Of": "certification"})
@@ -177,10 +178,42 @@ def label_alignment(spark, folder):
                           F.get("best", 0)["duty"].alias("best_duty"), F.get("best", 0)["evidence"].alias("best_evidence"))
 
 
+def hybrid_explained(spark, folder):
+    """Every document scored against a benchmark passage, from the texts alone, with its evidence."""
+    docs, items = table(spark, folder, "documents"), table(spark, folder, "benchmark")
+    candidates = docs.select(F.col("doc_id").alias("candidate_id"), "text")
+    postings = items.select(F.col("item_id").alias("posting_id"), "text")
+    n = items.agg((F.max("item_id") + 1).alias("n"))
+    pairs = docs.select("doc_id").crossJoin(F.broadcast(n)).select(F.col("doc_id").alias("candidate_id"), F.pmod("doc_id", "n").alias("posting_id"))
+    features = hybrid.hybrid_features(pairs, candidates, postings, TAXONOMY, semantic.hashed_bag_encoder(32), 32, 128, RESUME_HEADINGS, HEADINGS)
+    return pair_features.explain(features, HYBRID_WEIGHTS, {})
+
+
+HYBRID_WEIGHTS = dict(zip(fv.COMPONENTS, fv.WEIGHTINGS["A_initial"]))
+
+
+def hybrid_scores(spark, folder):
+    listed = lambda c: F.array_join(c, ",")
+    return hybrid_explained(spark, folder).select(
+        "candidate_id", "posting_id", F.round("overall_score", 6).alias("overall_score"), F.round("semantic_similarity", 6).alias("semantic_similarity"),
+        F.round("responsibility_similarity", 6).alias("responsibility_similarity"), "required_skill_coverage", "preferred_skill_coverage",
+        listed("matched_required_skills").alias("matched"), listed("missing_required_skills").alias("missing"), listed("components_used").alias("components"),
+        F.size("skill_evidence").alias("n_skill_evidence"), F.size("responsibility_evidence").alias("n_duty_evidence"))
+
+
+def hybrid_audit(spark, folder):
+    """The explanations held against the texts and against a score stored apart."""
+    place = scratch_folder(spark)
+    explained = cut_lineage(hybrid_explained(spark, folder))
+    explained.select("candidate_id", "posting_id", F.col("overall_score").alias("saved_score")).write.parquet(place)
+    return pair_features.audit_summary(pair_features.audit_checks(
+        explained.join(spark.read.parquet(place), ["candidate_id", "posting_id"]), HYBRID_WEIGHTS))
+
+
 QUERIES = {f.__name__: f for f in [
     segments, section_sizes, section_blocks, skill_mentions, candidate_skills, posting_skills, parsed_candidates, parsed_postings, career_intervals,
     contacts, quality_checks, tagged_documents, posting_requirements, advert_levels, advert_duties, education_phrases, profile_records, chunk_windows,
-    hashed_embeddings, encoding_stats, label_alignment]}
+    hashed_embeddings, encoding_stats, label_alignment, hybrid_scores, hybrid_audit]}
 
 # Segments: 1 marks the end of a piece, 2 the start of the next one; the blanks between the marks are the separator.
 MARKED = sub(sub(sub("t", r"([.!?;:])(\s+)", "\\1\x01\\2\x02"), r"([a-z0-9)])([A-Z][a-z])", "\\1\x01\x02\\2"), r"([a-z0-9)])([A-Z][a-z])", "\\1\x01\x02\\2")

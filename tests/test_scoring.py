@@ -183,3 +183,30 @@ def test_application_life(spark):
     entries = ap.timeline(changes, at="at", tie="change_id", stage="status").orderBy("seq").collect()
     assert [(e["seq"], e["date"], e["stage"], e["note"]) for e in entries] == [
         (1, "2024-05-02", "applied", "Stage moved to applied"), (2, "2024-05-03", "screening", "call")]
+
+
+def test_texts_to_explained_scores(spark):
+    from pairloom.operators import semantic as se
+    from pairloom.plans import hybrid
+    taxonomy = skills.Taxonomy({"rope": "Rope work", "sonar": "Sonar", "charts": "Charts"}, {}, {"Rope work": "deck", "Sonar": "bridge", "Charts": "bridge"})
+    boat = "Summary Deck hand with 6 years of experience. Experience Spliced rope for the harbour tug crew. Read paper charts on every night crossing."
+    idle = "Summary Keeps a quiet allotment. Experience Grew beans and late potatoes for the market stall."
+    job = ("Responsibilities Splice rope for the tug crew each week. Required Qualifications 4 years of experience. Rope and sonar required. "
+           "Preferred Qualifications Charts.")
+    candidates = spark.createDataFrame([(1, boat), (2, boat + "  "), (3, idle)], "candidate_id long, text string")
+    postings = spark.createDataFrame([(7, job)], "posting_id long, text string")
+    pairs = spark.createDataFrame([(1, 7), (2, 7), (3, 7)], "candidate_id long, posting_id long")
+    weights = dict(zip(fv.COMPONENTS, fv.WEIGHTINGS["A_initial"]))
+    features = hybrid.hybrid_features(pairs, candidates, postings, taxonomy, se.hashed_bag_encoder(64), 64, 64)
+    explained = pf.explain(features, weights, {}).withColumn("saved_score", F.col("overall_score"))
+    got = {r["candidate_id"]: r for r in explained.collect()}
+    assert got[1]["matched_required_skills"] == ["Rope work"] and got[1]["missing_required_skills"] == ["Sonar"]
+    assert got[1]["overall_score"] == got[2]["overall_score"] > got[3]["overall_score"]
+    assert any("Spliced rope" in e for e in got[1]["skill_evidence"]) and "rope" in got[1]["responsibility_evidence"][0]["evidence"]
+    assert pf.audit_summary(pf.audit_checks(explained, weights)).first()["all_pass"]
+    damage = {"saved_score": F.lit(0.123), "missing_required_skills": F.array(F.lit("Rope work")), "skill_evidence": F.array(F.lit("never written")),
+              "experience_gap": F.lit(40.0), "matched_required_skills": F.array(F.lit("Welding"))}
+    for column, value in damage.items():
+        broken = explained.withColumn(column, F.when(F.col("candidate_id") == 1, value).otherwise(F.col(column)))
+        row = pf.audit_summary(pf.audit_checks(broken, weights)).first()
+        assert not row["all_pass"] and min(row[c] for c in row.asDict() if c not in ("pairs_checked", "all_pass")) == 2
