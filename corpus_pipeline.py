@@ -7,7 +7,6 @@ spark.checkpoint.dir and hands what it reads back to the next.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from pairloom.llm import decontaminate, mixing, near_copies, personal_data, quality
 from pairloom.llm.common import table
@@ -35,8 +34,8 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words to take of each document in the mix; documents of which none are taken are left out."""
-    return mixing.mixed(docs).where(F.col("taken") > 0)
+    """The mix: documents with their texts, once for each repetition, the border documents cut; those of which nothing is taken are left out."""
+    return mixing.mixed_documents(docs)
 
 
 STAGES = [("quality", keep_quality), ("near_copies", drop_near_copies), ("benchmark", drop_benchmark), ("personal_data", redact), ("mix", mix)]

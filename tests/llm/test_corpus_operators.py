@@ -73,6 +73,35 @@ def test_mix_of_nothing(spark):
     assert mixing.mixed(spark.createDataFrame([], "doc_id long, source string, text string")).count() == 0
 
 
+def test_mix_holds_the_texts(spark):
+    rows = [(i, f"s{i % 3}", f" w{i}a\tw{i}b  " * (1 + i % 7 + 40 * (i % 3 == 2)), i) for i in range(60)]
+    rows += [(None, "s2", "x y\n z", 7)] * 3 + [(70, "one", "p q r", 1)] * 4 + [(71, "one", "p q s", 2)] * 3 + [(80, None, None, 5), (81, None, "u", 5)]
+    table = spark.createDataFrame([(*r, len(r[2] or "")) for r in rows], "doc_id long, source string, text string, size int, n_chars int")
+    got = mixing.mixed_documents(table).collect()
+    assert mixing.mixed_documents(table).columns == [*table.columns, "repetition", "taken"]
+    want = collections.Counter()
+    for r in mixing.mixed(table).collect():
+        want[r.doc_id] += r.taken
+    words, originals, cut = collections.Counter(), {(r[0], r[1], r[3], r[2]) for r in rows}, collections.Counter()
+    for r in got:
+        assert len(r.text.split()) == r.taken > 0 and r.repetition >= 1
+        words[r.doc_id] += r.taken
+        if (r.doc_id, r.source, r["size"], r.text) not in originals:
+            cut[r.source] += 1
+            assert any(o[:3] == (r.doc_id, r.source, r["size"]) and o[3].startswith(r.text) for o in originals) and r.n_chars == len(r.text)
+    assert words == +want and cut and max(cut.values()) == 1 and max(r.repetition for r in got) > 1
+
+
+def test_border_among_repeated_rows(spark):
+    table = spark.createDataFrame([(1, "a", "p q r s t")] * 5 + [(2, "b", "w " * 9)] * 30, "doc_id long, source string, text string")
+    got = mixing.mixed_documents(table, weights=(3, 7), budget=0.5, max_epochs=1).collect()
+    sums = collections.Counter()
+    for r in got:
+        assert len(r.text.split()) == r.taken
+        sums[r.source] += r.taken
+    assert sums == {"a": 25, "b": 123} and sorted(r.taken for r in got if r.doc_id == 2) == [6] + [9] * 13
+
+
 # Near copies
 
 def edited(text, n, rng):
@@ -318,3 +347,10 @@ def test_pipeline_stages(spark, tmp_path):
     assert text[203].endswith("<EMAIL>") and text[7] == rows[7][1]
     assert docs.count() == len(pipeline.run(spark, str(tmp_path)).collect())
     assert docs.agg(F.min("taken")).first()[0] > 0
+
+
+def test_pipeline_ends_in_texts(spark):
+    import corpus_pipeline
+    table = spark.createDataFrame([(1, "a b c", "en", "s"), (2, "d e", "en", "s")], "doc_id long, text string, lang string, source string")
+    got = corpus_pipeline.mix(spark, table, "").collect()
+    assert sum(len(r.text.split()) for r in got) == 8 and {r.lang for r in got} == {"en"}
