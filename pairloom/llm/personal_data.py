@@ -2,8 +2,12 @@
 
 High-recall generators propose overlapping spans; boosted trees score them from their format and context; spans above a calibrated
 threshold are added to those that the base rules find.  The trees learn from the base rules' own decisions: a candidate that is a base
-span is a positive, one elsewhere (or just what a rule dropped) a negative, and one inside a longer dropped match is left out of training (that is where the
-trees add what the rules miss, such as two card numbers side by side).  Training rows: at most TRAINING_ROWS per class, by hash order.
+span is a positive; a failed checksum, a part out of range, a number inside a longer token and a bare number without a cue word before it
+are negatives.  Everything else is left out of training, since the base rules can't tell: what overlaps a base span or lies in a longer
+dropped match, and the forms that only the generators know ('[at]' addresses, 13 to 15 digit cards, phones without '+').  For these the
+trees see the base spans rewritten to each form, in their own context and alone.
+
+Training rows: at most TRAINING_ROWS per class, by hash order.
 
 Defined results: null counts as the empty text; repeated rows repeat their results; with too few candidates to learn from, the base
 spans alone are returned; an empty table gives an empty table; extra columns stay untouched where documents are returned.
@@ -13,7 +17,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -28,6 +34,10 @@ KINDS = ("email", "ip", "card", "phone")
 TRAINING_ROWS = 8_000
 #: Share of the candidates above the threshold that must be positives on the held-out half; fewer examples of a kind add no spans.
 PRECISION, LEAST_EXAMPLES = 0.98, 20
+#: Words before a span that announce its kind, and such as announce other numbers.
+CUES = {"email": {"mail", "email", "contact", "write"}, "ip": {"ip", "host", "server", "address"}, "card": {"card", "visa", "mastercard", "amex"},
+        "phone": {"tel", "telephone", "phone", "call", "fax", "mobile", "cell", "dial"}}
+OTHER_CUES = {"token", "id", "key", "order", "ticket", "ref"}
 
 # The base rules.
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -36,6 +46,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
+_LETTERS_LAST = re.compile(r"[A-Za-z]{2,}\Z")
 
 # Generators: overlapping candidates by look-ahead.
 _PROPOSE = {
@@ -90,27 +101,61 @@ def base_spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[int, i
     return spans, dropped
 
 
+def cue(text: str, start: int) -> str:
+    """The last word in the 24 characters before a span."""
+    return (re.findall(r"[^\W\d_]+", text[max(0, start - 24) : start].lower())[-1:] or [""])[0]
+
+
 def features(text: str, kind: str, start: int, end: int) -> list[float]:
     """Format of the candidate and of what stands around it."""
     span, before, after = text[start:end], text[max(0, start - 24) : start], text[end : end + 12]
     digits = only_digits(span)
     parts = span.split(".")
     side = lambda c: 0 if not c or c.isspace() else 1 if c.isdigit() else 2 if c.isalpha() else 3
-    word = re.findall(r"[^\W\d_]+", before.lower())[-1:] or [""]
+    word = cue(text, start)
     return [KINDS.index(kind), len(span), len(digits), len(span) - len(digits), span.count("("), span.count("."), span.count(" ") + span.count("-"),
             float(span[:1] == "+"), float(bool(digits) and luhn(digits)), max((int(p) for p in parts if p.isdigit() and len(p) < 5), default=0),
             len(set(digits)), side(before[-1:]), side(after[:1]), len(only_digits(before)), len(only_digits(after)),
-            float(word[0] in ("tel", "phone", "call", "fax", "mail", "email", "card", "visa", "ip", "host", "token", "id", "key")),
-            float('"' in before[-3:] or '"' in after[:3])]
+            float(word in CUES[kind]), float(word in OTHER_CUES), float('"' in before[-3:] or '"' in after[:3]), float(bool(_LETTERS_LAST.search(span)))]
+
+
+def touching(spans: list[tuple[int, int]]):
+    """A test whether any of the spans overlaps (start, end), in logarithmic time."""
+    spans = sorted(spans)
+    starts, ends = [a for a, _ in spans], list(accumulate((b for _, b in spans), max))
+
+    def test(start: int, end: int) -> bool:
+        n = bisect_left(starts, end)
+        return n > 0 and ends[n - 1] > start
+
+    return test
+
+
+def outside_label(text: str, kind: str, start: int, end: int) -> int:
+    """0 for a candidate that no base rule and no dropped match covers if it can't be personal data, -1 if the base rules can't tell."""
+    span = text[start:end]
+    inside = any(c.isalnum() or c == "_" for c in text[max(0, start - 1) : start] + text[end : end + 1])
+    if kind == "email":
+        good = _LETTERS_LAST.search(span)
+    elif kind == "ip":
+        good = all(int(p) <= 255 for p in span.split("."))
+    elif kind == "card":
+        good = luhn(only_digits(span)) and not inside
+    elif span[0] in "+(":
+        good = 8 <= len(only_digits(span)) <= 15
+    else:
+        good = cue(text, start) in CUES["phone"] and not inside
+    return -1 if good else 0
 
 
 def candidates(text: str) -> list[tuple[str, int, int, int, list[float]]]:
-    """(kind, start, end, label, features): label 1 for a base span, 0 elsewhere, -1 inside or across a dropped match."""
+    """(kind, start, end, label, features): label 1 for a base span, 0 for what can't be personal data, -1 for what the base rules can't tell."""
     digit = _DIGIT.search(text)
     if not digit and "@" not in text and "[at]" not in text and "(at)" not in text:
         return []
     spans, dropped = base_spans(text)
     known, out = set(spans), [(*s, 1, features(text, *s)) for s in spans]
+    on_base, on_dropped, whole = touching([s[1:] for s in spans]), touching(dropped), set(dropped)
     for kind, patterns in _PROPOSE.items():
         for pattern in patterns if digit or kind == "email" else ():
             if kind == "email" and "at" not in text:
@@ -119,9 +164,31 @@ def candidates(text: str) -> list[tuple[str, int, int, int, list[float]]]:
                 span = (kind, *m.span(1))
                 if span not in known:
                     known.add(span)
-                    near = [d for d in dropped if d[0] < span[2] and span[1] < d[1]]
-                    label = -1 if near and span[1:] not in near else 0
-                    out.append((*span, label, features(text, *span)))
+                    unknown = on_base(*span[1:]) or on_dropped(*span[1:]) and span[1:] not in whole
+                    out.append((*span, -1 if unknown else outside_label(text, *span), features(text, *span)))
+    return out
+
+
+def rewritten(text: str, kind: str, start: int, end: int) -> list[tuple[str, int, list[float]]]:
+    """(what is rewritten and its context, label, features): a base span in the forms that only the generators know, and
+    broken ones, each in the span's own context and alone."""
+    span, digits, forms = text[start:end], only_digits(text[start:end]), []
+    if kind == "email":
+        local, _, domain = span.partition("@")
+        forms = [(1, "", f"{local}{at}{domain.replace('.', dot)}") for at, dot in ((" [at] ", "."), ("[at]", "."), ("(at)", "[dot]"), (" (at) ", " [dot] "))]
+    elif kind == "card":
+        for n in (13, 14, 15):
+            check = [c for c in "0123456789" if luhn(digits[: n - 1] + c)][0]
+            forms += [(1, "", digits[: n - 1] + check), (0, "", digits[: n - 1] + str((int(check) + 1 + digits.count("1") % 9) % 10))]
+    elif kind == "phone":
+        forms = [(1, "tel ", digits[-n:]) for n in (7, 10, 12) if len(digits) >= n]
+        if len(digits) >= 10:
+            forms += [(1, "", f"({digits[-10:-7]}){gap}{digits[-7:-4]}{sep}{digits[-4:]}") for gap, sep in ((" ", "-"), ("", "-"), (" ", "."))]
+    out = []
+    for label, word, form in forms:
+        for before, after in ((text[max(0, start - 24) : start] + word, text[end : end + 12]), (" " + word, " ")):
+            made = before + form + after
+            out.append((made, label, features(made, kind, len(before), len(before) + len(form))))
     return out
 
 
@@ -139,8 +206,14 @@ def trained(docs: DataFrame, rows: int = TRAINING_ROWS) -> tuple[BoostedTrees |
     """Trees and one threshold per kind.  At most 2 * rows candidates reach the driver."""
     def propose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [(label, values, hashlib.md5(f"{t[max(0, a - 24):b + 12]}".encode("utf-8", "surrogatepass")).hexdigest())
-                     for t in batch["text"] if isinstance(t, str) for _, a, b, label, values in candidates(t) if label >= 0]
+            digest = lambda t: hashlib.md5(t.encode("utf-8", "surrogatepass")).hexdigest()
+            found = []
+            for t in batch["text"]:
+                for kind, a, b, label, values in candidates(t) if isinstance(t, str) else ():
+                    if label >= 0:
+                        found.append((label, values, digest(t[max(0, a - 24) : b + 12])))
+                    if label == 1:
+                        found += [(y, x, digest(made)) for made, y, x in rewritten(t, kind, a, b)]
             yield pd.DataFrame(found, columns=["label", "x", "draw"])
 
     # Copies of one text give one example.

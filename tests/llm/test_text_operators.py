@@ -248,6 +248,36 @@ def test_trees_add_what_the_rules_drop(spark):
     assert not any("@" in (r.text or "") for r in text.values())
 
 
+@pytest.mark.parametrize("n", [400])
+def test_forms_of_the_generators_alone_and_often(spark, n):
+    """Few or many examples: forms that no base rule matches are found however often they occur; broken and other numbers aren't."""
+    rng, rows, want = np.random.default_rng(8), people(n), {}
+    number = lambda k: "".join(map(str, rng.integers(1, 10, k)))
+    for i in range(n):
+        short = number(12 + i % 3)
+        check = next(d for d in "0123456789" if personal_data.luhn(short + d))
+        forms = [("email", f"ben.{i}[at]mail.example.org"), ("email", f"ben.{i} (at) mail.example.org"), ("card", short + check),
+                 ("phone", f"({rng.integers(200, 999)}) 555-{rng.integers(1000, 9999)}"), ("phone", number(10))]
+        for j, (kind, form) in enumerate(forms):
+            before = "please call " if j == 4 else "you can use "
+            rows.append((10_000 + 10 * i + j, f"{before}{form} from now on"))
+            want[rows[-1][0]] = {(kind, len(before), len(before) + len(form))}
+        rows += [(10_000 + 10 * i + 7, f"you can use {short}{(int(check) + 3) % 10} from now on"), (10_000 + 10 * i + 8, f"there are {number(9)} grains")]
+        want |= {rows[-1][0]: set(), rows[-2][0]: set()}
+    got = {r.doc_id: set(map(tuple, r.spans)) for r in personal_data.spans_of(docs(spark, rows)).collect()}
+    for j in (0, 1, 2, 3, 4, 7, 8):
+        ids = [d for d in want if d % 10 == j]
+        assert sum(got[d] == want[d] for d in ids) >= 0.95 * len(ids), (j, [got[d] for d in ids[:5]])
+
+
+def test_labels_of_candidates():
+    label = lambda text: {(text[c[1]:c[2]], c[3]) for c in personal_data.candidates(text)}
+    assert ("(212) 555-1234", -1) in label("at +1 (212) 555-1234") and ("(212) 555-1234", -1) in label("at (212) 555-1234")
+    assert ("a.b[at]c.org", -1) in label("a.b[at]c.org") and ("378282246310005", -1) in label("x 378282246310005")
+    assert ("378282246310006", 0) in label("x 378282246310006") and ("999.1.2.3", 0) in label("x 999.1.2.3")
+    assert ("123456789", 0) in label("n 123456789") and ("123456789", -1) in label("call 123456789")
+
+
 def test_personal_data_without_examples(spark):
     assert personal_data.spans_of(docs(spark, [])).count() == 0
     got = personal_data.spans_of(docs(spark, [(1, "x@y.zz 1.2.3.4"), (None, "")])).collect()
