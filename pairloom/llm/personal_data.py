@@ -7,7 +7,8 @@ are negatives.  Everything else is left out of training, since the base rules ca
 dropped match, and the forms that only the generators know ('[at]' addresses, 13 to 15 digit cards, phones without '+').  For these the
 trees see the base spans rewritten to each form, in their own context and alone.
 
-Training rows: at most TRAINING_ROWS per class, by hash order.
+Training rows: at most TRAINING_ROWS per class, dealt evenly to the kinds, by hash order, from half of the candidates.  All others are
+scored in Spark and counted by (kind, score, label); each kind's threshold is read from these counts and PRIOR pooled ones of all kinds.
 
 Defined results: null counts as the empty text; repeated rows repeat their results; with too few candidates to learn from, the base
 spans alone are returned; an empty table gives an empty table; extra columns stay untouched where documents are returned.
@@ -19,6 +20,7 @@ import hashlib
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import reduce
 from itertools import accumulate
 
 import numpy as np
@@ -32,8 +34,8 @@ from pairloom.llm.common import checkpointed, table
 
 KINDS = ("email", "ip", "card", "phone")
 TRAINING_ROWS = 8_000
-#: Share of the candidates above the threshold that must be positives on the held-out half; fewer examples of a kind add no spans.
-PRECISION, LEAST_EXAMPLES = 0.98, 20
+#: Share of the candidates above the threshold that must be positives on the held-out half; the pooled counts weigh as so many candidates.
+PRECISION, PRIOR, SCORE_BINS = 0.98, 20, 1000
 #: Words before a span that announce its kind, and such as announce other numbers.
 CUES = {"email": {"mail", "email", "contact", "write"}, "ip": {"ip", "host", "server", "address"}, "card": {"card", "visa", "mastercard", "amex"},
         "phone": {"tel", "telephone", "phone", "call", "fax", "mobile", "cell", "dial"}}
@@ -192,44 +194,61 @@ def rewritten(text: str, kind: str, start: int, end: int) -> list[tuple[str, int
     return out
 
 
-def threshold(score: np.ndarray, label: np.ndarray) -> float:
-    """The lowest score above which the share of positives is PRECISION on held-out rows, with isotonic smoothing by suffix maxima."""
-    if (label == 1).sum() < LEAST_EXAMPLES:
-        return float("inf")
-    order = np.argsort(-score, kind="stable")
-    share = np.cumsum(label[order]) / np.arange(1, len(order) + 1)
-    good = np.flatnonzero(share >= PRECISION)
-    return max(0.5, float(score[order][good[-1]])) if len(good) else float("inf")
+def thresholds_from(counts: np.ndarray) -> dict[str, float]:
+    """The lowest score of each kind above which the share of positives is PRECISION, from counts by (kind, label, score bin)."""
+    counts = counts.astype(float)
+    if not counts[:, 1].sum():
+        return dict.fromkeys(KINDS, float("inf"))
+    pooled = counts.sum(axis=0)
+    out = {}
+    for i, kind in enumerate(KINDS):
+        above = np.cumsum((counts[i] + PRIOR * pooled / pooled.sum())[:, ::-1], axis=1)[:, ::-1]
+        good = np.flatnonzero((above[1] > 0) & (above[1] >= PRECISION * above.sum(axis=0)))
+        out[kind] = max(0.5, good[0] / SCORE_BINS) if len(good) else float("inf")
+    return out
 
 
 def trained(docs: DataFrame, rows: int = TRAINING_ROWS) -> tuple[BoostedTrees | None, dict[str, float]]:
-    """Trees and one threshold per kind.  At most 2 * rows candidates reach the driver."""
+    """Trees and one threshold per kind.  At most 3 * rows candidates, and the counts by score, reach the driver."""
+    none = None, dict.fromkeys(KINDS, float("inf"))
+
     def propose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        digest = lambda kind, t: hashlib.md5(f"{kind} {t}".encode("utf-8", "surrogatepass")).hexdigest()
         for batch in batches:
-            digest = lambda t: hashlib.md5(t.encode("utf-8", "surrogatepass")).hexdigest()
             found = []
             for t in batch["text"]:
                 for kind, a, b, label, values in candidates(t) if isinstance(t, str) else ():
                     if label >= 0:
-                        found.append((label, values, digest(t[max(0, a - 24) : b + 12])))
-                    if label == 1:
-                        found += [(y, x, digest(made)) for made, y, x in rewritten(t, kind, a, b)]
-            yield pd.DataFrame(found, columns=["label", "x", "draw"])
-
-    # Copies of one text give one example.
-    seen = checkpointed(docs.select("text").mapInPandas(propose, "label int, x array<double>, draw string").groupBy("label", "draw").agg(
-        F.min("x").alias("x")))
-    sample = pd.concat([seen.where(F.col("label") == k).orderBy("draw").limit(rows).toPandas() for k in (0, 1)])
+                        draw = digest(kind, t[max(0, a - 24) : b + 12])
+                        found.append((KINDS.index(kind), label, False, values, draw))
+                        if label and draw[-1] in "02468ace":
+                            found += [(KINDS.index(kind), y, True, x, digest(kind, made)[:-1] + "0") for made, y, x in rewritten(t, kind, a, b)]
+            yield pd.DataFrame(found, columns=["kind", "label", "made", "x", "draw"])
+
+    # Copies of one text give one example.  Even draws are for fitting, odd ones for the thresholds.
+    seen = checkpointed(docs.select("text").mapInPandas(propose, "kind int, label int, made boolean, x array<double>, draw string").groupBy(
+        "kind", "label", "made", "draw").agg(F.min("x").alias("x")))
+    even = F.substring("draw", 32, 1).isin(*"02468ace")
+    parts = [seen.where(even & (F.col("kind") == i) & (F.col("label") == k) & (F.col("made") == made)).select("label", "draw", "x").orderBy("draw").limit(
+        max(1, rows // len(KINDS) // (1 + made))) for i in range(len(KINDS)) for k in (0, 1) for made in (False, True)]
+    sample = reduce(DataFrame.unionByName, parts).toPandas()
     if sample["label"].nunique() < 2:
-        return None, dict.fromkeys(KINDS, float("inf"))
-    sample = sample.sort_values("draw", kind="stable")
-    x, y = np.array(sample["x"].tolist(), float), sample["label"].to_numpy()
-    half = np.arange(len(y)) % 2 == 0
-    if len(set(y[half])) < 2:
-        return None, dict.fromkeys(KINDS, float("inf"))
-    trees = BoostedTrees().fit(x[half], y[half])
-    score = trees.predict(x[~half])
-    return trees, {kind: threshold(score[x[~half, 0] == i], y[~half][x[~half, 0] == i]) for i, kind in enumerate(KINDS)}
+        return none
+    sample = sample.sort_values(["draw", "label"], kind="stable")
+    trees = BoostedTrees().fit(np.array(sample["x"].tolist(), float), sample["label"].to_numpy())
+    shared = docs.sparkSession.sparkContext.broadcast(trees)
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                at = np.floor(shared.value.predict(np.array(batch["x"].tolist(), float)) * SCORE_BINS).astype(int)
+                yield pd.DataFrame({"kind": batch["kind"], "label": batch["label"], "at": np.minimum(at, SCORE_BINS - 1)})
+
+    counts = np.zeros((len(KINDS), 2, SCORE_BINS))
+    held = seen.where(~even & ~F.col("made")).select("kind", "label", "x").mapInPandas(score, "kind int, label int, at int")
+    for r in held.groupBy("kind", "label", "at").agg(F.count("*").alias("n")).collect():
+        counts[r.kind, r.label, r["at"]] = r.n
+    return trees, thresholds_from(counts)
 
 
 def chosen_spans(text: str, trees: BoostedTrees | None, thresholds: dict[str, float]) -> tuple[list, list]:

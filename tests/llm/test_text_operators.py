@@ -248,7 +248,7 @@ def test_trees_add_what_the_rules_drop(spark):
     assert not any("@" in (r.text or "") for r in text.values())
 
 
-@pytest.mark.parametrize("n", [400])
+@pytest.mark.parametrize("n", [40, 400])
 def test_forms_of_the_generators_alone_and_often(spark, n):
     """Few or many examples: forms that no base rule matches are found however often they occur; broken and other numbers aren't."""
     rng, rows, want = np.random.default_rng(8), people(n), {}
@@ -278,6 +278,15 @@ def test_labels_of_candidates():
     assert ("123456789", 0) in label("n 123456789") and ("123456789", -1) in label("call 123456789")
 
 
+def test_small_kinds_have_a_threshold():
+    counts = np.zeros((4, 2, personal_data.SCORE_BINS))
+    counts[0, 1, 900], counts[0, 0, 100], counts[1, 1, 950] = 100_000, 100_000, 3
+    found = personal_data.thresholds_from(counts)
+    assert all(0.5 <= t <= 0.95 for t in found.values())
+    counts[2, 0, 900] = 50_000
+    assert personal_data.thresholds_from(counts)["card"] > 0.9
+
+
 def test_personal_data_without_examples(spark):
     assert personal_data.spans_of(docs(spark, [])).count() == 0
     got = personal_data.spans_of(docs(spark, [(1, "x@y.zz 1.2.3.4"), (None, "")])).collect()
