@@ -96,3 +96,10 @@ def range_part(value: Column, cuts: list) -> Column:
     first = F.size(F.filter(at([g[0] for g in groups]), lambda c: c <= value))
     inner = F.element_at(F.array(*[at(g) for g in groups]), F.greatest(first, F.lit(1)))
     return F.when(first == 0, F.lit(0)).otherwise((first - 1) * width + F.size(F.filter(inner, lambda c: c <= value)))
+
+
+def crc32_sql(text: str) -> str:
+    """The unsigned CRC-32 of an ASCII text in SQL: each byte is added, then eight times shifted out."""
+    steps = f"flatten([[ascii(c)::bigint{', -1' * 8}] for c in string_split({text}, '')])"
+    return f"""xor(4294967295, list_reduce(list_prepend(4294967295::bigint, {steps}), lambda c, e: case
+               when e >= 0 then xor(c, e) when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end))"""
