@@ -50,17 +50,23 @@ def norm_band(vector: str = "embedding") -> Column:
         v, F.lit(0.0), lambda s, x: s + (x / top) * (x / top))) / 2) + 0.5)), 0).cast("int")
 
 
+def lengths(vectors: np.ndarray) -> np.ndarray:
+    """Norms, measured in the largest component, so that no square over- or underflows."""
+    top = np.abs(vectors).max(axis=1)
+    return top * np.sqrt(np.square(vectors / top[:, None]).sum(axis=1))
+
+
 class Shard:
     """The sorted arrays of one shard."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, seed: int = 7):
         self.ids, self.vectors = ids, vectors
-        norms = np.sqrt(np.square(vectors, dtype=np.float64).sum(axis=1))
-        self.scale = float(norms.max())
-        rest = np.sqrt(np.maximum(1 - np.square(norms / self.scale), 0))
+        norms = lengths(vectors)
+        scale = norms.max()
+        rest = np.sqrt(np.maximum(1 - np.square(norms / scale), 0))
         directions = np.random.default_rng(seed).standard_normal((PROJECTIONS, vectors.shape[1] + 1))
         self.across = directions[:, :-1]
-        places = (self.across / self.scale) @ vectors.T.astype(np.float64) + directions[:, -1:] * rest
+        places = self.across @ (vectors / scale).T + directions[:, -1:] * rest
         self.rank = np.argsort(places, axis=1, kind="stable")
         self.sorted = np.take_along_axis(places, self.rank, axis=1)
 
@@ -68,8 +74,7 @@ class Shard:
         """For each query (a row, any length) the rows that collided often enough."""
         n, needed = len(self.ids), int(np.ceil(THRESHOLD * PROJECTIONS))
         enough = min(n, most + int(SHARE * n))
-        norms = np.sqrt(np.square(queries).sum(axis=1))
-        places = (queries / norms[:, None]) @ self.across.T
+        places = (queries / lengths(queries)[:, None]) @ self.across.T
         low = np.stack([np.searchsorted(s, p) for s, p in zip(self.sorted, places.T, strict=True)], axis=1)
         high = low.copy()
         counts = np.zeros((len(queries), n), np.int64)

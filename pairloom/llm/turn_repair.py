@@ -144,10 +144,10 @@ def judged(turns: DataFrame) -> DataFrame:
     """
     dealt = turns.repartition("conv_id")
     order = [F.col("turn").asc_nulls_first(), F.col("copy")]
-    seen = F.row_number().over(W.partitionBy("conv_id", F.col("copy").isNull(), "role", "text").orderBy(*order)) > 1
+    seen = F.row_number().over(W.partitionBy("conv_id", F.col("copy").isNull(), "role", "text").orderBy(*order))
     fault = F.when(~F.col("text").rlike(r"[^\x20\x09-\x0D]"), "blank").when(F.col("seen"), "duplicate").when(
         ~F.col("text").rlike(r"[.!?][\x20\x09-\x0D]*\z"), "truncated").otherwise("sound")
-    row = F.struct(F.col("turn").isNotNull().alias("has"), "turn", "role", "text", "copy", fault.alias("fault"))
+    row = F.struct(F.col("turn").isNotNull().alias("has"), "turn", "role", "text", "copy", "seen", fault.alias("fault"))
     return dealt.withColumn("seen", seen).groupBy("conv_id").agg(
         F.array_sort(F.collect_list(F.when(F.col("copy").isNotNull(), row))).alias("rows"))
 
@@ -207,8 +207,8 @@ hurt as (
            case k when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
            unnest(case k when 3 then [0, 1] else [0] end) as copy from given where k <> 0),
 seen as (
-    select *, row_number() over (partition by c order by turn nulls first, role, text, copy) as place,
-           row_number() over (partition by c, role, text order by turn nulls first, copy) > 1 as again from hurt),
+    select *, row_number() over (partition by c order by turn nulls first, role, text, copy, nth) as place, nth > 1 as again
+    from (select *, row_number() over (partition by c, role, text order by turn nulls first, copy) as nth from hurt)),
 faulty as (
     select c, turn, role, text, place, role[1] as ini, case when not regexp_matches(text, '[^\x20\x09-\x0D]') then 'blank' when again then 'duplicate'
            when not regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') then 'truncated' else 'sound' end as fault,
