@@ -145,7 +145,7 @@ def judged(turns: DataFrame) -> DataFrame:
     dealt = turns.repartition("conv_id")
     order = [F.col("turn").asc_nulls_first(), F.col("copy")]
     seen = F.row_number().over(W.partitionBy("conv_id", F.col("copy").isNull(), "role", "text").orderBy(*order))
-    fault = F.when(~F.col("text").rlike(r"[^\x20\x09-\x0D]"), "blank").when(F.col("seen"), "duplicate").when(
+    fault = F.when(~F.col("text").rlike(r"[^\x20\x09-\x0D]"), "blank").when(F.col("seen") > 1, "duplicate").when(
         ~F.col("text").rlike(r"[.!?][\x20\x09-\x0D]*\z"), "truncated").otherwise("sound")
     row = F.struct(F.col("turn").isNotNull().alias("has"), "turn", "role", "text", "copy", "seen", fault.alias("fault"))
     return dealt.withColumn("seen", seen).groupBy("conv_id").agg(
