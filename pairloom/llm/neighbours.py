@@ -3,7 +3,7 @@
 Every vector is made a point at one distance from the origin by one more coordinate (the largest norm of its shard less its own), so that the
 largest inner products are the smallest distances.  A shard of rows is indexed by ``PROJECTIONS`` random directions, the points sorted along
 each.  A query widens a window around its own projection in all sorted arrays, radius by radius (virtual rehashing: one index serves every
-radius), and counts how often each point falls into its windows.  Points that collide in at least ``THRESHOLD`` of the arrays are verified by
+radius), and counts into how many of its windows each point falls.  Points that collide in at least ``THRESHOLD`` of the arrays are verified by
 exact inner products; widening ends when there are enough of them (20 and ``SHARE`` of the shard).  All points that pass are verified.
 
 Shards are bands of norms (a factor of the fourth root of two), dealt by hash into parts of about ``SHARD_ROWS``, so vectors of very
@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 from pairloom.llm.common import table
 
 NEAREST = 20
-PROJECTIONS, THRESHOLD, SHARE = 128, 0.75, 0.08
+PROJECTIONS, THRESHOLD, SHARE = 128, 0.75, 0.12
 #: Points and queries lie on the unit sphere.  The first radius, the factor from one to the next, and the window's width in radii.
-FIRST, WIDER, WINDOW = 0.6, 1.15, 2.72
+FIRST, WIDER, WINDOW = 0.8, 1.1, 2.72
 #: Rows of a shard, queries that a task holds, queries that are searched at a time.
 SHARD_ROWS, HELD_QUERIES, QUERY_ROWS = 1 << 12, 1 << 16, 256
 _NO_ID = np.iinfo(np.int64).max
@@ -59,56 +59,52 @@ def lengths(vectors: np.ndarray) -> np.ndarray:
 class Shard:
     """The sorted arrays of one shard."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, seed: int = 7):
-        self.ids, self.vectors = ids, vectors
-        norms = lengths(vectors)
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, times: np.ndarray, seed: int = 7):
+        self.ids, self.vectors, self.times = ids, vectors, times
+        n, norms = len(ids), lengths(vectors)
         scale = norms.max()
         rest = np.sqrt(np.maximum(1 - np.square(norms / scale), 0))
         directions = np.random.default_rng(seed).standard_normal((PROJECTIONS, vectors.shape[1] + 1))
         self.across = directions[:, :-1]
-        places = self.across @ (vectors / scale).T + directions[:, -1:] * rest
-        self.rank = np.argsort(places, axis=1, kind="stable")
-        self.sorted = np.take_along_axis(places, self.rank, axis=1)
+        values = self.across @ (vectors / scale).T + directions[:, -1:] * rest
+        order = np.argsort(values, axis=1, kind="stable")
+        self.sorted = np.take_along_axis(values, order, axis=1)
+        # Of every point its place in each sorted array: a window is a range of places, and a short integer tells who is inside.
+        self.place = np.empty((PROJECTIONS, n), np.uint16 if n < 1 << 16 else np.uint32)
+        np.put_along_axis(self.place, order, np.arange(n, dtype=self.place.dtype)[None, :], axis=1)
 
     def near(self, queries: np.ndarray, most: int) -> list[np.ndarray]:
         """For each query (a row, any length) the rows that collided often enough."""
         n, needed = len(self.ids), int(np.ceil(THRESHOLD * PROJECTIONS))
         enough = min(n, most + int(SHARE * n))
-        places = (queries / lengths(queries)[:, None]) @ self.across.T
-        low = np.stack([np.searchsorted(s, p) for s, p in zip(self.sorted, places.T, strict=True)], axis=1)
-        high = low.copy()
-        counts = np.zeros((len(queries), n), np.int64)
+        values = ((queries / lengths(queries)[:, None]) @ self.across.T).T
         out: list = [None] * len(queries)
-        radius, open_ = FIRST, list(range(len(queries)))
-        while open_:
+        radius, open_ = FIRST, np.arange(len(queries))
+        offset, inside = np.empty_like(self.place), np.empty(self.place.shape, bool)
+        while len(open_):
             half = radius * WINDOW / 2
-            ends = [(np.searchsorted(s, p - half), np.searchsorted(s, p + half, "right"))
-                    for s, p in zip(self.sorted, places[open_].T, strict=True)]
-            froms, tos = np.stack([e[0] for e in ends], axis=1), np.stack([e[1] for e in ends], axis=1)
-            froms, tos = np.minimum(froms, low[open_]), np.maximum(tos, high[open_])
-            waiting = []
-            for query, a, b, c, d in zip(open_, froms.tolist(), low[open_].tolist(), high[open_].tolist(), tos.tolist(), strict=True):
-                fresh = [r[x:y] for r, x, y in zip(self.rank, a, b, strict=True)]
-                fresh += [r[x:y] for r, x, y in zip(self.rank, c, d, strict=True)]
-                counts[query] += np.bincount(np.concatenate(fresh), minlength=n)
-                passed = np.flatnonzero(counts[query] >= needed)
+            first = np.stack([np.searchsorted(s, v - half) for s, v in zip(self.sorted, values[:, open_], strict=True)])
+            last = np.stack([np.searchsorted(s, v + half, "right") for s, v in zip(self.sorted, values[:, open_], strict=True)])
+            first, wide = first.T.astype(self.place.dtype), (last - first).T.astype(self.place.dtype)
+            for query, a, w in zip(open_, first, wide, strict=True):
+                np.subtract(self.place, a[:, None], out=offset)  # places before the window wrap around
+                np.less(offset, w[:, None], out=inside)
+                passed = np.flatnonzero(np.add.reduce(inside.view(np.uint8), axis=0, dtype=np.uint8) >= needed)
                 if len(passed) >= enough:
                     out[query] = passed
-                else:
-                    waiting.append(query)
-            low[open_], high[open_] = froms, tos
-            open_, radius = waiting, radius * WIDER
+            open_ = np.array([q for q in open_ if out[q] is None], np.int64)
+            radius *= WIDER
         return out
 
     def best(self, query_id: int, query: np.ndarray, rows: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, exact scores) of the most similar of these rows, without one row that is the query itself."""
-        own = rows[self.ids[rows] == query_id]
-        own = own[(self.vectors[own] == query).all(axis=1)][:1]
-        rows = np.setdiff1d(rows, own, assume_unique=True)
         # One sum per row, in the order of the components: equal vectors have equal scores.
-        scores = (self.vectors[rows].astype(np.float64) * query.astype(np.float64)).sum(axis=1)
-        order = np.lexsort((self.ids[rows], -scores))[:most]
-        return self.ids[rows][order], scores[order]
+        scores = (self.vectors[rows] * query).sum(axis=1)
+        order = np.lexsort((self.ids[rows], -scores))[:most + 1]
+        rows, scores = rows[order], scores[order]
+        times = self.times[rows] - ((self.ids[rows] == query_id) & (self.vectors[rows] == query).all(axis=1))
+        copies = np.repeat(np.arange(len(rows)), np.minimum(times, most))[:most]
+        return self.ids[rows][copies], scores[copies]
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, most: int = NEAREST, shard_rows: int = SHARD_ROWS,
@@ -121,7 +117,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, most: int = NEAREST, shard_r
         return df.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).where(usable())
 
     spark = vectors.sparkSession
-    points = clean(vectors).withColumn("band", norm_band()).withColumn("size", F.size("embedding"))
+    # Rows that repeat an id and its vector are one point with a count.
+    points = clean(vectors).groupBy("vec_id", "embedding").agg(F.count("*").alias("times")).withColumn("band", norm_band()).withColumn("size", F.size("embedding"))
     asked = clean(queries).distinct()
     counted, blocks = points.groupBy("size", "band").count().collect(), -(-asked.count() // held_queries)
     if not counted or not blocks:
@@ -136,24 +133,24 @@ def nearest(vectors: DataFrame, queries: DataFrame, most: int = NEAREST, shard_r
         p[2] + p[3] - 1 for p in plan if p[0] == size) * groups // shards) for size in {p[0] for p in plan}], "size int, low int, high int"))
     hashed = F.xxhash64("vec_id", "embedding")
     shard = (F.col("first") + F.pmod(hashed, F.col("parts"))).cast("int")
-    dealt = points.join(bands, ["size", "band"]).select(shard.alias("shard"), "vec_id", "embedding").select(
+    dealt = points.join(bands, ["size", "band"]).select(shard.alias("shard"), "vec_id", "embedding", "times").select(
         F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.floor(F.col("shard") * groups / shards).cast("int").alias("group"),
-        "shard", "vec_id", "embedding")
+        "shard", "vec_id", "embedding", "times")
     spread = asked.withColumn("size", F.size("embedding")).join(sizes, "size").select(
         F.pmod(hashed, F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence("low", "high")).alias("group"), F.lit(-1).alias("shard"),
-        "vec_id", "embedding")
+        "vec_id", "embedding", F.lit(1).cast("long").alias("times"))
     cell = (F.col("block") * groups + F.col("group")).cast("int")
     placed = dealt.unionAll(spread).withColumn("cell", cell).repartitionById(blocks * groups, F.col("cell")).sortWithinPartitions("cell", "shard")
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        def answers(ids: np.ndarray, rows: np.ndarray, block: dict) -> Iterator:
+        def answers(ids: np.ndarray, rows: np.ndarray, times: np.ndarray, block: dict) -> Iterator:
             """What one shard gives to the block's queries of its length."""
             parts = block.get(rows.shape[1])
             if not parts:
                 return
-            index, asked_ids = Shard(ids, rows), np.concatenate([p[0] for p in parts])
+            index, asked_ids = Shard(ids, rows, times), np.concatenate([p[0] for p in parts])
             asked_rows = np.concatenate([p[1] for p in parts])
             for at in range(0, len(asked_ids), QUERY_ROWS):
                 some, spots = asked_rows[at:at + QUERY_ROWS], asked_ids[at:at + QUERY_ROWS]
@@ -173,7 +170,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, most: int = NEAREST, shard_r
                     "vec_id": pa.array(ids, pa.int64(), mask=ids == _NO_ID), "score": pa.array(scores, pa.float64())})
 
         def close(rows: list, block: dict, best: dict) -> None:
-            for i, q, (ids, scores) in answers(np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows]), block):
+            for i, q, (ids, scores) in answers(*(np.concatenate([r[k] for r in rows]) for k in range(3)), block):
                 key = (i, q.tobytes())
                 if key in best:
                     ids, scores = np.concatenate((best[key][0], ids)), np.concatenate((best[key][1], scores))
@@ -184,7 +181,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, most: int = NEAREST, shard_r
         rows, block, best, at = [], {}, {}, (None, None)
         for batch in batches:
             cells, shard = batch.column("cell").to_numpy(), batch.column("shard").to_numpy()
-            ids = batch.column("vec_id").fill_null(_NO_ID).to_numpy()
+            ids, times = batch.column("vec_id").fill_null(_NO_ID).to_numpy(), batch.column("times").to_numpy()
             flat, size = batch.column("embedding").flatten().to_numpy(), np.diff(batch.column("embedding").offsets.to_numpy())
             begin = np.concatenate(([0], np.cumsum(size)))
             cuts = np.flatnonzero((np.diff(cells) != 0) | (np.diff(shard) != 0) | (np.diff(size) != 0)) + 1
@@ -199,7 +196,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, most: int = NEAREST, shard_r
                     yield from merged(block, best)
                     block, best = {}, {}
                 at = here
-                piece = (ids[a:b], flat[begin[a]:begin[b]].reshape(b - a, -1))
+                piece = (ids[a:b], flat[begin[a]:begin[b]].reshape(b - a, -1), times[a:b])
                 if shard[a] < 0:
                     block.setdefault(piece[1].shape[1], []).append(piece)
                 else:
@@ -208,7 +205,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, most: int = NEAREST, shard_r
             close(rows, block, best)
         yield from merged(block, best)
 
-    found = placed.select("cell", "shard", "vec_id", "embedding").mapInArrow(run, "query_id long, query binary, vec_id long, score double")
+    found = placed.select("cell", "shard", "vec_id", "embedding", "times").mapInArrow(run, "query_id long, query binary, vec_id long, score double")
     order = F.struct((-F.col("score")).alias("far"), F.coalesce("vec_id", F.lit(_NO_ID)).alias("last"), "vec_id", "score")
     # At most `most` rows a group and query arrive here.
     merged = found.groupBy("query_id", "query").agg(F.slice(F.array_sort(F.collect_list(order)), 1, most).alias("best"))
