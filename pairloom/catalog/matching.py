@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pairloom import fixed_values as fv
 from pairloom.catalog.inputs import table
-from pairloom.catalog.ranking import R6, SUMMARY_COLUMNS, _round, confusion_sql, metrics_sql, thresholds_sql
+from pairloom.catalog.ranking import R6, SUMMARY_COLUMNS, _round, confusion_sql, metrics_sql, random_sql, thresholds_sql
 from pairloom.operators import classify as cl
 from pairloom.operators import errors as er
 from pairloom.operators import pair_features as pf
@@ -186,12 +186,18 @@ def evaluated_models(spark, folder):
     return cut_lineage(ex.evaluate(scored, cl.fit_thresholds(scored, ["model"]), ["model"]))
 
 
+def chance(spark, folder):
+    """Expected metrics of random order over the models' pairs."""
+    return cut_lineage(rk.expected_random_metrics(trade_pairs(spark, folder)))
+
+
 def model_comparison(spark, folder):
-    return _round(ex.model_comparison(evaluated_models(spark, folder), "tfidf", list(MODELS)))
+    return _round(ex.model_comparison(evaluated_models(spark, folder), "tfidf", list(MODELS), chance(spark, folder)))
 
 
 def model_deltas(spark, folder):
-    return _round(ex.pairwise_deltas(rk.ranking_summary(rk.posting_metrics(model_scores(spark, folder), "score", ["model"]), ["model"]), list(MODELS)))
+    per = rk.posting_metrics(model_scores(spark, folder), "score", ["model"])
+    return _round(ex.pairwise_deltas(rk.ranking_summary(per, ["model"]), list(MODELS), chance=chance(spark, folder)))
 
 
 def compared_models(spark, folder):
@@ -539,12 +545,16 @@ ORACLES = {
         ranked_summary as (select mp, model, part, {SUMMARY_COLUMNS} from per_posting group by all)
         select model, part, round(t1, 6) as t1, round(t2, 6) as t2, {METRIC_COLUMNS} from ranked_summary join judged_summary using (mp) join (select model, t1, t2 from fitted) using (model)""",
     "model_comparison": f"""with {LONG}, {evaluated_sql('by_model', 'model').replace('round(', '(')
-        .replace(', 6) as', ') as')}
+        .replace(', 6) as', ') as')}, {random_sql('preds', 'posting_id')}
+        select 'random_ordering' as model, {", ".join(f"round(avg({m}), 6) as {m}" for m in fv.RANKING_METRICS)},
+            {", ".join(f"null::double as {c}" for c in ["accuracy", "macro_f1", *[x for m in [*fv.RANKING_METRICS, "accuracy", "macro_f1"] for x in (f"delta_{m}", f"rel_{m}_pct")]])}
+        from chance union all by name
         select e.model, {", ".join(f"round(e.{m}, 6) as {m}" for m in [*fv.RANKING_METRICS, 'accuracy', 'macro_f1'])}, {RATIOS}
         from evaluated e, (select * from evaluated where model = 'tfidf') b""",
-    "model_deltas": f"""with {LONG}, {metrics_sql('by_model', 'model, posting_id', 'score')},
+    "model_deltas": f"""with {LONG}, {metrics_sql('by_model', 'model, posting_id', 'score')}, {random_sql('preds', 'posting_id')},
         per as (select model, case model when 'tfidf' then 1 when 'semantic' then 2 else 3 end as p,
-            {", ".join(f"avg({m}) as {m}" for m in fv.RANKING_METRICS)} from per_posting group by all)
+            {", ".join(f"avg({m}) as {m}" for m in fv.RANKING_METRICS)} from per_posting group by all
+            union all select 'random_ordering', 0, {", ".join(f"avg({m})" for m in fv.RANKING_METRICS)} from chance)
         select b.model || ' - ' || a.model as comparison, {", ".join(f"round_even(b.{m} - a.{m}, 6) as {m}" for m in fv.RANKING_METRICS)}
         from per a join per b on a.p < b.p""",
     "error_table": f"""with {ERRORS} select *, row_number() over (partition by category order by posting_id) <= 3 as example from errors""",

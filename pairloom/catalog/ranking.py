@@ -48,11 +48,11 @@ def mean_rank(spark, folder):
 
 
 def random_reference(spark, folder):
-    return _round(rk.random_order_metrics(ranked_pairs(spark, folder), n_shuffles=200))
+    return _round(rk.expected_random_metrics(ranked_pairs(spark, folder)))
 
 
 def random_expectation(spark, folder):
-    return _round(rk.expected_random_metrics(ranked_pairs(spark, folder)))
+    return _round(rk.expected_random_posting_metrics(ranked_pairs(spark, folder)))
 
 
 def threshold_fit(spark, folder):
@@ -130,6 +130,24 @@ SUMMARY_COLUMNS = f"""count(*) as jobs_total, count(*) filter (excluded is null)
     {", ".join(f"round(avg({m}), 6) as {m}" for m in fv.RANKING_METRICS)}"""
 
 
+def random_sql(source: str, keys: str) -> str:
+    """CTEs ending in chance(keys, metrics): expectations over all orders as sums over the ranks at which a hit, or the first hit, may stand."""
+    choose = lambda n, k: f"(lgamma({n} + 1) - lgamma({k} + 1) - lgamma({n} - {k} + 1))"
+    ideal = lambda k: f"sum(case when best <= {k} then label_id / log2(best + 1) else 0 end)"
+    some = lambda k: f"list_sum([1 / log2(i + 1) for i in range(1, least(n, {k}) + 1)])"
+    ranks = "list_sum([{} for i in range(1, n + 1)])"
+    first = ranks.format(f"case when i <= n - r + 1 then exp({choose('(n - i)', '(r - 1)')} - {choose('n', 'r')}) / i else 0 end")
+    precise = ranks.format("(1 + (i - 1) * (r - 1) / (n - 1)) / (i * n)")
+    return f"""
+    by_label as (select *, row_number() over (partition by {keys} order by label_id desc) as best from {source}),
+    label_counts as (select {keys}, count(*) as n, sum((label_id > 0)::int)::bigint as r, count(distinct label_id) as labels, avg(label_id) as gain,
+            {ideal(5)} as i5, {ideal(10)} as i10 from by_label group by {keys}),
+    chance as (select {keys}, n as n_candidates, r as n_relevant,
+            case when labels >= 2 then gain * {some(5)} / i5 end as ndcg_5, case when labels >= 2 then gain * {some(10)} / i10 end as ndcg_10,
+            case when r > 0 and r < n then {first} end as mrr, case when r > 0 and r < n then {precise} end as map,
+            case when r > 0 and r < n then r / n end as p_1, case when r > 0 and r < n then r / n end as p_5 from label_counts)"""
+
+
 def thresholds_sql(source: str, by: str) -> str:
     """CTEs ending in fitted(by, t1, t2, macro_f1) for scored rows in source."""
     qs = ", ".join(f"({i + 1}, {q!r}::double)" for i, q in enumerate(cl.GRID))
@@ -194,21 +212,11 @@ ORACLES = {
     "mean_rank": with_views(VIEWS, """select posting_id, candidate_id, quantity,
             rank() over (partition by posting_id order by quantity desc)
               + (count(*) over (partition by posting_id, quantity) - 1) / 2 as mean_rank from ranked_pairs"""),
-    "random_reference": with_views(VIEWS, f""", shuffled as (select posting_id, candidate_id, label_id, shuffle,
-            md5('42:' || shuffle || ':' || posting_id || ':' || candidate_id) as draw
-            from ranked_pairs, (select unnest(range(1, 201)) as shuffle)),
-        {metrics_sql('shuffled', 'shuffle, posting_id', 'draw')},
-        per_shuffle as (select shuffle, {", ".join(f"avg({m}) as {m}" for m in fv.RANKING_METRICS)} from per_posting group by shuffle)
-        select count(*) as n_shuffles, {", ".join(f"round(avg({m}), 6) as {m}" for m in fv.RANKING_METRICS)} from per_shuffle"""),
-    "random_expectation": with_views(VIEWS, f""", {metrics_sql('ranked_pairs', 'posting_id', 'price')},
-        gains as (select posting_id, avg(label_id) as gain, avg((label_id > 0)::int) as share from ranked_pairs group by posting_id),
-        harmonic as (select n, sum(1 / log2(n2 + 1)) as h from (select unnest(range(1, 11)) as n), (select unnest(range(1, 11)) as n2)
-            where n2 <= n group by n)
-        select count(*) as jobs_eligible, round(avg(gain * h5.h / i5), 6) as ndcg_5, round(avg(gain * h10.h / i10), 6) as ndcg_10,
-            round(avg(case when share > 0 and share < 1 then share end), 6) as p_1,
-            round(avg(case when share > 0 and share < 1 then share end), 6) as p_5
-        from stats s join gains g using (posting_id) join harmonic h5 on h5.n = least(s.n_candidates, 5)
-            join harmonic h10 on h10.n = least(s.n_candidates, 10) where s.n_candidates >= 2 and s.labels >= 2"""),
+    "random_reference": with_views(VIEWS, f""", {random_sql('ranked_pairs', 'posting_id')}
+        select count(ndcg_5) as jobs_eligible, count(mrr) as jobs_binary_eligible, {", ".join(f"round(avg({m}), 6) as {m}" for m in fv.RANKING_METRICS)}
+        from chance"""),
+    "random_expectation": with_views(VIEWS, f""", {random_sql('ranked_pairs', 'posting_id')}
+        select posting_id, n_candidates, n_relevant, {R6(fv.RANKING_METRICS)} from chance"""),
     "threshold_fit": with_views(VIEWS, f""", {BY_MODEL}, {thresholds_sql('by_model', 'model')}
         select model, {R6(['t1', 't2', 'macro_f1'])} from fitted"""),
     "classification": with_views(VIEWS, f""", {BY_MODEL}, {thresholds_sql('by_model', 'model')}, {PREDICTED}

@@ -34,3 +34,17 @@ def norm(v: Column) -> Column:
 def digitize(score: Column, t1: Column, t2: Column) -> Column:
     """0 below t1, 1 from t1, 2 from t2."""
     return (score >= t1).cast("int") + (score >= t2).cast("int")
+
+
+def harmonic(n: Column) -> Column:
+    """1 + 1/2 + ... + 1/n in double precision, and 0 for n = 0, without a sum over n.
+
+    The asymptotic series is taken 16 places further on, where its error is below the rounding error, and the places between are taken off.
+    """
+    x = n + F.lit(16.0)
+    y = 1 / (x * x)
+    series = F.log(x) + F.lit(0.5772156649015329) + 1 / (2 * x) - y * (F.lit(1 / 12) - y * (F.lit(1 / 120) - y * (F.lit(1 / 252) - y * F.lit(1 / 240))))
+    between = F.lit(0.0)
+    for i in range(16, 0, -1):
+        between = between + 1 / (n + F.lit(float(i)))
+    return series - between

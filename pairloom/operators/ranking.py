@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairloom import fixed_values as fv
+from pairloom.functions.numbers import harmonic
 from pairloom.functions.ordering import rank_in_group
 
 POSTING, CANDIDATE, LABEL = "posting_id", "candidate_id", "label_id"
@@ -114,21 +115,35 @@ def random_order_metrics(pairs: DataFrame, n_shuffles: int = 200, seed: int = fv
     return per_shuffle.agg(F.count("*").alias("n_shuffles"), *[F.avg(m).alias(m) for m in fv.RANKING_METRICS])
 
 
-def expected_random_metrics(pairs: DataFrame) -> DataFrame:
-    """The same reference in closed form for NDCG and P@k: one aggregation, whatever the number of shuffles."""
+def expected_random_posting_metrics(pairs: DataFrame, by: Sequence[str] = (), grades: Sequence[int] = (1, 2)) -> DataFrame:
+    """What each posting scores on average over all orders of its candidates, in closed form from its label counts.
+
+    With n candidates, R of them relevant, and H the harmonic numbers: the first hit's reciprocal rank is (H(n) - H(R-1)) R / (n-R+1); average
+    precision is (H(n) + (R-1)/(n-1) (n - H(n))) / n, since a hit at rank r has (r-1)(R-1)/(n-1) others before it.  Metrics are NULL where
+    posting_metrics has none.  One partial aggregation; no rows are multiplied, ranked or drawn.
+    """
+    keys = [*by, POSTING]
     label = F.col(LABEL)
-    stats = pairs.groupBy(POSTING).agg(
-        F.count("*").alias("n"), F.min(label).alias("lo"), F.max(label).alias("hi"), F.avg(label).alias("gain"),
-        F.avg((label > 0).cast("int")).alias("share"),
-        *[F.sum((label == g).cast("int")).alias(f"grade_{g}") for g in (1, 2)])
-    counts = {g: F.col(f"grade_{g}") for g in (1, 2)}
-
-    def expected(k):
-        discounts = [1 / log2(i + 1) for i in range(1, k + 1)]
-        heads = F.array(*[F.lit(sum(discounts[:i])) for i in range(k + 1)])
-        return F.col("gain") * F.element_at(heads, (F.least(F.col("n"), F.lit(k)) + 1).cast("int")) / ideal_gain(counts, k)
-
-    share = F.when((F.col("share") > 0) & (F.col("share") < 1), F.col("share"))
-    return (stats.where((F.col("n") >= 2) & (F.col("lo") < F.col("hi")))
-            .agg(F.count("*").alias("jobs_eligible"), F.avg(expected(5)).alias("ndcg_5"),
-                 F.avg(expected(10)).alias("ndcg_10"), F.avg(share).alias("p_1"), F.avg(share).alias("p_5")))
+    stats = pairs.groupBy(*keys).agg(
+        F.count("*").alias("n_candidates"), F.min(label).alias("_lo"), F.max(label).alias("_hi"), F.avg(label).alias("_gain"),
+        F.sum((label > 0).cast("int")).alias("n_relevant"), *[F.sum((label == g).cast("int")).alias(f"_{g}") for g in grades])
+    n, r = F.col("n_candidates"), F.col("n_relevant")
+    eligible = (n >= 2) & (F.col("_lo") < F.col("_hi"))
+    binary = eligible & (r > 0) & (r < n)
+    counts = {g: F.col(f"_{g}") for g in grades}
+
+    def expected(k: int) -> Column:
+        heads = F.array(*[F.lit(sum(1 / log2(i + 1) for i in range(1, j + 1))) for j in range(k + 1)])
+        return F.col("_gain") * F.element_at(heads, (F.least(n, F.lit(k)) + 1).cast("int")) / ideal_gain(counts, k)
+
+    reciprocal = (harmonic(n) - harmonic(r - 1)) * r / (n - r + 1)
+    precision = (harmonic(n) + F.try_divide(r - 1, n - 1) * (n - harmonic(n))) / n
+    return stats.select(
+        *keys, "n_candidates", "n_relevant", *[F.when(eligible, expected(k)).alias(f"ndcg_{k}") for k in (5, 10)],
+        F.when(binary, reciprocal).alias("mrr"), F.when(binary, precision).alias("map"), *[F.when(binary, r / n).alias(f"p_{k}") for k in (1, 5)])
+
+
+def expected_random_metrics(pairs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The reference of a model without signal: macro means of the expectations over postings."""
+    return expected_random_posting_metrics(pairs, by).groupBy(*by).agg(
+        F.count("ndcg_5").alias("jobs_eligible"), F.count("mrr").alias("jobs_binary_eligible"), *[F.avg(m).alias(m) for m in fv.RANKING_METRICS])

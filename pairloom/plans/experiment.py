@@ -20,6 +20,8 @@ from pairloom.session import cut_lineage
 RANKING = fv.RANKING_METRICS
 CLASSIFICATION = ["accuracy", "macro_f1"]
 PAIR = ["posting_id", "candidate_id", "label_id"]
+#: The name of random order among the models.
+CHANCE = "random_ordering"
 
 
 def evaluate(scored: DataFrame, thresholds: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -78,28 +80,40 @@ def select_weights(features: DataFrame, metric: str = "ndcg_10") -> tuple[str, d
     return selected, bounds, comparison, compare_configurations(features, pair_features.ablation_configurations(selected), bounds)
 
 
-def model_comparison(evaluated: DataFrame, first: str, models: Sequence[str]) -> DataFrame:
-    """Metrics per model with absolute and relative (percent) differences to the first model.
+def with_chance(evaluated: DataFrame, chance: DataFrame | None) -> DataFrame:
+    """The models' metrics and, where given, those of random order (a row of expected_random_metrics), which has no classes."""
+    if chance is None:
+        return evaluated
+    row = chance.select(F.lit(CHANCE).alias("model"), *RANKING)
+    return row.unionByName(evaluated.select("model", *[c for c in evaluated.columns if c in RANKING + CLASSIFICATION]), allowMissingColumns=True)
 
-    Refuses models that were evaluated on different populations.
+
+def model_comparison(evaluated: DataFrame, first: str, models: Sequence[str], chance: DataFrame | None = None) -> DataFrame:
+    """Metrics per model with absolute and relative (percent) differences to the first model; random order, if given, has none.
+
+    Refuses models that were evaluated on different populations, or on another one than random order.
     """
-    population = evaluated.groupBy("jobs_eligible", "jobs_binary_eligible", "n_rows").count().limit(2).count()
-    if population > 1:
+    same = ["jobs_eligible", "jobs_binary_eligible"]
+    populations = evaluated.select(*same, "n_rows").distinct().limit(2).collect()
+    expected = chance.select(*same).first() if chance is not None else None
+    if len(populations) > 1 or (expected and populations and tuple(expected) != tuple(populations[0])[:2]):
         raise ValueError("models evaluated on different candidate groups")
     metrics = RANKING + CLASSIFICATION
     base = evaluated.where(F.col("model") == first)
     columns = []
     for m in metrics:
         delta = F.col(m) - base.select(m).scalar()
-        columns += [F.when(F.col("model") != first, F.bround(delta, 6)).alias(f"delta_{m}"),
-                    F.when(F.col("model") != first, F.bround(100 * F.try_divide(delta, base.select(m).scalar()), 2)).alias(f"rel_{m}_pct")]
-    return evaluated.where(F.col("model").isin(*models)).select("model", *metrics, *columns)
+        compared = ~F.col("model").isin(first, CHANCE)
+        columns += [F.when(compared, F.bround(delta, 6)).alias(f"delta_{m}"),
+                    F.when(compared, F.bround(100 * F.try_divide(delta, base.select(m).scalar()), 2)).alias(f"rel_{m}_pct")]
+    return with_chance(evaluated, chance).where(F.col("model").isin(CHANCE, *models)).select("model", *metrics, *columns)
 
 
-def pairwise_deltas(evaluated: DataFrame, order: Sequence[str], metrics: Sequence[str] = tuple(RANKING)) -> DataFrame:
-    """(comparison, deltas): every later model minus every earlier one; a handful of models."""
+def pairwise_deltas(evaluated: DataFrame, order: Sequence[str], metrics: Sequence[str] = tuple(RANKING), chance: DataFrame | None = None) -> DataFrame:
+    """(comparison, deltas): every later model minus every earlier one, random order first where given; a handful of models."""
+    order = list(order) if chance is None else [CHANCE, *order]
     position = F.array_position(F.array(*map(F.lit, order)), F.col("model"))
-    placed = evaluated.select("model", position.alias("p"), F.lit(1).alias("k"), *metrics).where("p > 0")
+    placed = with_chance(evaluated, chance).select("model", position.alias("p"), F.lit(1).alias("k"), *metrics).where("p > 0")
     a, b = placed.alias("a"), placed.alias("b")
     return a.join(b, (F.col("a.k") == F.col("b.k")) & (F.col("a.p") < F.col("b.p"))).select(
         F.concat(F.col("b.model"), F.lit(" - "), F.col("a.model")).alias("comparison"),
