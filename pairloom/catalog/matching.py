@@ -271,12 +271,16 @@ def posting_differences(spark, folder):
     return rs.paired_differences(per, "semantic", "hybrid", ["ndcg_10", "ndcg_5", "mrr", "map"])
 
 
+def no_negative_zero(df):
+    return df.withColumns({c: F.col(c) + F.lit(0.0) for c, kind in df.dtypes if kind == "double"})
+
+
 def paired_differences(spark, folder):
-    return _round(posting_differences(spark, folder)).withColumn("diff", F.col("diff") + F.lit(0.0))  # no negative zero
+    return no_negative_zero(_round(posting_differences(spark, folder)))
 
 
 def paired_bootstrap(spark, folder):
-    return rs.paired_bootstrap(posting_differences(spark, folder))
+    return no_negative_zero(_round(rs.paired_bootstrap(posting_differences(spark, folder))))
 
 
 def difference_table(spark, folder):
@@ -286,7 +290,7 @@ def difference_table(spark, folder):
     per_rep = rk.ranking_summary(per_posting, ["repetition", "model"])
     metrics = ["ndcg_10", "ndcg_5", "mrr", "map"]
     diffs = rs.paired_differences(per_posting, "semantic", "hybrid", metrics, by=["repetition", "posting_id"])
-    return rs.difference_table(per_rep, diffs, "semantic", "hybrid", metrics)
+    return no_negative_zero(_round(rs.difference_table(per_rep, diffs, "semantic", "hybrid", metrics)))
 
 
 def final_report(spark, folder):
@@ -410,6 +414,33 @@ def evaluated_sql(source: str, by: str) -> str:
 RATIOS = ", ".join(f"case when e.model <> 'tfidf' then round_even(e.{m} - b.{m}, 6) end as delta_{m}, "
                    f"case when e.model <> 'tfidf' then round_even(100 * (e.{m} - b.{m}) / b.{m}, 2) end as rel_{m}_pct"
                    for m in [*fv.RANKING_METRICS, "accuracy", "macro_f1"])
+
+
+def differences_sql(source, keys):
+    """long_diff(keys, metric, diff): hybrid less semantic where both have the metric."""
+    each = " union all ".join(f"select {keys}, '{m}' as metric, any_value({m}) filter (model = 'hybrid') - any_value({m}) filter (model = 'semantic') as diff "
+                              f"from {source} group by {keys}" for m in ("ndcg_10", "ndcg_5", "mrr", "map"))
+    return f"long_diff as (select * from ({each}) where diff is not null)"
+
+
+def resamples_sql(source, strata, n):
+    """CTEs ending in means(metric, resample, mean): every posting's draws from the same hash."""
+    key = "md5(" + " || ':' || ".join(["'42'", "posting_id::varchar", *[f"{c}::varchar" for c in strata]]) + ")"
+    mixed = lambda v, factor, shift: f"xor(({v} * {factor} + 12345) % {rs.PRIME}, (({v} * {factor} + 12345) % {rs.PRIME}) >> {shift}) % {rs.PRIME}"
+    lead = "".join(f"{c}, " for c in strata)
+    return f"""seeded as (select {lead}metric, diff, ('0x' || substr({key}, 1, 8))::bigint % {rs.PRIME} as s1, ('0x' || substr({key}, 9, 8))::bigint % {rs.PRIME} as s2
+            from {source}),
+        hash0 as (select {lead}metric, diff, b, (s1 + (b + 1) * s2) % {rs.PRIME} as v from seeded, (select unnest(range({n})) as b)),
+        hash1 as (select {lead}metric, diff, b, {mixed('v', 48271, 13)} as v from hash0),
+        hash2 as (select {lead}metric, diff, b, {mixed('v', 69621, 15)} as v from hash1),
+        hash3 as (select {lead}metric, diff, b, v * 39373 % {rs.PRIME} as v from hash2),
+        drawn as (select {lead}metric, diff, b, {" + ".join(f"(v >= {c})::int" for c in rs.CUTS)} as w from hash3),
+        part_means as (select {lead}metric, b, round(sum(w * diff) / nullif(sum(w), 0), 12) as mean from drawn group by {lead}metric, b),
+        means as (select metric, b, avg(mean) as mean from part_means group by metric, b)"""
+
+
+INTERVAL = """bounds as (select metric, quantile_cont(mean, 0.025) as low, quantile_cont(mean, 0.975) as high,
+            least(avg((mean <= 0)::int), avg((mean >= 0)::int)) as tail from means group by metric)"""
 FOLDED = """group_labels as (select candidate_id, label_id, count(*) as n from preds group by all),
     groups as (select candidate_id, sum(n) as size, arg_max(label_id, (n, label_id)) as main_label, md5('42:' || candidate_id) as draw
         from group_labels group by candidate_id),
@@ -565,6 +596,23 @@ ORACLES = {
     "paired_differences": f"""with {LONG}, {metrics_sql('by_model', 'model, posting_id', 'score')},
         long_diff as ({" union all ".join(f"select posting_id, '{m}' as metric, any_value({m}) filter (model = 'hybrid') - any_value({m}) filter (model = 'semantic') as diff from per_posting group by posting_id" for m in ('ndcg_10', 'ndcg_5', 'mrr', 'map'))})
         select posting_id, metric, round(diff, 6) + 0.0::double as diff from long_diff where diff is not null""",
+    "paired_bootstrap": f"""with {LONG}, {metrics_sql('by_model', 'model, posting_id', 'score')}, {differences_sql('per_posting', 'posting_id')},
+        {resamples_sql('long_diff', [], 10_000)}, {INTERVAL},
+        observed as (select metric, count(*) as n_jobs, avg(diff) as mean_diff from long_diff group by metric)
+        select metric, n_jobs, round(mean_diff, 6) + 0.0::double as mean_diff, round(low, 6) + 0.0::double as ci95_low, round(high, 6) + 0.0::double as ci95_high,
+            round(least(1, 2 * tail), 6) as p_two_sided, low > 0 or high < 0 as significant_5pct from observed join bounds using (metric)""",
+    "difference_table": f"""with {REFITTED}, by_model as ({" union all ".join(f"select '{m}' as model, posting_id, candidate_id, label_id, {c} as score from preds" for m, c in MODELS.items())}),
+        test_rows as (select m.*, s.repetition from by_model m join spread s using (candidate_id) where s.split = 'test'),
+        {metrics_sql('test_rows', 'repetition, model, posting_id', 'score')}, {differences_sql('per_posting', 'repetition, posting_id')},
+        {resamples_sql('long_diff', ['repetition'], 10_000)}, {INTERVAL},
+        rep_cells as (select repetition, model, {", ".join(f"avg({m}) as {m}" for m in fv.RANKING_METRICS)} from per_posting group by all),
+        rep_diffs as ({" union all ".join(f"select repetition, '{m}' as metric, any_value({m}) filter (model = 'hybrid') - any_value({m}) filter (model = 'semantic') as diff from rep_cells group by repetition" for m in ('ndcg_10', 'ndcg_5', 'mrr', 'map'))}),
+        diff_stats as (select metric, avg(diff) as mean_diff, stddev_samp(diff) as std_diff, min(diff) as min_diff, max(diff) as max_diff,
+            count(*) filter (diff > 0) as reps_positive, count(*) as n_repetitions from rep_diffs where diff is not null group by metric),
+        units as (select metric, count(*) as n_job_units from long_diff group by metric)
+        select metric, {", ".join(f"round({m}, 6) + 0.0::double as {m}" for m in ('mean_diff', 'std_diff', 'min_diff', 'max_diff'))}, reps_positive, n_repetitions,
+            round(low, 6) + 0.0::double as ci95_low, round(high, 6) + 0.0::double as ci95_high, n_job_units, low > 0 or high < 0 as ci_excludes_0
+        from diff_stats join bounds using (metric) join units using (metric)""",
     "final_report": f"""with {REPEATED}, {SPREAD}, parts as (select *, {PART} as part from by_model),
         {metrics_sql('parts', 'part, model, posting_id', 'score').replace('placed', 'placed2').replace('stats', 'stats2').replace('per_posting', 'per_posting2')},
         two as (select part, model, {", ".join(f"avg({m}) as {m}" for m in fv.RANKING_METRICS)} from per_posting2 group by all)

@@ -1,3 +1,5 @@
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -150,14 +152,43 @@ def test_bootstrap(spark):
     assert a == b and a["ci95_low"] < a["mean_diff"] < a["ci95_high"]
     values = np.array([r["diff"] for r in noisy.collect()])
     means = values[rng.integers(0, 400, (2000, 400))].mean(axis=1)
-    chunked = resampling.resample_means(noisy, ["metric"], "posting_id", 2000, chunk_rows=64).agg(F.avg("mean"), F.stddev("mean")).first()
-    assert chunked[0] == pytest.approx(values.mean(), abs=0.01) and chunked[1] == pytest.approx(means.std(), rel=0.1)
-
-
-def test_chunk_draws_add_up():
-    sizes = np.array([5, 9, 1, 7, 30])
-    taken = [resampling._draws_for_chunk(sizes, i, 300, [42, 1]) for i in range(5)]
-    assert (np.sum(taken, axis=0) == sizes.sum()).all() and np.mean(taken[4]) == pytest.approx(30, rel=0.05)
+    drawn = resampling.resample_means(noisy, ["metric"], "posting_id", 2000).agg(F.avg("mean"), F.stddev("mean"), F.count("mean")).first()
+    assert drawn[0] == pytest.approx(values.mean(), abs=0.01) and drawn[1] == pytest.approx(means.std(), rel=0.1) and drawn[2] == 2000
+
+
+def plain_draws(key, n):
+    """Draws of one unit, in plain integers."""
+    digest = hashlib.md5(key.encode()).hexdigest()
+    first, step, p = int(digest[:8], 16) % resampling.PRIME, int(digest[8:16], 16) % resampling.PRIME, resampling.PRIME
+    for b in range(n):
+        v = (first + (b + 1) * step) % p
+        for factor, shift in ((48271, 13), (69621, 15)):
+            v = (v * factor + 12345) % p
+            v = (v ^ (v >> shift)) % p
+        v = v * 39373 % p
+        yield sum(v >= c for c in resampling.CUTS)
+
+
+def test_draws_are_those_of_the_hash(spark):
+    rows = [("m", r, f"p{i}", float(d)) for r in (0, 1) for i, d in enumerate(np.random.default_rng(3).normal(0, 1, 9))]
+    diffs = spark.createDataFrame(rows, "metric string, repetition int, posting_id string, diff double")
+    got = {(r["repetition"], r["resample"]): r["mean"] for r in resampling.resample_means(
+        diffs.repartition(3), ["metric"], "posting_id", 45, 42, ["repetition"]).collect()}
+    assert len(got) == 90
+    for rep in (0, 1):
+        draws = np.array([list(plain_draws(f"42:p{i}:{rep}", 45)) for i in range(9)])
+        values = np.array([d for _, r, _, d in rows if r == rep])
+        for b in range(45):
+            total = draws[:, b].sum()
+            assert got[rep, b] == (None if total == 0 else pytest.approx((draws[:, b] * values).sum() / total, abs=1e-11))
+
+
+def test_draws_are_poisson_and_independent():
+    draws = np.array([list(plain_draws(f"42:u{i}", 400)) for i in range(400)])
+    assert draws.mean() == pytest.approx(1, abs=0.01) and draws.var() == pytest.approx(1, abs=0.02)
+    assert [np.mean(draws == k) for k in range(4)] == pytest.approx([0.3679, 0.3679, 0.1839, 0.0613], abs=0.004)
+    assert abs(np.corrcoef(draws)[np.triu_indices(400, 1)]).mean() < 0.045 and abs(np.corrcoef(draws.T)[np.triu_indices(400, 1)]).mean() < 0.045
+    assert draws.sum(axis=0).std() == pytest.approx(20, rel=0.15)
 
 
 def test_verdicts_and_comparison(spark):
