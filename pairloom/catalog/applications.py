@@ -155,12 +155,12 @@ def titled_matches(spark, folder):
 
 def match_parts(spark, folder):
     """Five scores and the overall score of every trading pair, with strengths, gaps and advice."""
-    pairs = mt.trade_pairs(spark, folder)
+    pairs, demanded, offered = mt.trade(spark, folder)
     # The taxonomy lists the brands from the last to the first.
-    demanded = mt.demanded_skills(spark, folder).where("status <> 'uncertain'").withColumn(
+    demanded = demanded.where("status <> 'uncertain'").withColumn(
         "position", -F.regexp_extract("skill", "[0-9]+", 0).cast("int"))
     synonyms = spark.createDataFrame([("Brand#1", "Brand#11"), ("Brand#2", "Brand#22"), ("Brand#2", "Brand#12")], "skill string, synonym string")
-    out = ms.skill_part(pairs, ms.skill_matches(pairs, demanded, mt.offered_skills(spark, folder), synonyms))
+    out = ms.skill_part(pairs, demanded, offered, synonyms)
     years = lambda c: F.floor(F.greatest(F.col(c), F.lit(0.0)) / 1000).cast("int")
     suppliers = table(spark, folder, "supplier").select(F.col("s_suppkey").alias("candidate_id"), years("s_acctbal").alias("candidate_years"),
                                                         (F.col("s_nationkey") % 6 * 20).alias("check_score"))

@@ -37,22 +37,28 @@ def trade_lines(spark, folder):
         "posting_id", "candidate_id", "skill", "l_quantity", "label_id")
 
 
-def trade_pairs(spark, folder):
-    return trade_lines(spark, folder).groupBy("posting_id", "candidate_id").agg(
+def trade_pairs(spark, folder, lines=None):
+    return (lines or trade_lines(spark, folder)).groupBy("posting_id", "candidate_id").agg(
         F.max("label_id").alias("label_id"), F.sum("l_quantity").alias("quantity"))
 
 
-def demanded_skills(spark, folder):
-    bought = trade_lines(spark, folder).groupBy("posting_id", "skill").agg(F.sum("l_quantity").alias("q"))
+def demanded_skills(spark, folder, lines=None):
+    bought = (lines or trade_lines(spark, folder)).groupBy("posting_id", "skill").agg(F.sum("l_quantity").alias("q"))
     status = F.when(F.col("q") >= 60, "required").when(F.col("q") >= 30, "preferred").otherwise("uncertain")
     return bought.select("posting_id", "skill", status.alias("status"))
 
 
-def offered_skills(spark, folder):
-    shipped = trade_lines(spark, folder).groupBy("candidate_id", "skill").agg(F.sum("l_quantity").alias("q"))
+def offered_skills(spark, folder, lines=None):
+    shipped = (lines or trade_lines(spark, folder)).groupBy("candidate_id", "skill").agg(F.sum("l_quantity").alias("q"))
     return shipped.where("q >= 600").select("candidate_id", "skill")
 
 
+def trade(spark, folder):
+    """Pairs, demanded and offered skills from lines that are joined and written once."""
+    lines = cut_lineage(trade_lines(spark, folder))
+    return trade_pairs(spark, folder, lines), demanded_skills(spark, folder, lines), offered_skills(spark, folder, lines)
+
+
 def vectors(spark, folder, id):
     return table(spark, folder, "embeddings").select(F.col("vec_id").alias(id), F.col("embedding").alias("vec"))
 
@@ -64,18 +70,18 @@ def semantic_pairs(spark, folder):
 
 
 def skill_coverage(spark, folder):
-    pairs = trade_pairs(spark, folder).select("posting_id", "candidate_id")
-    covered = _round(pf.coverage(pairs, demanded_skills(spark, folder), offered_skills(spark, folder)))
+    pairs, demanded, offered = trade(spark, folder)
+    covered = _round(pf.coverage(pairs.select("posting_id", "candidate_id"), demanded, offered))
     lists = [c for c, t in covered.dtypes if t.startswith("array")]
     return covered.select(*[F.array_join(c, ",").alias(c) if c in lists else F.col(c) for c in covered.columns])
 
 
 def match_features(spark, folder, lists=False):
     """Every component of every pair; unknown is NULL."""
-    pairs = trade_pairs(spark, folder)
+    pairs, demanded, offered = trade(spark, folder)
     out = se.vector_pair_scores(pairs, vectors(spark, folder, "candidate_id"), vectors(spark, folder, "posting_id"),
                                 score="semantic_similarity", how="left")
-    out = pf.coverage(out, demanded_skills(spark, folder), offered_skills(spark, folder), lists=lists)
+    out = pf.coverage(out, demanded, offered, lists=lists)
     years = lambda c: F.when(F.col(c) > 0, F.col(c) / 1000)
     suppliers = table(spark, folder, "supplier").select(
         F.col("s_suppkey").alias("candidate_id"), years("s_acctbal").alias("candidate_experience_years"),

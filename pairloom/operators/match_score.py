@@ -15,23 +15,23 @@ from pairloom.operators.lexical import bag_cosine
 PART_WEIGHTS = {"skills_score": 0.40, "experience_score": 0.25, "responsibilities_score": 0.20, "education_score": 0.10, "format_score": 0.05}
 
 
-def skill_matches(pairs: DataFrame, demanded: DataFrame, offered: DataFrame, synonyms: DataFrame | None = None,
-                  left_id: str = "candidate_id", right_id: str = "posting_id") -> DataFrame:
-    """(pair, skill, status, position, is_match): a posting's skill is met by the skill itself or by any of its synonyms.
+def named_skills(demanded: DataFrame, offered: DataFrame, synonyms: DataFrame | None = None, left_id: str = "candidate_id",
+                 right_id: str = "posting_id") -> tuple[DataFrame, DataFrame]:
+    """(candidate, _held: its skills' names) and (posting, _asked: its skills in taxonomy order, each with the names that meet it).
 
-    demanded: (posting, skill, status, position); position is the place in the taxonomy, 0 where the table has none.
-    synonyms: (skill, synonym).  Names are compared in lower case.
+    demanded: (posting, skill, status, position); position is the place in the taxonomy, 0 where the table has none.  synonyms:
+    (skill, synonym).  Names are compared in lower case.  One row a document, bounded by the taxonomy.
     """
     place = F.col("position") if "position" in demanded.columns else F.lit(0)
-    asked = demanded.select(right_id, "skill", "status", place.alias("position")).withColumn("_name", F.lower("skill"))
+    asked = demanded.select(right_id, "skill", "status", place.alias("position"), F.lower("skill").alias("_name"))
+    names = F.array("_name")
     if synonyms is not None:
-        other = synonyms.select(F.lower("skill").alias("_name"), F.lower("synonym").alias("_also"))
-        extra = asked.join(other, "_name").select(right_id, "skill", "status", "position", F.col("_also").alias("_name"))
-        asked = asked.unionByName(extra)
-    has = offered.select(left_id, F.lower("skill").alias("_name")).distinct().withColumn("_has", F.lit(1))
-    long = pairs.select(left_id, right_id).join(asked, right_id).join(has, [left_id, "_name"], "left")
-    return long.groupBy(left_id, right_id, "skill", "status", "position").agg(F.max(F.coalesce("_has", F.lit(0))).alias("_m")).select(
-        left_id, right_id, "skill", "status", "position", (F.col("_m") == 1).alias("is_match"))
+        also = synonyms.groupBy(F.lower("skill").alias("_name")).agg(F.collect_set(F.lower("synonym")).alias("_also"))
+        asked = asked.join(also, "_name", "left")
+        names = F.concat(names, F.coalesce("_also", F.array().cast("array<string>")))
+    row = F.struct("position", "skill", "status", F.array_sort(names).alias("names"))
+    return (offered.groupBy(left_id).agg(F.collect_set(F.lower("skill")).alias("_held")),
+            asked.groupBy(right_id).agg(F.array_sort(F.collect_set(row)).alias("_asked")))
 
 
 def skills_score(required_met: Column, required: Column, preferred_met: Column, preferred: Column) -> Column:
@@ -40,23 +40,30 @@ def skills_score(required_met: Column, required: Column, preferred_met: Column,
     return clamp(half_up(part(required_met, required) * 0.75 + part(preferred_met, preferred) * 0.25), 20, 100).cast("int")
 
 
-def skill_part(pairs: DataFrame, matches: DataFrame, left_id: str = "candidate_id", right_id: str = "posting_id") -> DataFrame:
-    """Add skills_score, n_matched and the lists of missing skills, in taxonomy order, to the pairs."""
-    is_, met = (lambda s: F.col("status") == s), F.col("is_match")
-    # One posting's skills.
-    names = lambda want: F.transform(F.sort_array(F.collect_set(F.when(want, F.struct("position", "skill")))), lambda s: s["skill"])
-    per = matches.groupBy(left_id, right_id).agg(
-        *[F.count_if(is_(s)).alias(f"_n_{s}") for s in ("required", "preferred")],
-        *[F.count_if(is_(s) & met).alias(f"_m_{s}") for s in ("required", "preferred")],
-        names(is_("required") & ~met).alias("missing_required"), names(is_("preferred") & ~met).alias("missing_preferred"))
-    out = pairs.join(per, [left_id, right_id], "left")
-    n = lambda c: F.coalesce(F.col(c), F.lit(0))
-    empty = F.array().cast("array<string>")
-    return out.withColumns({
-        "skills_score": skills_score(n("_m_required"), n("_n_required"), n("_m_preferred"), n("_n_preferred")),
-        "n_matched": (n("_m_required") + n("_m_preferred")).cast("int"),
-        "missing_required": F.coalesce("missing_required", empty), "missing_preferred": F.coalesce("missing_preferred", empty),
-    }).drop("_n_required", "_n_preferred", "_m_required", "_m_preferred")
+def skill_part(pairs: DataFrame, demanded: DataFrame, offered: DataFrame, synonyms: DataFrame | None = None, left_id: str = "candidate_id",
+               right_id: str = "posting_id") -> DataFrame:
+    """Add skills_score, n_matched and the lists of missing skills, in taxonomy order, to the pairs.
+
+    A posting's skill is met by the skill itself or by any of its synonyms.  Both sides' skills are sets in the row: two joins, and no row is
+    multiplied by skills.
+    """
+    left, right = named_skills(demanded, offered, synonyms, left_id, right_id)
+    joined = pairs.join(right, right_id, "left").join(left, left_id, "left")
+    held = F.coalesce("_held", F.array().cast("array<string>"))
+    # Of all names that would do only those held are looked through for each skill.
+    sets = joined.withColumn("_found", F.array_intersect(F.flatten(F.transform("_asked", lambda a: a["names"])), held))
+    met = lambda a: F.arrays_overlap(a["names"], F.col("_found"))
+    of = lambda status, wanted: F.filter("_asked", lambda a: (a["status"] == status) & wanted(a))
+    n = lambda some: F.coalesce(F.size(some), F.lit(0))
+    names = lambda some: F.coalesce(F.transform(some, lambda a: a["skill"]), F.array().cast("array<string>"))
+    every = lambda a: F.lit(True)
+    counted = sets.withColumns({f"_{k}_{s}": F.when(F.col("_asked").isNull(), 0).otherwise(n(of(s, w)))
+                                for s in ("required", "preferred") for k, w in (("n", every), ("m", met))})
+    return counted.withColumns({
+        "skills_score": skills_score(*[F.col(c) for c in ("_m_required", "_n_required", "_m_preferred", "_n_preferred")]),
+        "n_matched": (F.col("_m_required") + F.col("_m_preferred")).cast("int"),
+        "missing_required": names(of("required", lambda a: ~met(a))), "missing_preferred": names(of("preferred", lambda a: ~met(a))),
+    }).drop("_n_required", "_n_preferred", "_m_required", "_m_preferred", "_asked", "_held", "_found")
 
 
 def bonus_skills(offered: Column, required: Column, preferred: Column, n: int = 8) -> Column:
@@ -147,7 +154,7 @@ def match_records(pairs: DataFrame, profiles: DataFrame, adverts: DataFrame, req
     right = adverts.select("posting_id", F.col("min_years").alias("required_years"), F.array_join("duties", " ").alias("_duties"),
                            "required_skills", "preferred_skills")
     both = pairs.select("candidate_id", "posting_id").distinct().join(left, "candidate_id").join(right, "posting_id")
-    both = skill_part(both, skill_matches(both, requirements, tagged, synonyms))
+    both = skill_part(both, requirements, tagged, synonyms)
     both = responsibilities_part(both, ["candidate_id", "posting_id"], "_bullets", "_duties")
     score, status = experience_part(F.col("candidate_years"), F.col("required_years"))
     both = both.withColumns({"experience_score": score, "experience_status": status, "format_score": format_part(F.col("check_score")),

@@ -11,37 +11,44 @@ from pairloom import fixed_values as fv
 from pairloom.functions.ordering import exact_quantiles
 
 
+def skill_sets(demanded: DataFrame, offered: DataFrame, left_id: str = "candidate_id", right_id: str = "posting_id") -> tuple[DataFrame, DataFrame]:
+    """(candidate, held: its skills) and (posting, asked: its skills with their status): one row a document, bounded by the taxonomy."""
+    return (offered.groupBy(left_id).agg(F.array_sort(F.collect_set("skill")).alias("held")),
+            demanded.groupBy(right_id).agg(F.array_sort(F.collect_set(F.struct("skill", "status"))).alias("asked")))
+
+
+def skill_coverage(asked: Column, held: Column, alpha: float = fv.PREFERRED_ALPHA) -> dict[str, Column]:
+    """Coverage columns from sets: asked holds (skill, status), held skills; each pair costs their lengths, in its own row."""
+    with_status = lambda s: F.array_sort(F.transform(F.filter(asked, lambda a: a["status"] == s), lambda a: a["skill"]))
+    of = {s: with_status(s) for s in fv.STATUS_STRENGTH}
+    matched = {s: F.array_intersect(of[s], held) for s in of}
+    n = {s: F.size(of[s]).cast("long") for s in of}
+    m = {s: F.size(matched[s]).cast("long") for s in of}
+    share = lambda a, b: F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
+    out = {f"{s}_skill_count": n[s] for s in of}
+    for s in ("required", "preferred"):
+        out |= {f"{s}_skills": of[s], f"matched_{s}_skills": matched[s], f"missing_{s}_skills": F.array_except(of[s], held),
+                f"{s}_skill_coverage": share(m[s], n[s]), f"missing_{s}_skill_count": n[s] - m[s]}
+    return out | {"uncertain_skills": of["uncertain"],
+                  "weighted_skill_coverage": share(m["required"] + alpha * m["preferred"], n["required"] + alpha * n["preferred"]),
+                  "job_skill_coverage": share(sum(m.values()), sum(n.values()))}
+
+
 def coverage(pairs: DataFrame, demanded: DataFrame, offered: DataFrame, alpha: float = fv.PREFERRED_ALPHA,
              left_id: str = "candidate_id", right_id: str = "posting_id", lists: bool = True) -> DataFrame:
     """Coverage of a posting's skills (posting, skill, status) by a candidate's skills (candidate, skill).
 
-    A pair's rows are one posting's skills, so they are bounded by the taxonomy.
+    Skills are sets in the documents' rows; pairs get them by two joins and are never multiplied by skills.  A skill asked for twice with
+    one status counts once; a posting without skills has counts and coverage 0 and empty lists.
     """
-    has = offered.select(left_id, "skill").distinct().withColumn("has", F.lit(True))
-    long = pairs.select(left_id, right_id).join(demanded.select(right_id, "skill", "status"), right_id).join(
-        has, [left_id, "skill"], "left")
-    held, status = F.col("has").isNotNull(), F.col("status")
-    names = lambda want: F.sort_array(F.collect_set(F.when(want, F.col("skill"))))
-    aggregates = [F.count_if(status == s).alias(f"{s}_skill_count") for s in fv.STATUS_STRENGTH]
-    aggregates += [F.count_if((status == s) & held).alias(f"_m_{s}") for s in fv.STATUS_STRENGTH]
-    if lists:
-        aggregates += [names((status == s) & held).alias(f"matched_{s}_skills") for s in ("required", "preferred")]
-        aggregates += [names((status == s) & ~held).alias(f"missing_{s}_skills") for s in ("required", "preferred")]
-        aggregates.append(names(status == "uncertain").alias("uncertain_skills"))
-    counted = pairs.join(long.groupBy(left_id, right_id).agg(*aggregates), [left_id, right_id], "left")
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
-    counts = {f"{s}_skill_count": zero(f"{s}_skill_count") for s in fv.STATUS_STRENGTH}
-    counts |= {f"_m_{s}": zero(f"_m_{s}") for s in fv.STATUS_STRENGTH}
-    out = counted.withColumns(counts)
-    req, pref, unc = (F.col(f"{s}_skill_count") for s in ("required", "preferred", "uncertain"))
-    m_req, m_pref, m_unc = (F.col(f"_m_{s}") for s in ("required", "preferred", "uncertain"))
-    share = lambda a, b: F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
-    return out.withColumns({
-        "required_skill_coverage": share(m_req, req), "preferred_skill_coverage": share(m_pref, pref),
-        "weighted_skill_coverage": share(m_req + alpha * m_pref, req + alpha * pref),
-        "job_skill_coverage": share(m_req + m_pref + m_unc, req + pref + unc),
-        "missing_required_skill_count": req - m_req, "missing_preferred_skill_count": pref - m_pref,
-    }).drop(*[f"_m_{s}" for s in fv.STATUS_STRENGTH])
+    left, right = skill_sets(demanded, offered, left_id, right_id)
+    joined = pairs.join(right.withColumnRenamed("asked", "_asked"), right_id, "left").join(left.withColumnRenamed("held", "_held"), left_id, "left")
+    none = lambda kind: F.array().cast(kind)
+    sets = joined.withColumns({"_asked": F.coalesce("_asked", none("array<struct<skill:string,status:string>>")),
+                               "_held": F.coalesce("_held", none("array<string>"))})
+    columns = skill_coverage(F.col("_asked"), F.col("_held"), alpha)
+    dropped = ["required_skills", "preferred_skills"] + ([] if lists else [c for c in columns if c.endswith("_skills")])
+    return sets.withColumns({c: v for c, v in columns.items() if c not in dropped}).drop("_asked", "_held")
 
 
 def experience_match(candidate: Column, required: Column) -> Column:

@@ -16,23 +16,6 @@ from pairloom.operators.skills import Taxonomy
 from pairloom.session import cut_lineage
 
 
-def skill_coverage(asked: Column, held: Column, alpha: float = fv.PREFERRED_ALPHA) -> dict[str, Column]:
-    """Coverage columns from arrays: asked is an array of (skill, status), held one of skills; both are bounded by the taxonomy."""
-    with_status = lambda s: F.array_sort(F.transform(F.filter(asked, lambda a: a["status"] == s), lambda a: a["skill"]))
-    of = {s: with_status(s) for s in fv.STATUS_STRENGTH}
-    matched = {s: F.array_intersect(of[s], held) for s in of}
-    n = {s: F.size(of[s]).cast("long") for s in of}
-    m = {s: F.size(matched[s]).cast("long") for s in of}
-    share = lambda a, b: F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
-    out = {f"{s}_skill_count": n[s] for s in of}
-    for s in ("required", "preferred"):
-        out |= {f"{s}_skills": of[s], f"matched_{s}_skills": matched[s], f"missing_{s}_skills": F.array_except(of[s], held),
-                f"{s}_skill_coverage": share(m[s], n[s]), f"missing_{s}_skill_count": n[s] - m[s]}
-    return out | {"uncertain_skills": of["uncertain"],
-                  "weighted_skill_coverage": share(m["required"] + alpha * m["preferred"], n["required"] + alpha * n["preferred"]),
-                  "job_skill_coverage": share(sum(m.values()), sum(n.values()))}
-
-
 def _sentences(parsed: DataFrame, statements: Column) -> DataFrame:
     rows = parsed.select(F.col("text_id").alias("owner"), F.posexplode(statements).alias("place", "text"))
     return rows.withColumn("text_id", semantic.text_key(F.col("text")))
@@ -63,7 +46,7 @@ def hybrid_features(pairs: DataFrame, candidates: DataFrame, postings: DataFrame
     right = jobs.select(F.col("text_id").alias("p_text"), F.col("text").alias("posting_text"), F.col("skills").alias("asked"),
                         F.col("duties.statements").alias("p_duties"), F.col("experience.min_years").cast("double").alias("required_experience_years"),
                         F.col("education.required_level").alias("required_level"))
-    joined = scored.join(left, "c_text").join(right, "p_text").withColumns(skill_coverage(F.col("asked"), F.col("candidate_skills")))
+    joined = scored.join(left, "c_text").join(right, "p_text").withColumns(pf.skill_coverage(F.col("asked"), F.col("candidate_skills")))
     years, needed = F.col("candidate_experience_years"), F.col("required_experience_years")
     found = F.concat("matched_required_skills", "matched_preferred_skills")
     features = joined.withColumns({

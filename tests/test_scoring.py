@@ -134,6 +134,35 @@ def test_coverage(spark):
     assert got["x"]["required_skill_coverage"] == 0.0 and got["x"]["required_skill_count"] == 3
 
 
+def test_skill_sets_against_loops(spark):
+    rng = np.random.default_rng(12)
+    skills = [f"S{i}" for i in range(12)]
+    asked = {p: {s: str(rng.choice(["required", "preferred", "uncertain"])) for s in rng.choice(skills, rng.integers(1, 8), replace=False)} for p in range(15)}
+    held = {c: set(map(str, rng.choice(skills, rng.integers(1, 9), replace=False))) for c in range(10)}
+    synonyms = [("S1", "s2"), ("S1", "S9"), ("S4", "S5")]
+    # Posting 99 asks for nothing, candidate 99 holds nothing; rows are repeated.
+    pairs = spark.createDataFrame([(c, p) for c in [*held, 99] for p in [*asked, 99]], "candidate_id long, posting_id long")
+    demanded = spark.createDataFrame([(p, str(s), st, int(s[1:])) for p, row in asked.items() for s, st in row.items()] * 2,
+                                     "posting_id long, skill string, status string, position int")
+    offered = spark.createDataFrame([(c, s) for c, row in held.items() for s in row] * 2, "candidate_id long, skill string")
+    also = spark.createDataFrame(synonyms, "skill string, synonym string")
+    covered = {(r["candidate_id"], r["posting_id"]): r for r in pf.coverage(pairs, demanded, offered).collect()}
+    scored = {(r["candidate_id"], r["posting_id"]): r for r in match_score.skill_part(pairs, demanded, offered, also).collect()}
+    assert len(covered) == len(scored) == 11 * 16
+    for (c, p), r in covered.items():
+        wants, has = asked.get(p, {}), held.get(c, set())
+        of = lambda status, there: sorted(str(s) for s, st in wants.items() if st == status and (s in has) == there)
+        assert r["matched_required_skills"] == of("required", True) and r["missing_preferred_skills"] == of("preferred", False)
+        assert r["required_skill_count"] == sum(st == "required" for st in wants.values())
+        assert r["job_skill_coverage"] == pytest.approx(len(set(wants) & has) / max(1, len(wants)))
+        meets = lambda s: s in has or any(a == s and b.upper() in has for a, b in synonyms)
+        got = scored[c, p]
+        for status in ("required", "preferred"):
+            missing = sorted((int(s[1:]), str(s)) for s, st in wants.items() if st == status and not meets(s))
+            assert got[f"missing_{status}"] == [s for _, s in missing]
+        assert got["n_matched"] == sum(meets(s) for s, st in wants.items() if st != "uncertain")
+
+
 def test_experience_and_education(spark):
     df = spark.createDataFrame([(6.0, 5.0), (3.0, 5.0), (0.0, 5.0), (None, 5.0), (4.0, 0.0)], "c double, r double")
     assert [r[0] for r in df.select(pf.experience_match(F.col("c"), F.col("r"))).collect()] == [1.0, pytest.approx(0.6), 0.0, None, 1.0]
