@@ -1,6 +1,7 @@
 """Fingerprints, decontamination, chat format, HTML and personal data against plain versions and hand-made cases."""
 
 import hashlib
+import random
 import re
 
 import numpy as np
@@ -175,6 +176,71 @@ def test_rendering(markup, text):
     assert text is None or got == text
 
 
+@pytest.mark.parametrize(("markup", "text"), [
+    # Only the hidden attribute and style declarations hide.
+    ('<p title="hidden gem">seen</p>x', "seen\n\nx"), ('<p class="hidden">seen</p>x', "seen\n\nx"), ('<p data-x="a hidden b">seen', "seen"),
+    ('<span aria-hidden="true">seen</span>', "seen"), ('<p title="style=display:none">seen', "seen"), ('<p data-style="display:none">seen', "seen"),
+    ("<p HIDDEN>no</p>x", "x"), ("<p hidden=''>no</p>x", "x"), ("<p style='DISPLAY : NONE !important'>no</p>x", "x"), ("<p style=display:none>no</p>x", "x"),
+    ("<p hidden style='display:block'>seen", "seen"), ("<p style='--x:display;none:1'>seen", "seen"),
+    # Visibility may be set again inside, display may not.
+    ('<div style="visibility:hidden">no<b style="visibility:visible">seen</b>no</div>x', "seen\nx"),
+    ('<div style="display:none">no<b style="display:block;visibility:visible">no</b></div>x', "x"),
+    ('<ul style="visibility:hidden"><li>no<li style="visibility:visible">b</ul>', "- b"),
+    # svg and math show their texts.
+    ("a <svg><title>t</title><defs><text>d</text></defs><text>seen</text><path d='M0'/></svg> b", "a seen b"),
+    ("<math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>no</annotation></math>", "x=1"), ("<desc>seen</desc>", "seen"), ("<xmp>a<b></xmp>c", "a<b>c"),
+    # A link ends the link before it.
+    ("<a hidden>no<a>seen", "seen"), ("<a style='display:none'>no<b>no<a>seen</a>", "seen"), ("<a>x<div>y<a>z</div>w", "x\nyz\nw"),
+    # Spanning cells move what follows.
+    ("<table><tr><td colspan=2>ab<td>c<tr><td>1<td>2<td>3</table>", "ab    c\n1  2  3"),
+    ("<table><tr><td colspan=2>a long title<td>c<tr><td>1<td>2<td>3</table>", "a long title  c\n1  2          3"),
+    ("<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td>d<td>e</table>", "a  b\n   c\nd  e"),
+    ("<table><tr><td colspan=x>a<td>b<tr><td colspan=0>c<td>d</table>", "a  b\nc  d"), ("<ol><li title='start=7'>a</ol>", "1. a"),
+])
+def test_visible_text(markup, text):
+    assert html_text.rendered(markup) == text
+
+
+def test_depth_changes_nothing():
+    page = ("<div>a</div><div>b</div><p style='display:none'>no</p><ul><li>c<li>d</ul><table><tr><td>e<td>ff<tr><td>ggg<td>h</table>"
+            "<noscript>no</noscript><q>i</q>")
+    want = html_text.rendered(page)
+    assert want == 'a\nb\n\n- c\n- d\n\ne    ff\nggg  h\n\n"i"'
+    for deep in ("<b>", "<font>", "<section>", "<blockquote>", "<a name=x><div>", "<span class='hidden'>"):
+        for n in (1, 600, 30_000):
+            assert html_text.rendered(deep * n + page) == want, (deep, n)
+
+
+def test_random_pages_keep_exactly_the_visible_words():
+    rng, tags = random.Random(6), ["p", "div", "b", "ul", "li", "table", "tr", "td", "svg", "pre", "section", "q", "h2"]
+    for _ in range(300):
+        words = []
+
+        def tree(depth, gone, seen):
+            out = ""
+            for _ in range(rng.randint(0, 4)):
+                if depth == 0 or rng.random() < 0.4:
+                    word = f"w{len(words)}"
+                    words.append((word, not gone and seen))
+                    out += f" {word} "
+                    continue
+                tag, look = rng.choice(tags), rng.choice(["", "", "", " hidden", " style='display:none'", " style=\"visibility:hidden\"",
+                                                          " style='visibility:visible'", " class=hidden title='display:none hidden'"])
+                now = {" style=\"visibility:hidden\"": False, " style='visibility:visible'": True}.get(look, seen)
+                inside = tree(depth - 1, gone or look in (" hidden", " style='display:none'"), now)
+                # Balanced markup that no implied end tag takes apart.
+                whole = {"tr": ("<table><tr", "</tr></table>"), "td": ("<table><tr><td", "</td></tr></table>"), "li": ("<ul><li", "</li></ul>"),
+                         "p": ("<div", "</div>"), "table": ("<table><tr><td", "</td></tr></table>")}
+                first, last = whole.get(tag, (f"<{tag}", f"</{tag}>"))
+                if tag == "tr":
+                    first, inside, last = "<table><tr", f"<td>{inside}</td>", "</tr></table>"
+                out += f"{first}{look}>{inside}{last}"
+            return out
+
+        got = html_text.rendered(tree(5, False, True))
+        assert sorted(re.findall(r"w[0-9]+", got)) == sorted(w for w, shown in words if shown)
+
+
 def test_nested_table_and_deep_pages():
     got = html_text.rendered("<table><tr><td>a<table><tr><td>in<td>ner</table></td><td>b</td></tr></table>")
     assert got.splitlines()[0] == "a        b" and "in  ner" in got
