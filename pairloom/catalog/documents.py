@@ -167,7 +167,7 @@ def encoding_stats(spark, folder):
 def label_alignment(spark, folder):
     """Vectors with one label are one posting's duties and one candidate's sentences; pairs are the labels that trade."""
     vectors = table(spark, folder, "embeddings").withColumnRenamed("embedding", "vec")
-    stacked = semantic.stack_vectors(vectors, "label", "vec_id")
+    stacked = cut_lineage(semantic.vector_blocks(vectors, "label", "vec_id"))
     duties, held = stacked.withColumnRenamed("label", "posting_id"), stacked.withColumnRenamed("label", "candidate_id")
     lines = table(spark, folder, "lineitem").select("l_suppkey", "l_partkey")
     pairs = (lines.join(vectors.select(F.col("vec_id").alias("l_suppkey"), F.col("label").alias("posting_id")), "l_suppkey")

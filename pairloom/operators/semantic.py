@@ -17,8 +17,13 @@ from pyspark.sql import types as T
 from pairloom.functions import text as tx
 from pairloom.functions.binding import let
 from pairloom.functions.numbers import dot, norm
+from pairloom.functions.ordering import rank_in_group
+from pairloom.operators.ranking import first_per_group
+from pairloom.session import cut_lineage
 
 Encoder = Callable[[DataFrame], DataFrame]
+#: Coordinates of a vector that are summed in one row, and vectors of a document that lie in one row.
+SLICE, BLOCK = 16, 64
 
 
 def text_key(text: Column) -> Column:
@@ -68,14 +73,18 @@ def hashed_bag_encoder(dim: int = 256) -> Encoder:
 def pool_chunks(chunks: DataFrame, id: str = "text_id") -> DataFrame:
     """(id, vec): mean of a text's chunk vectors weighted by chunk length, back to length 1, single precision.
 
-    A row is one text's few chunks; they are added in chunk order.
+    Vectors are added slice by slice in partial sums that tasks merge, so a text's chunks never meet in one row, however many there are.
     """
-    gathered = chunks.groupBy(id).agg(F.sort_array(F.collect_list(F.struct("chunk", "n_tokens", "vec"))).alias("_c"))
-    weighted = F.transform("_c", lambda c: F.transform(c["vec"], lambda x: x.cast("double") * c["n_tokens"]))
-    summed = lambda w: F.aggregate(F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), F.get(w, 0),
-                                   lambda s, v: F.zip_with(s, v, lambda x, y: x + y))
-    vec = let(weighted, summed, lambda w, s: norm(s), lambda w, s, n: F.transform(s, lambda x: (x / n).cast("float")))
-    return gathered.select(id, vec.alias("vec"))
+    count = F.greatest(F.ceil(F.size("vec") / F.lit(SLICE)), F.lit(1)).cast("int")
+    slices = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.struct(i.alias("slice"), F.slice("vec", i * SLICE + 1, SLICE).alias("part")))
+    rows = chunks.select(id, "n_tokens", F.size("vec").alias("dim"), F.inline(slices))
+    sums = rows.groupBy(id, "slice").agg(F.max("dim").alias("dim"), *[
+        F.sum(F.get("part", F.lit(i)).cast("double") * F.col("n_tokens")).alias(f"_{i}") for i in range(SLICE)])
+    # One row a slice: together as long as the vector.
+    whole = sums.groupBy(id).agg(F.max("dim").alias("dim"), F.array_sort(F.collect_list(F.struct(
+        "slice", F.array(*[f"_{i}" for i in range(SLICE)]).alias("part")))).alias("_s"))
+    summed = F.slice(F.flatten(F.transform("_s", lambda x: x["part"])), F.lit(1), F.col("dim"))
+    return whole.select(id, let(summed, lambda s: norm(s), lambda s, n: F.transform(s, lambda x: (x / n).cast("float"))).alias("vec"))
 
 
 def encode_texts(requests: DataFrame, encoder: Encoder, max_tokens: int = 510, strategy: str = "chunk_mean",
@@ -116,37 +125,52 @@ MATCHES = T.ArrayType(T.StructType([T.StructField("duty", T.IntegerType()), T.St
 
 
 @F.pandas_udf(MATCHES)
-def _best_matches(duties: pd.Series, evidence: pd.Series, dims: pd.Series) -> pd.Series:
+def _block_matches(duties: pd.Series, evidence: pd.Series, first_duty: pd.Series, first_evidence: pd.Series, dims: pd.Series) -> pd.Series:
+    """The best evidence of one block for each duty of one block: at most BLOCK vectors a side."""
     out = []
-    for d, e, dim in zip(duties, evidence, dims):
-        if d is None or e is None or len(d) == 0 or len(e) == 0:
-            out.append([])
-            continue
+    for d, e, i, j, dim in zip(duties, evidence, first_duty, first_evidence, dims):
         sims = np.asarray(d, dtype=np.float64).reshape(-1, dim) @ np.asarray(e, dtype=np.float64).reshape(-1, dim).T
         best = sims.argmax(axis=1)
-        out.append([{"duty": i, "evidence": int(j), "similarity": float(sims[i, j])} for i, j in enumerate(best)])
+        out.append([{"duty": int(i + k), "evidence": int(j + b), "similarity": float(sims[k, b])} for k, b in enumerate(best)])
     return pd.Series(out)
 
 
-def stack_vectors(sentences: DataFrame, id: str, position: str) -> DataFrame:
-    """(id, flat): a document's sentence vectors end to end; duties and evidence are capped where they are extracted."""
-    gathered = sentences.groupBy(id).agg(F.sort_array(F.collect_list(F.struct(F.col(position).alias("p"), F.col("vec").alias("v")))).alias("_v"))
-    return gathered.select(id, F.flatten(F.transform("_v", lambda x: x["v"])).alias("flat"))
+def vector_blocks(sentences: DataFrame, id: str, position: str) -> DataFrame:
+    """(id, first, flat): a document's sentence vectors by their place from 0, end to end, at most BLOCK of them a row."""
+    placed = rank_in_group(sentences.select(id, position, "vec"), [id], [F.col(position)], rank="_rank")
+    blocks = placed.groupBy(id, F.floor((F.col("_rank") - 1) / BLOCK).alias("_block")).agg(
+        F.array_sort(F.collect_list(F.struct("_rank", "vec"))).alias("_v"))
+    return blocks.select(id, (F.col("_block") * BLOCK).cast("int").alias("first"), F.flatten(F.transform("_v", lambda x: x["vec"])).alias("flat"))
+
+
+def best_evidence(pairs: DataFrame, duties: DataFrame, evidence: DataFrame, dim: int, left_id: str = "candidate_id",
+                  right_id: str = "posting_id") -> DataFrame:
+    """(pair, duty, evidence, similarity): each duty's most similar sentence, the first on ties.
+
+    duties (posting, first, flat) and evidence (candidate, first, flat) come from vector_blocks.  Blocks are compared in rows of bounded size and
+    each duty's maxima are merged by a partial aggregate, so long documents spread over tasks.
+    """
+    d = duties.select(right_id, F.col("first").alias("_i"), F.col("flat").alias("_d"))
+    e = evidence.select(left_id, F.col("first").alias("_j"), F.col("flat").alias("_e"))
+    blocks = pairs.select(left_id, right_id).distinct().join(d, right_id).join(e, left_id)
+    found = blocks.select(left_id, right_id, F.inline(_block_matches("_d", "_e", "_i", "_j", F.lit(dim))))
+    # Rounded so that equal vectors in blocks of other shapes tie.
+    order = F.struct(F.round("similarity", 12).alias("s"), (-F.col("evidence")).alias("e"))
+    best = found.groupBy(left_id, right_id, "duty").agg(F.max_by(F.struct("evidence", "similarity"), order).alias("_b"))
+    return best.select(left_id, right_id, "duty", "_b.*")
 
 
 def alignment(pairs: DataFrame, duties: DataFrame, evidence: DataFrame, dim: int, left_id: str = "candidate_id",
               right_id: str = "posting_id", top: int = 3) -> DataFrame:
     """Mean over a posting's duties of the best cosine with any of the candidate's sentences, and the best duties.
 
-    duties (posting, flat) and evidence (candidate, flat) come from stack_vectors.  The duty-by-sentence matrix lives
-    only inside the row; NULL where either side has no sentences.
+    duties and evidence come from vector_blocks; NULL and no duties where either side has no sentences.
     """
-    joined = pairs.join(evidence.withColumnRenamed("flat", "_e"), left_id, "left").join(
-        duties.withColumnRenamed("flat", "_d"), right_id, "left")
-    matched = joined.withColumn("_m", _best_matches("_d", "_e", F.lit(dim))).drop("_d", "_e")
-    mean = F.try_divide(F.aggregate("_m", F.lit(0.0), lambda s, x: s + x["similarity"]), F.size("_m").cast("double"))
-    ranked = F.slice(F.array_sort(F.transform("_m", lambda x: F.struct(
-        (-x["similarity"]).alias("neg"), x["duty"].alias("duty"), x["evidence"].alias("evidence")))), 1, top)
-    best = F.transform(ranked, lambda x: F.struct(x["duty"].alias("duty"), x["evidence"].alias("evidence"),
-                                                  (-x["neg"]).alias("similarity")))
-    return matched.withColumn("responsibility_similarity", F.when(F.size("_m") > 0, mean)).withColumn("best", best).drop("_m")
+    both = [left_id, right_id]
+    matched = cut_lineage(best_evidence(pairs, duties, evidence, dim, left_id, right_id))  # read for the mean and for the first duties
+    mean = matched.groupBy(*both).agg(F.avg("similarity").alias("responsibility_similarity"))
+    first = first_per_group(matched, both, [F.desc("similarity"), F.asc("duty")], top).groupBy(*both).agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("position", "duty", "evidence", "similarity"))),
+        lambda x: F.struct(x["duty"].alias("duty"), x["evidence"].alias("evidence"), x["similarity"].alias("similarity"))).alias("best"))
+    out = pairs.join(mean, both, "left").join(first, both, "left")
+    return out.withColumn("best", F.coalesce("best", F.array().cast(MATCHES)))

@@ -33,7 +33,7 @@ def hybrid_features(pairs: DataFrame, candidates: DataFrame, postings: DataFrame
     whole = resumes.select("text").unionByName(jobs.select("text"))
     wanted = whole.unionByName(evidence.select("text")).unionByName(duties.select("text"))
     vectors = cut_lineage(semantic.encode_texts(wanted, encoder, max_tokens))
-    stack = lambda rows, id: semantic.stack_vectors(rows.join(vectors, "text_id"), "owner", "place").withColumnRenamed("owner", id)
+    stack = lambda rows, id: semantic.vector_blocks(rows.join(vectors, "text_id"), "owner", "place").withColumnRenamed("owner", id)
     linked = cut_lineage(pairs.select("candidate_id", "posting_id").join(c_key, "candidate_id").join(p_key, "posting_id"))
     texts = linked.select("c_text", "p_text").distinct()
     aligned = semantic.alignment(texts, stack(duties, "p_text"), stack(evidence, "c_text"), dim, "c_text", "p_text")

@@ -3,6 +3,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -216,8 +217,39 @@ def test_cache_encodes_only_new_texts(spark, tmp_path):
 
 def test_alignment(spark):
     pairs = spark.createDataFrame([("c", "p"), ("c", "q")], "candidate_id string, posting_id string")
-    duties = spark.createDataFrame([("p", [1.0, 0.0, 0.0, 1.0])], "posting_id string, flat array<float>")
-    held = spark.createDataFrame([("c", [1.0, 0.0, 0.6, 0.8])], "candidate_id string, flat array<float>")
-    got = {r["posting_id"]: r for r in se.alignment(pairs, duties, held, 2).collect()}
+    duties = spark.createDataFrame([("p", 5, [1.0, 0.0]), ("p", 9, [0.0, 1.0])], "posting_id string, at int, vec array<float>")
+    held = spark.createDataFrame([("c", 1, [1.0, 0.0]), ("c", 0, [0.6, 0.8])], "candidate_id string, at int, vec array<float>")
+    got = {r["posting_id"]: r for r in se.alignment(
+        pairs, se.vector_blocks(duties, "posting_id", "at"), se.vector_blocks(held, "candidate_id", "at"), 2).collect()}
     assert got["p"]["responsibility_similarity"] == pytest.approx(0.9, abs=1e-6)
-    assert tuple(got["p"]["best"][0]) == (0, 0, 1.0) and got["q"]["responsibility_similarity"] is None and got["q"]["best"] == []
+    assert tuple(got["p"]["best"][0]) == (0, 1, 1.0) and tuple(got["p"]["best"][1])[:2] == (1, 0) and got["q"]["responsibility_similarity"] is None and got["q"]["best"] == []
+
+
+def test_alignment_of_long_documents_is_that_of_the_whole_matrix(spark):
+    rng = np.random.default_rng(7)
+    vectors = {name: rng.normal(size=(n, 6)).astype(np.float32) for name, n in (("p", 150), ("q", 64), ("c", 300), ("d", 1))}
+    vectors["c"][200] = vectors["c"][10] = vectors["p"][3]  # equal sentences in blocks of different shapes: the first one wins
+    rows = lambda names: [(n, i, [float(x) for x in v]) for n in names for i, v in enumerate(vectors[n])]
+    blocks = lambda names, id: se.vector_blocks(spark.createDataFrame(rows(names), f"{id} string, at int, vec array<float>"), id, "at")
+    duties, held = blocks("pq", "posting_id"), blocks("cd", "candidate_id")
+    assert duties.agg(F.max(F.size("flat"))).first()[0] == 64 * 6
+    pairs = spark.createDataFrame([(c, p) for c in "cd" for p in "pq"], "candidate_id string, posting_id string")
+    for r in se.alignment(pairs, duties, held, 6).collect():
+        whole = vectors[r["posting_id"]].astype(float) @ vectors[r["candidate_id"]].astype(float).T
+        best = whole.max(axis=1)
+        assert r["responsibility_similarity"] == pytest.approx(best.mean())
+        assert [b["duty"] for b in r["best"]] == np.argsort(-best, kind="stable")[:3].tolist()
+        assert all(b["evidence"] == whole[b["duty"]].round(12).argmax() for b in r["best"])
+    three = {r["duty"]: r["evidence"] for r in se.best_evidence(pairs.where("candidate_id = 'c' and posting_id = 'p'"), duties, held, 6).collect()}
+    assert len(three) == 150 and three[3] == (vectors["p"][3].astype(float) @ vectors["c"].astype(float).T).round(12).argmax()
+
+
+def test_pooling_many_chunks(spark):
+    rng = np.random.default_rng(2)
+    for dim in (1, 15, 16, 40):
+        parts, sizes = rng.normal(size=(500, dim)).astype(np.float32), rng.integers(1, 9, 500)
+        rows = [("t", i, int(n), [float(x) for x in v]) for i, (v, n) in enumerate(zip(parts, sizes, strict=True))] + [("e", 0, 1, [])]
+        df = spark.createDataFrame(rows, "text_id string, chunk int, n_tokens int, vec array<float>").repartition(5)
+        got = {r["text_id"]: r["vec"] for r in se.pool_chunks(df).collect()}
+        want = (parts.astype(float) * sizes[:, None]).sum(axis=0)
+        assert got["t"] == pytest.approx((want / np.linalg.norm(want)).tolist(), abs=1e-6) and got["e"] == []
