@@ -19,11 +19,13 @@ from pairloom.functions.binding import let
 from pairloom.functions.numbers import dot, norm
 from pairloom.functions.ordering import rank_in_group
 from pairloom.operators.ranking import first_per_group
-from pairloom.session import cut_lineage
+from pairloom.session import arrow_rows, cut_lineage
 
 Encoder = Callable[[DataFrame], DataFrame]
 #: Coordinates of a vector that are summed in one row, and vectors of a document that lie in one row.
 SLICE, BLOCK = 16, 64
+#: Two blocks of doubles a row, and so many bytes of rows go to Python at a time.
+BATCH_BYTES = 1 << 25
 
 
 def text_key(text: Column) -> Column:
@@ -148,7 +150,7 @@ def best_evidence(pairs: DataFrame, duties: DataFrame, evidence: DataFrame, dim:
     """(pair, duty, evidence, similarity): each duty's most similar sentence, the first on ties.
 
     duties (posting, first, flat) and evidence (candidate, first, flat) come from vector_blocks.  Blocks are compared in rows of bounded size and
-    each duty's maxima are merged by a partial aggregate, so long documents spread over tasks.
+    each duty's maxima are merged by a partial aggregate, so long documents spread over tasks.  Written once, in batches of bounded bytes.
     """
     d = duties.select(right_id, F.col("first").alias("_i"), F.col("flat").alias("_d"))
     e = evidence.select(left_id, F.col("first").alias("_j"), F.col("flat").alias("_e"))
@@ -157,7 +159,8 @@ def best_evidence(pairs: DataFrame, duties: DataFrame, evidence: DataFrame, dim:
     # Rounded so that equal vectors in blocks of other shapes tie.
     order = F.struct(F.round("similarity", 12).alias("s"), (-F.col("evidence")).alias("e"))
     best = found.groupBy(left_id, right_id, "duty").agg(F.max_by(F.struct("evidence", "similarity"), order).alias("_b"))
-    return best.select(left_id, right_id, "duty", "_b.*")
+    with arrow_rows(pairs.sparkSession, max(16, BATCH_BYTES // (16 * BLOCK * dim))):
+        return cut_lineage(best.select(left_id, right_id, "duty", "_b.*"))
 
 
 def alignment(pairs: DataFrame, duties: DataFrame, evidence: DataFrame, dim: int, left_id: str = "candidate_id",
@@ -167,7 +170,7 @@ def alignment(pairs: DataFrame, duties: DataFrame, evidence: DataFrame, dim: int
     duties and evidence come from vector_blocks; NULL and no duties where either side has no sentences.
     """
     both = [left_id, right_id]
-    matched = cut_lineage(best_evidence(pairs, duties, evidence, dim, left_id, right_id))  # read for the mean and for the first duties
+    matched = best_evidence(pairs, duties, evidence, dim, left_id, right_id)
     mean = matched.groupBy(*both).agg(F.avg("similarity").alias("responsibility_similarity"))
     first = first_per_group(matched, both, [F.desc("similarity"), F.asc("duty")], top).groupBy(*both).agg(F.transform(
         F.array_sort(F.collect_list(F.struct("position", "duty", "evidence", "similarity"))),
