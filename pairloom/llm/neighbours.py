@@ -4,7 +4,8 @@ Every vector is made a point at one distance from the origin by one more coordin
 largest inner products are the smallest distances.  A shard of rows is indexed by ``PROJECTIONS`` random directions, the points sorted along
 each.  A query widens a window around its own projection in all sorted arrays, radius by radius (virtual rehashing: one index serves every
 radius), and counts into how many of its windows each point falls.  Points that collide in at least ``THRESHOLD`` of the arrays are verified by
-exact inner products; widening ends when there are enough of them (20 and ``SHARE`` of the shard).  All points that pass are verified.
+exact inner products; widening ends when there are enough of them (``LEAST`` times 20 and ``SHARE``
+of the shard).  All points that pass are verified.
 
 Shards are bands of norms (a factor of the fourth root of two), dealt by hash into parts of about ``SHARD_ROWS``, so vectors of very
 different lengths don't spoil each other's index and a shard's memory is bounded; copies of one vector with other ids spread over all parts.
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from pairloom.llm.common import table
 
 NEAREST = 20
-PROJECTIONS, THRESHOLD, SHARE = 128, 0.75, 0.12
+PROJECTIONS, THRESHOLD, LEAST, SHARE = 128, 0.75, 8, 0.1
 #: Points and queries lie on the unit sphere.  The first radius, the factor from one to the next, and the window's width in radii.
 FIRST, WIDER, WINDOW = 0.8, 1.1, 2.72
 #: Rows of a shard, queries that a task holds, queries that are searched at a time.
@@ -76,7 +77,7 @@ class Shard:
     def near(self, queries: np.ndarray, most: int) -> list[np.ndarray]:
         """For each query (a row, any length) the rows that collided often enough."""
         n, needed = len(self.ids), int(np.ceil(THRESHOLD * PROJECTIONS))
-        enough = min(n, most + int(SHARE * n))
+        enough = min(n, LEAST * most + int(SHARE * n))
         values = ((queries / lengths(queries)[:, None]) @ self.across.T).T
         out: list = [None] * len(queries)
         radius, open_ = FIRST, np.arange(len(queries))
