@@ -46,8 +46,8 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def word_hashes(data: bytes) -> np.ndarray:
-    """A 64-bit hash of every word of a UTF-8 text, in order; ASCII case doesn't count.  Linear in the text, no Python loop."""
+def word_spans(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, 64-bit hashes) of the words of a UTF-8 text, in order; ASCII case doesn't count.  Linear in the text, no Python loop."""
     raw = np.frombuffer(data.translate(_LOWER), np.uint8)
     inside = np.concatenate(([False], _IS_WORD[raw], [False]))
     edges = np.flatnonzero(inside[1:] != inside[:-1])
@@ -55,7 +55,12 @@ def word_hashes(data: bytes) -> np.ndarray:
     up, down = _power_tables(len(raw) + 1)
     sums = np.zeros(len(raw) + 1, U64)
     np.cumsum((raw.astype(U64) + U64(1)) * up[: len(raw)], dtype=U64, out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U64))
+    return starts, ends, mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U64))
+
+
+def word_hashes(data: bytes) -> np.ndarray:
+    """A 64-bit hash of every word of a UTF-8 text, in order."""
+    return word_spans(data)[2]
 
 
 def shingle_hashes(data: bytes, words: int = 5) -> np.ndarray:

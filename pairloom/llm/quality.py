@@ -6,11 +6,17 @@ before the last, so that a shard has all it needs but the bigrams, of which ther
 that asked.  Each block then scores its documents whole.  A language's threshold is a quantile of the perplexities of its trusted
 documents that the model hasn't seen: of all trusted documents one in CALIBRATION, by hash, is kept out of the counts for that.
 
-Bytes are the symbols, so nothing is out of vocabulary.  All other trusted text is counted, so the model grows with the input.
+The symbols are bytes, so nothing is out of vocabulary, and one more that stands for a whole word equal to the word before it: five bytes
+can't tell that a text repeats an ordinary word, but REPEATED after the word's last bytes is as improbable as trusted text seldom repeats
+such words.  All other trusted text is counted, so the model grows with the input.
 
-Defined results: null and empty texts have no perplexity and are not kept; a language without trusted documents (or null) takes the
-quantile over all of them; without calibrating documents everything but empty texts is kept; a null doc_id is never trusted; rows that
-share a doc_id are judged each by its own text (filtering documents keeps all rows of an id of which one is kept); extra columns stay.
+A language's quantile is drawn towards that over all languages, in the proportion of BORROWED documents to its own, where that one is
+larger; the rule is the same for any number of documents.
+
+Defined results: null and empty texts have no perplexity and are not kept; a language without calibrating documents takes the quantile over
+all of them (null is a language like others); without calibrating documents everything but empty texts is kept; a null doc_id is never
+trusted; rows that share a doc_id are judged each by its own text (filtering documents keeps all rows of an id of which one is kept); extra
+columns stay.
 """
 
 from __future__ import annotations
@@ -25,27 +31,40 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import checkpointed, row_id, table, text_bytes
+from pairloom.llm.common import checkpointed, row_id, table, text_bytes, word_spans
 
 ORDER = 5
 BLOCK_BYTES = 32 << 20
 #: Of the trusted documents of a language, so many have a perplexity below its threshold; the threshold has some head-room above that.
-QUANTILE, HEADROOM, PRIOR_BYTES, CALIBRATION = 0.995, 1.1, 32, 5
-#: With fewer calibrating documents a language takes the larger of its own threshold and that of all languages.
-FEW = 100
+QUANTILE, HEADROOM, PRIOR_SYMBOLS, CALIBRATION = 0.995, 1.1, 32, 5
+#: A language's threshold is drawn towards a larger one of all languages as if so many documents had that one.
+BORROWED = 30
+#: The symbol of a repeated word; no UTF-8 text has this byte.
+REPEATED = 0xFF
 _START, _END = b"\x02" * (ORDER - 1), b"\x03"
 _CHUNK = 4 << 20
 
 
 def gram_codes(data: bytes) -> np.ndarray:
-    """The code of the n-gram that ends at each byte of a text and at its end."""
+    """The code of the n-gram that ends at each symbol of a text and at its end; the context is always the bytes before.
+
+    A word that equals the word before it, one byte apart, is one symbol together with that byte: REPEATED.
+    """
     raw = np.frombuffer(_START + data + _END, np.uint8).astype(np.int64)
     n = len(data) + 1
     codes = raw[:n].copy()
     for i in range(1, ORDER):
         codes <<= 8
         codes |= raw[i : n + i]
-    return codes
+    starts, ends, hashes = word_spans(data)
+    again = np.flatnonzero((hashes[1:] == hashes[:-1]) & (starts[1:] == ends[:-1] + 1)) + 1
+    if not len(again):
+        return codes
+    codes[starts[again] - 1] |= REPEATED
+    inside = np.zeros(n, np.int64)
+    inside[starts[again]] += 1  # each of these places belongs to one word
+    inside[ends[again]] -= 1
+    return codes[np.cumsum(inside) == 0]
 
 
 def _texts(group: pd.DataFrame) -> Iterator[tuple[int, bytes]]:
@@ -165,7 +184,7 @@ def gram_probabilities(grams: DataFrame) -> DataFrame:
 
 
 def perplexities(docs: DataFrame, trusted: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(id, doc_id, lang, n_bytes, trusted, perplexity) for every row; trusted has the doc_id of the documents to learn from."""
+    """(id, doc_id, lang, n_bytes, n_symbols, trusted, perplexity) for every row; trusted has the doc_id of the documents to learn from."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total // block_bytes))
     held = blocks(docs, n)
@@ -177,16 +196,17 @@ def perplexities(docs: DataFrame, trusted: DataFrame, block_bytes: int = BLOCK_B
 
     def score(docs: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         index, logp = pd.Index(found["gram"].to_numpy()), found["logp"].to_numpy(np.float64)
-        out = np.full(len(docs), np.nan)
+        out, n = np.full(len(docs), np.nan), np.zeros(len(docs), np.int64)
         for i, data in _texts(docs):
             if data:
                 codes = gram_codes(data)
+                n[i] = len(codes)
                 out[i] = math.exp(min(700.0, -logp[index.get_indexer(codes)].mean()))
         return pd.DataFrame({"id": docs["id"], "doc_id": docs["doc_id"].astype("Int64"), "lang": docs["lang"], "n_bytes": docs["n_bytes"],
-                             "perplexity": out})
+                             "n_symbols": n, "perplexity": out})
 
     scored = held.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(
-        score, "id long, doc_id long, lang string, n_bytes long, perplexity double")
+        score, "id long, doc_id long, lang string, n_bytes long, n_symbols long, perplexity double")
     scored = scored.withColumn("perplexity", F.when(~F.isnan("perplexity"), F.col("perplexity")))
     out = checkpointed(scored)
     held.unpersist()
@@ -197,8 +217,8 @@ def perplexities(docs: DataFrame, trusted: DataFrame, block_bytes: int = BLOCK_B
 def judged(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, headroom: float = HEADROOM) -> DataFrame:
     """(id, doc_id, lang, n_bytes, perplexity, smoothed, threshold, keep) for every row of (doc_id, text, lang); trusted: labels.quality = 1.
 
-    A text of a few bytes says little: ``smoothed``, which is held against the threshold, is its perplexity together with PRIOR_BYTES
-    bytes at the median of the language's trusted documents.
+    A text of a few symbols says little: ``smoothed``, which is held against the threshold, is its perplexity together with PRIOR_SYMBOLS
+    symbols at the median of the language's trusted documents.
     """
     good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn(
         "unseen", F.pmod(F.xxhash64("doc_id"), F.lit(CALIBRATION)) == 0)
@@ -207,16 +227,18 @@ def judged(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, headr
         "unseen", F.coalesce("unseen", F.lit(False))))
 
     def limits(value: str, name: str, rows: DataFrame, at: float) -> DataFrame:
-        """The rows with the quantile of the calibrating documents of their language, or of all."""
+        """The rows with the quantile of the calibrating documents of their language, drawn towards that of all."""
         known = rows.where(F.col("unseen") & F.col(value).isNotNull())
         found = F.percentile_approx(value, at, 10_000)
         by_lang, overall = known.groupBy("lang").agg(found.alias("_own"), F.count("*").alias("_n")), known.agg(found.alias("_all"))
         joined = rows.join(by_lang, rows["lang"].eqNullSafe(by_lang["lang"]), "left").drop(by_lang["lang"]).crossJoin(F.broadcast(overall))
-        return joined.withColumn(name, F.when(F.col("_n") >= FEW, F.col("_own")).otherwise(F.greatest("_own", "_all"))).drop("_own", "_n", "_all")
+        own, n = F.ln(F.coalesce("_own", "_all")), F.coalesce("_n", F.lit(0))
+        drawn = F.exp((n * own + BORROWED * F.greatest(own, F.ln("_all"))) / (n + BORROWED))
+        return joined.withColumn(name, drawn).drop("_own", "_n", "_all")
 
     usual = limits("perplexity", "usual", rows, 0.5)
-    n = F.col("n_bytes") + 1
-    smoothed = F.exp((n * F.ln("perplexity") + PRIOR_BYTES * F.ln(F.coalesce("usual", "perplexity"))) / (n + PRIOR_BYTES))
+    n = F.col("n_symbols")
+    smoothed = F.exp((n * F.ln("perplexity") + PRIOR_SYMBOLS * F.ln(F.coalesce("usual", "perplexity"))) / (n + PRIOR_SYMBOLS))
     known = limits("smoothed", "threshold", usual.withColumn("smoothed", smoothed), quantile).withColumn("threshold", F.col("threshold") * headroom)
     return known.select("id", "doc_id", "lang", "n_bytes", "perplexity", "smoothed", "threshold", (
         F.col("smoothed").isNotNull() & (F.col("threshold").isNull() | (F.col("smoothed") <= F.col("threshold")))).alias("keep"))

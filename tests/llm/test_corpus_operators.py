@@ -3,6 +3,7 @@
 import collections
 import importlib.util
 import math
+import re
 import sys
 from pathlib import Path
 
@@ -183,14 +184,33 @@ def test_samples_agree_as_often_as_texts_are_similar():
 
 # Quality
 
+quality_words = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
+
+
+def plain_grams(text, order=quality.ORDER):
+    """Symbol by symbol: a word equal to the one before it, one byte apart, is one symbol with that byte."""
+    data, words, grams, at = b"\x02" * (order - 1) + text + b"\x03", {}, [], 0
+    for m in quality_words.finditer(text):
+        words[m.start()] = m
+    last = None
+    while at <= len(text):
+        if at in words:
+            last = words[at]
+        after = words.get(at + 1)
+        if last and after and last.end() == at and after[0].lower() == last[0].lower():
+            grams.append(data[at : at + order - 1] + b"\xff")
+            last, at = after, after.end()
+        else:
+            grams.append(data[at : at + order])
+            at += 1
+    return grams
+
+
 def plain_kneser_ney(texts, order=quality.ORDER):
     """The textbook recursion over dictionaries."""
-    start, end = b"\x02" * (order - 1), b"\x03"
     counts = {order: collections.Counter()}
     for t in texts:
-        data = start + t + end
-        for i in range(len(t) + 1):
-            counts[order][data[i : i + order]] += 1
+        counts[order].update(plain_grams(t))
     for k in range(order - 1, 0, -1):
         counts[k] = collections.Counter(g[1:] for g in counts[k + 1])
     discount = {k: quality.discounts(collections.Counter(c.values())) for k, c in counts.items()}
@@ -215,6 +235,8 @@ def plain_kneser_ney(texts, order=quality.ORDER):
 def test_probabilities_equal_the_recursion(spark):
     rng = np.random.default_rng(8)
     rows = [(i, prose(int(rng.integers(1, 40)), rng) if i % 3 else prose(5, rng).upper() + "é!", "xy"[i % 2]) for i in range(60)] + [(90, None, "x"), (91, "", None)]
+    for i, tail in enumerate([" no no No.", "la la  la la", "go-go go", "so", "é é é\né"]):
+        rows[i] = (i, tail if i % 2 else rows[i][1] + tail, rows[i][2])
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     good = spark.createDataFrame([(i,) for i in range(60) if i % 3] + [(None,), (1,)], "doc_id long")
     p = plain_kneser_ney([rows[i][1].encode() for i in range(60) if i % 3])
@@ -223,8 +245,9 @@ def test_probabilities_equal_the_recursion(spark):
         got = {r.doc_id: r for r in quality.perplexities(docs, good, size).collect()}
         assert len(got) == 62 and got[90].perplexity is None and got[91].perplexity is None
         for i in range(60):
-            data = b"\x02" * 4 + rows[i][1].encode() + b"\x03"
-            want = math.exp(-np.mean([math.log(p(data[k : k + 5])) for k in range(len(data) - 4)]))
+            grams = plain_grams(rows[i][1].encode())
+            want = math.exp(-np.mean([math.log(p(g)) for g in grams]))
+            assert got[i].n_symbols == len(grams)
             assert math.isclose(got[i].perplexity, want, rel_tol=1e-4) and got[i].trusted == bool(i % 3)
 
 
@@ -243,6 +266,28 @@ def test_judgement(spark):
     assert quality.judged(docs.limit(0), labels).count() == 0
 
 
+def test_texts_that_repeat_ordinary_words_go(spark):
+    rng = np.random.default_rng(19)
+    rows = [(i, prose(80, rng), "a") for i in range(300)]
+    junk = [(1000 + i, " ".join(w for w in prose(6, rng).split() for _ in range(25)), "a") for i in range(20)]
+    junk.append((1100, "word " * 200_000, "a"))
+    docs = spark.createDataFrame(rows + junk, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(200)], "doc_id long, quality int, toxic int")
+    kept = {r.doc_id for r in quality.judged(docs, labels).where("keep").collect()}
+    assert not kept & {r[0] for r in junk} and len(kept) >= 295
+
+
+def test_thresholds_of_small_languages_are_drawn_smoothly(spark):
+    rng = np.random.default_rng(20)
+    rows = [(i, prose(60, rng), "a") for i in range(400)] + [(1000 + i, prose(8, rng) + " " + prose(8, rng), "b") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    limits = []
+    for n in (20, 60, 110, 200):
+        labels = spark.createDataFrame([(i, 1, 0) for i in range(400)] + [(1000 + i, 1, 0) for i in range(n)], "doc_id long, quality int, toxic int")
+        limits.append(quality.judged(docs, labels).where("lang = 'b'").agg({"threshold": "max"}).first()[0])
+    assert max(limits) / min(limits) < 1.3
+
+
 # Toxicity
 
 def test_toxicity_from_positives_alone(spark):
