@@ -9,6 +9,7 @@ from pairloom.operators import lexical as lx
 from pairloom.operators import semantic as se
 from pairloom.session import scratch_folder
 from pairloom.sources import store, tables, text_files
+from pairloom.sources.keyed import KeyedTable
 
 LINE = "l_orderkey long, l_linenumber int, l_comment string, price double"
 
@@ -88,6 +89,17 @@ def appended_activity(spark, folder):
     return spark.read.parquet(f"{place}/orders").groupBy("o_custkey").agg(F.count("*").alias("n_orders")).join(both, "o_custkey")
 
 
+def changed_orders(spark, folder):
+    """Even orders as a keyed table; every third order changes, orders of customers in debt go, then older changes of every fifth order arrive."""
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", F.col("o_totalprice").cast("double").alias("price"), F.lit(1).alias("version"))
+    nth = lambda n: orders.where(F.col("o_orderkey") % n == 0)
+    debtors = table(spark, folder, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("o_custkey"))
+    kept = KeyedTable(spark, scratch_folder(spark), ["o_orderkey"], 16).create(nth(2))
+    kept.upsert(nth(3).withColumns({"price": F.col("price") * 2, "version": F.lit(2)}), ["version"])
+    kept.delete(orders.join(debtors, "o_custkey", "left_semi"))
+    return kept.upsert(nth(5).withColumn("price", F.col("price") * 3), ["version"]).read()
+
+
 def cached_embeddings(spark, folder):
     """Benchmark first, then documents: only new texts are encoded, and each setting has its own vectors."""
     place, encoder = scratch_folder(spark), se.hashed_bag_encoder(16)
@@ -106,7 +118,7 @@ def stored_vocabulary(spark, folder):
 
 
 QUERIES = {f.__name__: f for f in [csv_round_trip, csv_as_text, csv_pruned, parts_round_trip, json_round_trip, scanned_files, ingested_files,
-                                   appended_activity, cached_embeddings, stored_vocabulary]}
+                                   appended_activity, changed_orders, cached_embeddings, stored_vocabulary]}
 
 LINES = """lines as (select l_orderkey::bigint as l_orderkey, l_linenumber::int as l_linenumber,
     case when l_linenumber = 1 then '' else 'say "' || l_returnflag || '",' || chr(10) || 'then ' || l_linestatus end as l_comment,
@@ -119,5 +131,10 @@ ORACLES = {
     "json_round_trip": "select doc_id, lang, source, n_chars from documents",
     "scanned_files": r"select item_id, md5(regexp_replace(text, '\n+$', '')) as text_md5 from benchmark",
     "ingested_files": "select item_id, 'read' as state from benchmark where trim(text) <> ''",
+    "changed_orders": """with o as (select o_orderkey, o_custkey, o_totalprice::double as price,
+            (o_orderkey % 2 = 0 or o_orderkey % 3 = 0) and o_custkey not in (select c_custkey from customer where c_acctbal < 0) as stays from orders)
+        select o_orderkey, o_custkey, price * case when stays and o_orderkey % 3 = 0 then 2 when o_orderkey % 5 = 0 then 3 else 1 end as price,
+            case when stays and o_orderkey % 3 = 0 then 2 else 1 end::int as version
+        from o where stays or o_orderkey % 5 = 0""",
     "appended_activity": "select o_custkey, count(*) as n_orders, count(*) as n_activities from orders group by all",
 }

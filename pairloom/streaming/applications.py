@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from pairloom.operators.applications import application_state
+from pairloom.sources.keyed import KeyedTable
 
 
 def read_events(spark: SparkSession, table: str, schema, files_per_batch: int = 1) -> DataFrame:
@@ -34,19 +37,22 @@ def activity_counts_stream(events: DataFrame, at: str = "ts", kind: str = "event
     return activity_counts(timed.withWatermark(at, late), at, kind, window)
 
 
-def write_state(stream: DataFrame, table_path: str, checkpoint: str) -> StreamingQuery:
-    """Each micro-batch's changed rows are written under their batch number; readers take the highest per key.
+def write_state(stream: DataFrame, table_path: str, checkpoint: str, keys: Sequence[str] = ("application_id",), buckets: int = 32) -> StreamingQuery:
+    """Each micro-batch's changed rows replace those of their keys in one table with a row per key.
 
-    A batch that is run again after a failure overwrites its own folder, so nothing is counted twice.
+    Rows carry their batch number, and a batch that is run again after a failure puts the same rows in place, so nothing is counted twice
+    and an older batch never wins.  Only the buckets of changed keys are rewritten.
     """
     def store(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{table_path}/batch={number}")
+        table = KeyedTable(batch.sparkSession, table_path, keys, buckets)
+        if not table.exists():
+            table.create(batch.limit(0).withColumn("batch", F.lit(0).cast("long")))
+        table.upsert(batch.withColumn("batch", F.lit(number).cast("long")), ["batch"])
 
     return stream.writeStream.outputMode("update").foreachBatch(store).option("checkpointLocation", checkpoint).trigger(
         availableNow=True).start()
 
 
-def read_state(spark: SparkSession, table_path: str, keys: list[str]) -> DataFrame:
-    rows = spark.read.parquet(table_path)
-    rest = [c for c in rows.columns if c not in (*keys, "batch")]
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_row")).select(*keys, "_row.*")
+def read_state(spark: SparkSession, table_path: str, keys: Sequence[str], buckets: int = 32) -> DataFrame:
+    """One row per key, as the last batch left it."""
+    return KeyedTable(spark, table_path, keys, buckets).read().drop("batch")

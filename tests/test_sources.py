@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from pairloom.operators import privacy
 from pairloom.sources import store, tables, text_files
+from pairloom.sources.keyed import KeyedTable
 from pairloom.streaming import applications as sa
 
 
@@ -53,6 +54,40 @@ def test_upsert_and_cascade(spark):
     assert sorted((r["id"], r["job_id"]) for r in out["apps"].collect()) == [(20, None), (21, 2), (22, None)]
 
 
+def bucket_files(place):
+    return {f: (f.stat().st_mtime_ns, f.stat().st_size) for f in place.rglob("*.parquet")}
+
+
+def test_keyed_table_rewrites_only_touched_buckets(spark, tmp_path):
+    schema = "id long, part string, at int, v string"
+    rows = [(i, "a" if i % 2 else None, 1, f"v{i}") for i in range(200)]
+    kept = KeyedTable(spark, str(tmp_path / "t"), ["id", "part"], 16)
+    assert not kept.exists()
+    kept.create(spark.createDataFrame(rows, schema))
+    want, before = {r[:2]: r[2:] for r in rows}, bucket_files(tmp_path)
+    assert kept.exists() and {(r.id, r.part): (r.at, r.v) for r in kept.read().collect()} == want
+
+    changes = [(4, None, 2, "newer"), (5, "a", 0, "older"), (6, None, 1, "same"), (7, "b", 1, "other part"), (6, None, 0, "older still"), (None, "a", 1, "no id")]
+    for _ in range(2):  # a repeated change is harmless
+        kept.upsert(spark.createDataFrame(changes, schema), ["at"])
+    want |= {(4, None): (2, "newer"), (6, None): (1, "same"), (7, "b"): (1, "other part"), (None, "a"): (1, "no id")}
+    got = kept.read().collect()
+    assert len(got) == len(want) and {(r.id, r.part): (r.at, r.v) for r in got} == want
+    after = bucket_files(tmp_path)
+    same = {f for f in before if after.get(f) == before[f]}
+    changed = {f.parent.name for f in set(after) - same}
+    assert same and len(changed) <= 5 and not changed & {f.parent.name for f in same}
+
+    kept.delete(spark.createDataFrame([(4, None), (9999, "z"), (None, "a")], "id long, part string"))
+    del want[4, None], want[None, "a"]
+    assert {(r.id, r.part): (r.at, r.v) for r in kept.read().collect()} == want
+    kept.delete(kept.read())
+    assert kept.read().count() == 0
+    kept.upsert(spark.createDataFrame(rows[:3], schema), ["at"]).upsert(spark.createDataFrame([], schema), ["at"])
+    assert kept.read().count() == 3
+    assert KeyedTable(spark, str(tmp_path / "e"), ["id"], 4).create(spark.createDataFrame([], schema)).read().count() == 0
+
+
 def test_privacy_scan(spark):
     df = spark.createDataFrame([(1, "write to a.b@example.com"), (2, "call (555) 123-4567 or www.x.org"), (3, "nothing 2024")], "id int, text string")
     got = {(r["id"], r["finding"]) for r in privacy.scan_texts(df, "id", "text").collect()}
@@ -77,6 +112,8 @@ def test_late_rows_are_dropped_and_state_is_order_free(spark, tmp_path):
     state(), days()
     got = {r["application_id"]: (r["status"], r["n_changes"]) for r in sa.read_state(spark, str(tmp_path / "state"), ["application_id"]).collect()}
     assert got == {1: ("applied", 3), 2: ("offer", 1)}
+    stored = spark.read.parquet(str(tmp_path / "state" / "32_buckets")).where("_entry")
+    assert stored.count() == 2  # one row per application, whatever the number of batches
     counted = spark.read.parquet(str(tmp_path / "days")).collect()
     assert [(r["day"].day, r["n"]) for r in counted] == [(1, 1)]
 
