@@ -167,17 +167,48 @@ def _fingerprint(edges: DataFrame) -> tuple:
     return row[0], row[1]
 
 
+def same_bags(texts: DataFrame) -> DataFrame:
+    """(doc_id, a): the smallest id of the texts with the same bag of words, for every text that has words.
+
+    The sorted tokens of a text name its bag, so copies are linked without a comparison.
+    """
+    words = F.array_sort(tx.tokens(F.lower("text"), tx.WORD_TOKEN))
+    bags = texts.select("doc_id", words.alias("_words")).where(F.size("_words") > 0).select(
+        "doc_id", F.sha2(F.array_join("_words", " "), 256).alias("bag"))
+    return bags.join(bags.groupBy("bag").agg(F.min("doc_id").alias("a")), "bag").select("doc_id", "a")
+
+
+def similar_classes(docs: DataFrame, threshold: float = fv.NEAR_DUP_COSINE) -> tuple[DataFrame, DataFrame]:
+    """((doc_id, class_id, n_links) for every document, (a, b, cosine) of similar classes): the similarity join without expanded copies.
+
+    A class is the documents with one bag of words, named by its smallest doc_id; two documents are linked if they are of one class or of
+    similar ones, and n_links counts a document's partners.  N copies make N rows of the first table and no pair, and what is compared and
+    counted is classes only.  Texts without words are a class if they are equal; null counts as the empty text; rows are kept as they are.
+    """
+    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("_text", F.sha2("text", 256))
+    owners = cut_lineage(keyed.groupBy("_text").agg(F.min("doc_id").alias("doc_id"), F.any_value("text").alias("text"), F.count("*").alias("copies")))
+    texts = owners.select("doc_id", "text")
+    placed = cut_lineage(owners.select("_text", "doc_id", "copies").join(same_bags(texts), "doc_id", "left").select(
+        "_text", "doc_id", F.coalesce("a", "doc_id").alias("class_id"), "copies"))
+    sizes = placed.groupBy("class_id").agg(F.sum("copies").alias("size"))
+    followers = placed.where(F.col("class_id") != F.col("doc_id")).select("doc_id")
+    vectors = cut_lineage(unigram_vectors(texts).join(followers, "doc_id", "left_anti"))
+    candidates = pairs_by_second_term(cut_lineage(prefixes(vectors, threshold)), vectors, threshold).distinct()
+    edges = cut_lineage(cosines(candidates, vectors).where(F.col("cosine") >= threshold))
+    ends = edges.select(F.col("a").alias("class_id"), F.col("b").alias("_other")).unionByName(
+        edges.select(F.col("b").alias("class_id"), F.col("a").alias("_other")))
+    partners = ends.join(sizes.select(F.col("class_id").alias("_other"), "size"), "_other").groupBy("class_id").agg(F.sum("size").alias("_linked"))
+    links = sizes.join(partners, "class_id", "left").select("class_id", (F.col("size") - 1 + F.coalesce("_linked", F.lit(0))).alias("n_links"))
+    rows = keyed.select("doc_id", "_text").join(placed.select("_text", "class_id").join(links, "class_id"), "_text")
+    return rows.select("doc_id", "class_id", "n_links"), edges
+
+
 def near_duplicate_groups(docs: DataFrame, threshold: float = fv.NEAR_DUP_COSINE) -> DataFrame:
     """(doc_id, group_id) for every document (doc_id, text); group_id is the smallest doc_id of the group."""
     keyed = docs.select("doc_id", F.sha2("text", 256).alias("_text"), "text")
     owners = keyed.groupBy("_text").agg(F.min("doc_id").alias("owner"), F.any_value("text").alias("text"))
     texts = cut_lineage(owners.select(F.col("owner").alias("doc_id"), "text"))
-    # One vector per bag of words: the sorted tokens of a text name it, and copies are linked without a comparison.
-    words = F.array_sort(tx.tokens(F.lower("text"), tx.WORD_TOKEN))
-    bags = texts.select("doc_id", words.alias("_words")).where(F.size("_words") > 0).select(
-        "doc_id", F.sha2(F.array_join("_words", " "), 256).alias("bag"))
-    lead = bags.groupBy("bag").agg(F.min("doc_id").alias("a"))
-    same = cut_lineage(bags.join(lead, "bag").where(F.col("a") != F.col("doc_id")).select("a", F.col("doc_id").alias("b")))
+    same = cut_lineage(same_bags(texts).where(F.col("a") != F.col("doc_id")).select("a", F.col("doc_id").alias("b")))
     edges = linking_edges(texts, threshold, same.select(F.col("b").alias("doc_id")))
     components = connected_components(texts, edges.select("a", "b").unionByName(same))
     owned = keyed.select("doc_id", "_text").join(owners.select("_text", "owner"), "_text")

@@ -60,7 +60,7 @@ def vectors(texts):
     out = []
     for d in docs:
         v = {w: (1 + math.log(c)) * (math.log((1 + len(docs)) / (1 + df[w])) + 1) for w, c in d.items()}
-        n = math.sqrt(sum(x * x for x in v.values()))
+        n = math.sqrt(sum(x * x for x in v.values())) or 1
         out.append({w: x / n for w, x in v.items()})
     return out
 
@@ -126,6 +126,32 @@ def test_all_edges_of_a_large_bucket(spark):
     assert {r["doc_id"]: r["group_id"] for r in nd.near_duplicate_groups(df).collect()} == brute_groups(texts)
 
 
+def test_similar_classes_equal_all_pairs(spark):
+    """Thousands of copies, the same words in another order, near copies, texts without words, nulls and repeated rows."""
+    rng = random.Random(29)
+    base = [f"m{i:03d}" for i in range(60)]
+    near = [" ".join([*base, *rng.sample([f"e{k:02d}" for k in range(40)], 2)]) for _ in range(12)]
+    texts = near + [" ".join(reversed(near[0].split())), near[1].upper()] + [" ".join(base)] * 3000 + ["", None, "!", "a", "! "] + ["one two", "one  two"]
+    texts += [f"other{i} thing{i % 7} word{i % 3}" for i in range(40)]
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame([(i, t, 5, "x") for i, t in rows] + [(rows[0][0], rows[0][1], 5, "x")], "doc_id long, text string, class_id int, _text string")
+    got, pairs = nd.similar_classes(df)
+    plain = ["" if t is None else t for t in [*texts, texts[0]]]
+    kinds = list(dict.fromkeys(plain))
+    vs, n = vectors(kinds), Counter(plain)
+    links = {k: n[k] - 1 + sum(n[o] for j, o in enumerate(kinds) if j != i and sum(x * vs[j].get(w, 0) for w, x in vs[i].items()) >= 0.9)
+             for i, k in enumerate(kinds)}
+    bag = lambda t: tuple(sorted(re.findall(r"\w\w+", t.lower()))) or t
+    first = {}
+    for i, t in enumerate(plain[:-1]):
+        first.setdefault(bag(t), i)
+    rows_got = got.collect()
+    assert len(rows_got) == len(plain)
+    assert all((r.class_id, r.n_links) == (first[bag(plain[r.doc_id])], links[plain[r.doc_id]]) for r in rows_got)
+    assert pairs.count() <= 13 * 12 // 2  # classes only
+    assert nd.similar_classes(df.limit(0))[0].count() == 0
+
+
 def test_long_chain_of_components(spark):
     nodes = spark.createDataFrame([(i,) for i in range(60)], "doc_id long")
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 39)] + [(50, 55), (55, 52)], "a long, b long")
