@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairloom import fixed_values as fv
-from pairloom.functions.ordering import exact_quantiles
+from pairloom.functions.ordering import exact_quantiles, hot_rows
 from pairloom.operators.ranking import first_per_group, mean_rank
 
 SCORES = {"tfidf": "tfidf_score", "semantic": "semantic_score", "hybrid": "hybrid_score"}
@@ -28,12 +28,18 @@ def join_predictions(first: DataFrame, others: Sequence[DataFrame], keys: Sequen
     return out
 
 
-def posting_flags(preds: DataFrame) -> DataFrame:
+def posting_flags(preds: DataFrame, at_most: int | None = None) -> DataFrame:
     """One row per posting that can fail: each model's first candidate, its success, and the inputs of the tags.
 
     All per-posting facts come from partial aggregates, except the two rankings and the median, which are exact and spread
-    large postings over tasks.
+    large postings over tasks.  Where at_most says that no posting is large, rankings, median and facts are taken together, in one pass
+    over preds that are dealt by posting.
     """
+    together = at_most is not None and at_most <= hot_rows(preds)
+    if together:
+        place = lambda score: F.rank().over(Window.partitionBy("posting_id").orderBy(F.col(score).desc_nulls_last())) + (
+            F.count("*").over(Window.partitionBy("posting_id", score)) - 1) / 2
+        preds = preds.withColumn("_lex", place("tfidf_score")).withColumn("_sem", place("semantic_score"))
     label, rel = F.col("label_id"), F.col("label_id") > 0
     tops = []
     for model, score in SCORES.items():
@@ -46,8 +52,12 @@ def posting_flags(preds: DataFrame) -> DataFrame:
         F.coalesce(F.bool_or(rel & (F.col("experience_gap") > 0)), F.lit(False)).alias("relevant_gap"),
         F.coalesce(F.bool_and(F.when(rel, F.col("experience_match").isNull())), F.lit(True)).alias("no_experience"),
         F.min_by("responsibilities_from_section", "candidate_id").alias("from_section"),
-        F.min_by("required_skill_count", "candidate_id").alias("n_required"))
+        F.min_by("required_skill_count", "candidate_id").alias("n_required"),
+        *([F.max(F.when(rel, F.abs(F.col("_sem") - F.col("_lex")))).alias("rank_gap"), F.percentile("semantic_similarity", 0.5).alias("median_semantic")]
+          if together else []))
     facts = facts.where((F.col("n_relevant") > 0) & (F.col("n_relevant") < F.col("n_candidates")))
+    if together:
+        return facts
     median = exact_quantiles(preds, ["posting_id"], "semantic_similarity", [0.5]).select("posting_id", F.col("quantile").alias("median_semantic"))
     slim = preds.select("posting_id", "candidate_id", "label_id", "tfidf_score", "semantic_score")
     lexical = mean_rank(slim, "tfidf_score", "_lex").select("posting_id", "candidate_id", "_lex")
@@ -57,9 +67,9 @@ def posting_flags(preds: DataFrame) -> DataFrame:
     return facts.join(median, "posting_id", "left").join(apart, "posting_id")
 
 
-def error_table(preds: DataFrame) -> DataFrame:
-    """One row per (category, posting): tops, the failing model's wrong candidate and the seven tags."""
-    flags = posting_flags(preds)
+def error_table(preds: DataFrame, at_most: int | None = None) -> DataFrame:
+    """One row per (category, posting): tops, the failing model's wrong candidate and the seven tags; at_most as in posting_flags."""
+    flags = posting_flags(preds, at_most)
     ok = {m: F.col(f"top_{m}.label_id") > 0 for m in SCORES}
     rules = [(fv.ERROR_CATEGORIES[0], ok["tfidf"] & ~ok["semantic"], "semantic"), (fv.ERROR_CATEGORIES[1], ok["semantic"] & ~ok["tfidf"], "tfidf"),
              (fv.ERROR_CATEGORIES[2], ok["hybrid"] & ~ok["semantic"], "semantic"), (fv.ERROR_CATEGORIES[3], ok["semantic"] & ~ok["hybrid"], "hybrid"),
