@@ -126,6 +126,67 @@ def test_all_edges_of_a_large_bucket(spark):
     assert {r["doc_id"]: r["group_id"] for r in nd.near_duplicate_groups(df).collect()} == brute_groups(texts)
 
 
+def crowded_texts():
+    """Near copies of three texts, and short texts that share a term and little else."""
+    rng = random.Random(5)
+    bases = [[f"b{k}w{i:02d}" for i in range(40)] for k in range(3)]
+    texts = []
+    for i in range(75):
+        base = list(bases[i % 3])
+        for _ in range(rng.choice([0, 1, 2, 3])):
+            base[rng.randrange(40)] = f"x{rng.randrange(60)}"
+        texts.append(" ".join(base))
+    texts += [" ".join(["rare", "odd", *rng.sample([f"c{k}" for k in range(12)], 3)]) for _ in range(60)]
+    return list(dict.fromkeys(texts))
+
+
+def all_pairs(texts):
+    vs = vectors(texts)
+    return {(j, i) for i in range(len(vs)) for j in range(i) if sum(x * vs[j].get(w, 0) for w, x in vs[i].items()) >= 0.9}
+
+
+def test_edges_are_those_of_all_pairs_whether_buckets_are_split_or_not(spark):
+    texts = crowded_texts()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = all_pairs(texts)
+    for rows in (4, nd.DIRECT_ROWS):
+        got = [(r["a"], r["b"]) for r in nd.similar_edges(df, direct_rows=rows).collect()]
+        assert set(got) == want and len(got) == len(want) > 100
+
+
+def test_small_buckets_are_not_multiplied_by_second_terms(spark):
+    """A long text's few partners are found from its rare terms alone: as many rows as pairs of the buckets, and each vector is one row."""
+    common = [f"c{i:03d}" for i in range(150)]
+    texts = [" ".join([*common[i % 7:], *[f"r{i // 2}x{k}" for k in range(30)]]) for i in range(120)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = nd.unigram_vectors(df)
+    assert found.rows.count() == 120 and found.n == 120
+    assert nd.similar_pairs(found, 0.9).count() <= 60 * 30
+    assert {(r["a"], r["b"]) for r in nd.similar_edges(df).collect()} == all_pairs(texts)
+
+
+def test_groups_through_pivots_are_those_of_all_pairs(spark):
+    texts = crowded_texts()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = brute_groups(texts)
+    for rows in (4, nd.PIVOT_ROWS):
+        edges = nd.linking_edges(df, pivot_rows=rows)
+        got = {r["doc_id"]: r["component"] for r in nd.connected_components(df, edges).collect()}
+        assert got == want
+
+
+def test_a_vector_is_sent_once_to_a_cell_and_meets_all_its_partners_there(spark):
+    """One row a distinct pair, whatever number of buckets it was found in, with the exact cosine."""
+    texts = crowded_texts()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = nd.unigram_vectors(df)
+    pairs = spark.createDataFrame([(a, b, cell) for a in range(20) for b in range(a + 1, 20) for cell in (a, b, 7 - a)], "a long, b long, cell long")
+    got = {(r["a"], r["b"]): r["cosine"] for r in nd.cosines(pairs, found).collect()}
+    vs = vectors(texts)
+    assert len(got) == 190
+    assert all(abs(c - sum(x * vs[b].get(w, 0) for w, x in vs[a].items())) < 1e-9 for (a, b), c in got.items())
+
+
 def test_similar_classes_equal_all_pairs(spark):
     """Thousands of copies, the same words in another order, near copies, texts without words, nulls and repeated rows."""
     rng = random.Random(29)
