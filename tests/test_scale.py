@@ -30,6 +30,21 @@ def test_blocks_of_candidates_give_the_rows_of_one_broadcast(spark):
     assert whole.columns == blocks.columns
 
 
+def test_blocks_of_dealt_pairs_shuffle_neither_pairs_nor_postings(spark):
+    pairs = spark.createDataFrame([(p, c) for p in (1, 2, None) for c in (*range(9), None)], "posting_id long, candidate_id long")
+    postings = spark.createDataFrame([(1, "a"), (2, "b"), (2, "c"), (None, "d")], "posting_id long, p string")
+    candidates = spark.createDataFrame([(c, str(c)) for c in (0, 1, 1, 2, 3, 5, 8, None)], "candidate_id long, c string")
+    whole, _ = pf.with_both_sides(pairs, postings, candidates)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        blocks, still = pf.with_both_sides(ex.by_posting(pairs, 10), postings, candidates, rows=3, parts=ex.posting_parts(pairs, 10))
+        assert "hashpartitioning" not in plan_of(blocks) and not still
+        assert rows_of(whole) == rows_of(blocks) and whole.columns == blocks.columns
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_models_of_dealt_pairs_are_ranked_without_another_shuffle(spark):
     rows = [(p, c, (p + c) % 3, float(c), float(-c)) for p in range(20) for c in range(8)]
     pairs = spark.createDataFrame(rows, "posting_id long, candidate_id long, label_id int, x double, y double")
