@@ -166,9 +166,13 @@ def configuration_values(features: DataFrame, configurations: dict[str, Sequence
 
 
 def configuration_rows(values: DataFrame, configurations: dict[str, Sequence[float]], keep: Sequence[str]) -> DataFrame:
-    """(keep, config_index, configuration, score) of the arrays of scores."""
+    """(keep, config_index, configuration, score) of the arrays of scores.
+
+    The arrays are never NULL or empty, so the outer form gives the same rows; for the plain one Spark infers a filter on the array's size, which it
+    pushes below shuffles and into joins with all formulas of the scores written out.
+    """
     names = F.array(*map(F.lit, configurations))
-    return values.select(*keep, F.posexplode("_scores").alias("config_index", "score")).select(
+    return values.select(*keep, F.posexplode_outer("_scores").alias("config_index", "score")).select(
         *keep, "config_index", F.get(names, F.col("config_index")).alias("configuration"), "score")
 
 

@@ -1,10 +1,13 @@
 """Shared steps that keep pairs slim: the same rows by every way they can be joined, dealt, bounded and drawn."""
 
 import random
+from functools import reduce
 
 import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pairloom import fixed_values as fv
 from pairloom.functions import ordering
 from pairloom.operators import errors as er
 from pairloom.operators import pair_features as pf
@@ -55,6 +58,19 @@ def test_models_of_dealt_pairs_are_ranked_without_another_shuffle(spark):
     assert rows_of(per) == rows_of(rk.posting_metrics(ex.scorers_long(pairs, models), "score", ["model"]))
 
 
+def test_configurations_of_pairs_leave_no_filter_of_their_formulas(spark):
+    names = [*fv.COMPONENTS, *fv.COUNT_OF_COVERAGE.values()]
+    rows = [(p, c, (p + c) % 3, *[None if (p * c + i) % 4 == 0 else (p + c + i) / 20 for i in range(len(fv.COMPONENTS))], p % 2, c % 2) for p in range(4) for c in range(5)]
+    pairs = spark.createDataFrame(rows, "posting_id long, candidate_id long, label_id int, " + ", ".join(
+        f"{n} {'double' if n in fv.COMPONENTS else 'int'}" for n in names))
+    bounds = {"semantic_similarity": (0.1, 0.4)}
+    scored = pf.configuration_rows(ex.by_posting(pf.configuration_values(pairs, fv.WEIGHTINGS, bounds, ex.PAIR), 10), fv.WEIGHTINGS, ex.PAIR)
+    assert "size(" not in plan_of(scored)
+    apart = [pairs.select(*ex.PAIR, F.lit(i).alias("config_index"), F.lit(name).alias("configuration"), pf.combine(
+        pf.component_values(bounds), dict(zip(fv.COMPONENTS, weights))).alias("score")) for i, (name, weights) in enumerate(fv.WEIGHTINGS.items())]
+    assert rows_of(scored) == rows_of(reduce(DataFrame.unionByName, apart)) and scored.count() == 20 * len(fv.WEIGHTINGS)
+
+
 def test_only_the_splits_asked_for_are_made(spark):
     pairs = spark.createDataFrame([(p, c, c % 3, c) for p in range(3) for c in range(60)], "posting_id long, candidate_id long, label_id int, candidate_group long")
     every, held = ex.repeated_splits(pairs), ex.repeated_splits(pairs, splits=("validation", "test"))
