@@ -75,7 +75,7 @@ def hashed_bag_encoder(dim: int = 256) -> Encoder:
 def pool_chunks(chunks: DataFrame, id: str = "text_id") -> DataFrame:
     """(id, vec): mean of a text's chunk vectors weighted by chunk length, back to length 1, single precision.
 
-    Vectors are added slice by slice in partial sums that tasks merge, so a text's chunks never meet in one row, however many there are.
+    A mean of length 0, as that of a text without words, stays 0.  Vectors are added slice by slice in partial sums that tasks merge, so a text's chunks never meet in one row, however many there are.
     """
     count = F.greatest(F.ceil(F.size("vec") / F.lit(SLICE)), F.lit(1)).cast("int")
     slices = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.struct(i.alias("slice"), F.slice("vec", i * SLICE + 1, SLICE).alias("part")))
@@ -86,7 +86,7 @@ def pool_chunks(chunks: DataFrame, id: str = "text_id") -> DataFrame:
     whole = sums.groupBy(id).agg(F.max("dim").alias("dim"), F.array_sort(F.collect_list(F.struct(
         "slice", F.array(*[f"_{i}" for i in range(SLICE)]).alias("part")))).alias("_s"))
     summed = F.slice(F.flatten(F.transform("_s", lambda x: x["part"])), F.lit(1), F.col("dim"))
-    return whole.select(id, let(summed, lambda s: norm(s), lambda s, n: F.transform(s, lambda x: (x / n).cast("float"))).alias("vec"))
+    return whole.select(id, let(summed, lambda s: F.greatest(norm(s), F.lit(1e-300)), lambda s, n: F.transform(s, lambda x: (x / n).cast("float"))).alias("vec"))
 
 
 def encode_texts(requests: DataFrame, encoder: Encoder, max_tokens: int = 510, strategy: str = "chunk_mean",

@@ -298,6 +298,15 @@ def test_cache_encodes_only_new_texts(spark, tmp_path):
     assert all(abs(sum(x * x for x in r["vec"]) - 1) < 1e-5 for r in table.collect())
 
 
+def test_texts_without_words_have_no_direction(spark, tmp_path):
+    from pairloom.catalog import documents
+    texts = spark.createDataFrame([(1, "rope and sails"), (2, "  "), (3, "")], "doc_id long, text string")
+    got = {r["text_id"]: r["vec"] for r in se.encode_texts(texts, se.hashed_bag_encoder(16), 128).collect()}
+    assert len(got) == 2 and sorted(round(sum(x * x for x in v), 5) for v in got.values()) == [0.0, 1.0]
+    texts.write.parquet(str(tmp_path / "documents.parquet"))
+    assert documents.hashed_embeddings(spark, str(tmp_path)).count() == 1  # as in SQL
+
+
 def test_alignment(spark):
     pairs = spark.createDataFrame([("c", "p"), ("c", "q")], "candidate_id string, posting_id string")
     duties = spark.createDataFrame([("p", 5, [1.0, 0.0]), ("p", 9, [0.0, 1.0])], "posting_id string, at int, vec array<float>")
