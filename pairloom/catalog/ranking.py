@@ -9,6 +9,7 @@ from pairloom.catalog.inputs import order_lines, ranked_pairs, with_views
 from pairloom.functions.shape import as_rows
 from pairloom.operators import classify as cl
 from pairloom.operators import ranking as rk
+from pairloom.session import written
 
 SCORES = ["price", "quantity", "offer"]
 
@@ -71,7 +72,7 @@ def majority_reference(spark, folder):
 
 def score_percentile(spark, folder):
     """Where each line's price stands among the prices of label 2."""
-    pairs = ranked_pairs(spark, folder).select("posting_id", "candidate_id", "label_id", F.col("price").alias("score"))
+    pairs = written(ranked_pairs(spark, folder).select("posting_id", "candidate_id", "label_id", F.col("price").alias("score")))
     return cl.score_percentile(pairs.select("posting_id", "candidate_id", "score"), pairs.where("label_id = 2").select("score"))
 
 

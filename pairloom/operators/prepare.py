@@ -40,14 +40,12 @@ def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> D
 def settle_pairs(df: DataFrame, keys: Sequence[str], label: str, order: Sequence[Column]) -> DataFrame:
     """One row per (keys): n_rows, n_labels, and the first row's other columns.
 
-    n_labels > 1 marks a pair with conflicting labels; n_rows above n_labels are exact duplicates.
+    n_labels > 1 marks a pair with conflicting labels; n_rows above n_labels are exact duplicates.  One shuffle, after a partial aggregate.
     """
     rest = [c for c in df.columns if c not in keys]
-    by_label = df.groupBy(*keys, label).agg(
-        F.count("*").alias("_n"), F.min_by(F.struct(*rest), F.struct(*order)).alias("_first"),
-        F.min(F.struct(*order)).alias("_order"))
-    return by_label.groupBy(*keys).agg(
-        F.sum("_n").alias("n_rows"), F.count("*").alias("n_labels"), F.min_by("_first", "_order").alias("_first")
+    labels = F.size(F.collect_set(label)) + F.max(F.col(label).isNull().cast("int"))  # a handful of a pair
+    return df.groupBy(*keys).agg(
+        F.count("*").alias("n_rows"), labels.cast("long").alias("n_labels"), F.min_by(F.struct(*rest), F.struct(*order)).alias("_first")
     ).select(*keys, "n_rows", "n_labels", "_first.*").select(*df.columns, "n_rows", "n_labels")
 
 

@@ -29,6 +29,14 @@ def prepared(spark, rows):
     return clean, settled
 
 
+
+def test_pairs_are_settled_in_one_shuffle(spark):
+    rows = [(1, 1, 0, 5), (1, 1, 0, 3), (1, 1, 2, 4), (1, 2, None, 1), (1, 2, 1, 0), (None, 3, 1, 2), (None, 3, 1, 2)]
+    settled = pp.settle_pairs(spark.createDataFrame(rows, "posting_id int, candidate_id int, label_id int, at int"),
+                              ["posting_id", "candidate_id"], "label_id", [F.col("at")])
+    assert settled._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert {tuple(r) for r in settled.collect()} == {(1, 1, 0, 3, 3, 2), (1, 2, 1, 0, 2, 2), (None, 3, 1, 2, 2, 1)}
+
 def test_drops_by_cause(spark):
     rows = raw_rows()
     rows += [rows[0], (rows[1][0], rows[1][1], "Good Fit" if rows[1][2].strip() != "Good Fit" else "No Fit"), ("  ", rows[2][1], "No Fit")]
