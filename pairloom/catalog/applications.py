@@ -19,7 +19,9 @@ from pairloom.functions.numbers import clamp, half_up
 from pairloom.operators import applications as ap
 from pairloom.operators import letters as lt
 from pairloom.operators import match_score as ms
+from pairloom.operators import pair_features as pf
 from pairloom.operators.prepare import intake_rules, quality_gates
+from pairloom.plans import experiment as ex
 from pairloom.plans.report import band_counts
 from pairloom.session import scratch_folder, spread
 from pairloom.sources import store
@@ -154,18 +156,20 @@ def titled_matches(spark, folder):
 
 
 def match_parts(spark, folder):
-    """Five scores and the overall score of every trading pair, with strengths, gaps and advice."""
-    pairs, demanded, offered = mt.trade(spark, folder)
+    """Five scores and the overall score of every trading pair, with strengths, gaps and advice; pairs meet one row a side."""
+    lines, at_most = mt.trade_rows(spark, folder)
+    pairs, demanded, offered = mt.trade(spark, folder, (lines, at_most))
     # The taxonomy lists the brands from the last to the first.
     demanded = demanded.where("status <> 'uncertain'").withColumn(
         "position", -F.regexp_extract("skill", "[0-9]+", 0).cast("int"))
     synonyms = spark.createDataFrame([("Brand#1", "Brand#11"), ("Brand#2", "Brand#22"), ("Brand#2", "Brand#12")], "skill string, synonym string")
-    out = ms.skill_part(pairs, demanded, offered, synonyms)
+    held, asked = ms.named_skills(demanded, offered, synonyms)
     years = lambda c: F.floor(F.greatest(F.col(c), F.lit(0.0)) / 1000).cast("int")
     suppliers = table(spark, folder, "supplier").select(F.col("s_suppkey").alias("candidate_id"), years("s_acctbal").alias("candidate_years"),
                                                         (F.col("s_nationkey") % 6 * 20).alias("check_score"))
     customers = table(spark, folder, "customer").select(F.col("c_custkey").alias("posting_id"), years("c_acctbal").alias("required_years"))
-    out = out.join(suppliers, "candidate_id").join(customers, "posting_id")
+    candidates, postings = suppliers.join(held, "candidate_id", "left"), customers.join(asked, "posting_id", "left")
+    out = ms.skills_met(pf.with_both_sides(pairs, postings, candidates, parts=ex.posting_parts(lines, at_most))[0])
     score, status = ms.experience_part(F.col("candidate_years"), F.col("required_years"))
     out = out.withColumns({
         "experience_score": score, "experience_status": status, "format_score": ms.format_part(F.col("check_score")),

@@ -48,7 +48,11 @@ def skill_part(pairs: DataFrame, demanded: DataFrame, offered: DataFrame, synony
     multiplied by skills.
     """
     left, right = named_skills(demanded, offered, synonyms, left_id, right_id)
-    joined = pairs.join(right, right_id, "left").join(left, left_id, "left")
+    return skills_met(pairs.join(right, right_id, "left").join(left, left_id, "left"))
+
+
+def skills_met(joined: DataFrame) -> DataFrame:
+    """The same of pairs that carry _held and _asked of named_skills, which are dropped; a missing side is empty."""
     held = F.coalesce("_held", F.array().cast("array<string>"))
     # Of all names that would do only those held are looked through for each skill.
     sets = joined.withColumn("_found", F.array_intersect(F.flatten(F.transform("_asked", lambda a: a["names"])), held))

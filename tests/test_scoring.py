@@ -270,3 +270,26 @@ def test_texts_to_explained_scores(spark):
         broken = explained.withColumn(column, F.when(F.col("candidate_id") == 1, value).otherwise(F.col(column)))
         row = pf.audit_summary(pf.audit_checks(broken, weights)).first()
         assert not row["all_pass"] and min(row[c] for c in row.asDict() if c not in ("pairs_checked", "all_pass")) == 2
+
+
+def test_matched_pairs_are_not_shuffled_by_candidate(spark, tmp_path):
+    from pairloom.catalog import applications
+    tables = {
+        "lineitem": ("l_orderkey long, l_partkey long, l_suppkey long, l_quantity double, l_returnflag string",
+                     [(1, 1, 5, 60.0, "A"), (1, 2, 6, 40.0, "N"), (2, 1, 6, 700.0, "R"), (2, 2, 9, 5.0, None), (3, 1, 5, 650.0, "A")]),
+        "orders": ("o_orderkey long, o_custkey long", [(1, 7), (2, 8), (3, 7), (4, 8)]),
+        "part": ("p_partkey long, p_brand string", [(1, "Brand#11"), (2, "Brand#22")]),
+        "supplier": ("s_suppkey long, s_acctbal double, s_nationkey int", [(5, 3500.0, 4), (6, -20.0, 1)]),
+        "customer": ("c_custkey long, c_acctbal double, c_nationkey int, c_mktsegment string", [(7, 2000.0, 1, "BUILDING"), (8, 9000.0, 2, "MACHINERY")])}
+    for name, (schema, rows) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = applications.match_parts(spark, str(tmp_path))
+        assert "hashpartitioning(candidate_id" not in out._jdf.queryExecution().executedPlan().toString()
+        got = {(r["posting_id"], r["candidate_id"]): (r["skills_score"], r["n_matched"], r["missing_preferred"]) for r in out.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # Supplier 9 is unknown; 7 asks for 11 (required) and 22 (preferred), 8 for 11 (required); 5 and 6 ship 11.
+    assert got == {(7, 5): (75, 1, ["Brand#22"]), (7, 6): (75, 1, ["Brand#22"]), (8, 6): (75, 1, [])}
