@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 
 from pairloom import fixed_values as fv
 from pairloom.functions.binding import let
+from pairloom.functions.joins import join_small
 from pairloom.functions.spans import last_started, match_spans
 from pairloom.functions.text import ngrams
 from pairloom.operators.sections import cues, nearest_cue
+from pairloom.session import written
 
 # What bounds a skill name in glued text.
 BEFORE = r"(?:(?<![A-Za-z0-9+#])|(?<=[a-z])(?=[A-Z]))"
@@ -116,7 +118,8 @@ def tag_by_ngrams(docs: DataFrame, aliases: DataFrame, id: str = "doc_id", text:
     aliases: (alias, skill, category, position); position is the place of the skill in the taxonomy, 0 where the table has none.  The
     lengths of the n-grams are those of the aliases.  Words keep letters, digits, '#' and '+'; every other character separates, so an
     alias is broken up the same way before the join.  An alias that has other characters (a blank, "node.js") is then
-    looked for literally in the few texts that hold its words.
+    looked for literally in the few texts that hold its words.  Aliases are broadcast if they are few, so that only hits are shuffled; hits are
+    written once.
     """
     split = lambda c: F.filter(F.split(F.lower(c), r"[^a-z0-9#+]+"), lambda w: w != "")
     lengths = sorted(r[0] for r in aliases.select(F.size(split(F.col("alias")))).distinct().collect() if r[0])
@@ -128,7 +131,7 @@ def tag_by_ngrams(docs: DataFrame, aliases: DataFrame, id: str = "doc_id", text:
     place = F.min("position" if "position" in aliases.columns else F.lit(0)).over(W.partitionBy("skill"))
     keys = aliases.select(F.array_join(split(F.col("alias")), " ").alias("gram"), "skill", "category", place.alias("position"),
                           low.rlike("[^a-z0-9#+]").alias("_check"), literal.alias("_literal")).distinct()
-    found = terms.join(keys, "gram")
+    found = written(join_small(terms, keys, ["gram"]).drop("gram"))
     texts = docs.select(id, F.lower(text).alias("_text"))
     checked = found.where("_check").join(texts, id).where(F.rlike("_text", F.col("_literal")))
     columns = [id, "skill", "category", "position"]

@@ -85,6 +85,18 @@ def test_long_aliases_are_found(spark):
     assert [r["skill"] for r in skills.tag_by_ngrams(docs, aliases).collect()] == ["Shear test"]
 
 
+def test_only_hits_of_few_aliases_are_shuffled(spark):
+    docs = spark.createDataFrame([(1, "Haskell and p5.js, qgis"), (2, "rust"), (3, None)], "doc_id long, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = skills.tag_by_ngrams(docs, spark.createDataFrame([("p5.js", "P5", "c"), ("qgis", "QGIS", "d"), ("p5 js", "No", "e")], "alias string, skill string, category string"))
+        assert "hashpartitioning(gram" not in out._jdf.queryExecution().executedPlan().toString()
+        assert {tuple(r) for r in out.collect()} == {(1, "P5", "c", 0), (1, "QGIS", "d", 0)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_advert(parsed):
     a = parsed[1].first()
     assert a["required_skills"] == ["Haskell", "Erlang", "Redis", "QGIS"] and a["preferred_skills"] == ["Rust", "Nomad"]
