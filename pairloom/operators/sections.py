@@ -14,8 +14,9 @@ from pairloom.functions.binding import let
 from pairloom.functions.spans import last_started, match_spans, part, running_starts, trimmed_span
 
 # Where segments end, where a heading may stand, what bounds a word in glued text.
-BOUNDARY = r"(?U)(?<=[.!?;:])\s+|(?<=[a-z0-9)])(?=[A-Z][a-z])"
-BEFORE_HEADING = r"(?:(?<![A-Za-z])|(?<=[a-z]))(?=[A-Z])"
+# What follows is looked at before what precedes: most places are left after one character.
+BOUNDARY = r"(?U)(?=\s)(?<=[.!?;:])\s+|(?=[A-Z][a-z])(?<=[a-z0-9)])"
+BEFORE_HEADING = r"(?=[A-Z])(?:(?<![A-Za-z])|(?<=[a-z]))"
 AFTER_HEADING = r"(?=\s*(?:$|[:\-A-Z0-9(]))"
 GLUE_BEFORE = r"(?:(?<![A-Za-z])|(?<=[a-z])(?=[A-Z]))"
 GLUE_AFTER = r"(?:(?![A-Za-z])|(?<=[a-z])(?=[A-Z]))"
