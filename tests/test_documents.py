@@ -217,6 +217,21 @@ def test_similar_classes_equal_all_pairs(spark):
     assert nd.similar_classes(df.limit(0))[0].count() == 0
 
 
+def test_texts_are_written_once_and_not_dealt_again(spark, monkeypatch):
+    rows = [(i, f"rope sail mast deck hull{i % 7} keel{i % 5}") for i in range(60)] + [(99, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept, plans = [], []
+    cut, write = nd.cut_lineage, nd.written
+    monkeypatch.setattr(nd, "cut_lineage", lambda x: kept.append(x.columns) or cut(x))
+    monkeypatch.setattr(nd, "written", lambda x: plans.append(x) or write(x))
+    groups = {r["doc_id"]: r["group_id"] for r in nd.near_duplicate_groups(df).collect()}
+    assert groups[99] == 99 and len(groups) == 61 and groups[35] == 0
+    assert not any("text" in c for c in kept) and not any("text" in x.columns for x in plans)
+    texts = nd.dealt_texts(df)
+    counts = texts.rows.select("_block", "doc_id", F.explode(F.split("text", " ")).alias("term")).groupBy("_block", "doc_id", "term").count()
+    assert texts.n == 61 and "Exchange" not in counts._jdf.queryExecution().executedPlan().toString()
+
+
 def test_long_chain_of_components(spark):
     nodes = spark.createDataFrame([(i,) for i in range(60)], "doc_id long")
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 39)] + [(50, 55), (55, 52)], "a long, b long")
