@@ -305,3 +305,17 @@ def test_matched_pairs_are_not_shuffled_by_candidate(spark, tmp_path):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     # Supplier 9 is unknown; 7 asks for 11 (required) and 22 (preferred), 8 for 11 (required); 5 and 6 ship 11.
     assert got == {(7, 5): (75, 1, ["Brand#22"]), (7, 6): (75, 1, ["Brand#22"]), (8, 6): (75, 1, [])}
+
+
+def test_draws_are_made_in_few_small_matrices():
+    import tracemalloc
+
+    import pandas as pd
+    rng = np.random.default_rng(5)
+    units = pd.DataFrame({"_stratum": "s", "_first": rng.integers(0, resampling.PRIME, 300), "_step": rng.integers(0, resampling.PRIME, 300),
+                          "_g": [[{"_by": "m", "_d": 0.5, "_n": 1}]] * 300})
+    tracemalloc.start()
+    out = pd.concat(resampling._partial_sums(5000)(iter([units])))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 4_000_000 and out["_n"].mean() == pytest.approx(300, rel=0.01) and len(out) == 5000
